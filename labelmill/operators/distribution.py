@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from labelmill.session import materialise
 
-SLICES = 1024
+# Slices per shuffle partition, and the most cut points the driver may hold.
+SLICES_PER_PARTITION, MAX_SLICES = 4, 8192
 
 
 def group_map(df: DataFrame, group: str, value: Column) -> Column:
@@ -31,10 +32,12 @@ def histogram(df: DataFrame, groups: list[str], value: str, measures: dict[str,
 def _sliced(hist: DataFrame, value: str, slices: int) -> DataFrame:
     probabilities = [i / slices for i in range(1, slices)]
     points = hist.approxQuantile(value, probabilities, 1.0 / (4 * slices)) if slices > 1 else []
-    splits = [float("-inf"), *sorted(set(points) - {float("-inf"), float("inf")}), float("inf")]
-    return Bucketizer(splits=splits, inputCol="_value", outputCol="_slice").transform(
-        hist.withColumn("_value", F.col(value).cast("double"))
-    ).drop("_value")
+    inner = sorted(set(points) - {float("-inf"), float("inf")})
+    if not inner:
+        return hist.withColumn("_slice", F.lit(0.0))
+    splits = [float("-inf"), *inner, float("inf")]
+    slicer = Bucketizer(splits=splits, inputCol="_value", outputCol="_slice", handleInvalid="keep")
+    return slicer.transform(hist.withColumn("_value", F.col(value).cast("double"))).drop("_value")
 
 
 def cumulative(
@@ -42,10 +45,11 @@ def cumulative(
 ) -> DataFrame:
     """Add ``cum_<name>``, the inclusive sum of each measure over all values up to this one.
 
-    Runs one small job: the cut points (at most 1023 numbers) come to the driver.
+    Runs one small job: the cut points, fewer than ``MAX_SLICES`` numbers, come to the driver.
     """
     if slices is None:
-        slices = min(SLICES, int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        partitions = int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slices = min(MAX_SLICES, SLICES_PER_PARTITION * partitions)
 
     def ordered(column):
         return F.col(column).desc() if descending else F.col(column).asc()
@@ -67,28 +71,25 @@ def cumulative(
 
 def quantiles_from(hist: DataFrame, group: str, value: str, count: str, shares: dict[str, float], slices: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group; groups are few."""
-    placed = cumulative(hist, [group], value, [count], slices=slices)
     totals = group_map(hist.groupBy(group).agg(F.sum(count).alias("n")), group, F.col("n"))
-    last = totals[F.col(group)] - 1
-    first_place, last_place = F.col(f"cum_{count}") - F.col(count), F.col(f"cum_{count}") - 1
+    placed = cumulative(hist, [group], value, [count], slices=slices).select(
+        group,
+        F.col(value).cast("double").alias("_value"),
+        (F.col(f"cum_{count}") - F.col(count)).alias("_first"),
+        (F.col(f"cum_{count}") - 1).alias("_last"),
+        totals[F.col(group)].alias("n"),
+    )
 
     def value_at(place):
-        return F.max(F.when(place.between(first_place, last_place), F.col(value).cast("double")))
-
-    picks = []
-    for name, share in shares.items():
-        place = last * F.lit(share)
-        picks += [
-            value_at(F.floor(place)).alias(f"_low_{name}"),
-            value_at(F.ceil(place)).alias(f"_high_{name}"),
-            F.max(place - F.floor(place)).alias(f"_part_{name}"),
-        ]
-    picked = placed.groupBy(group).agg(F.sum(count).alias("n"), *picks)
-    return picked.select(
-        group,
-        "n",
-        *(
-            (F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * F.col(f"_part_{name}")).alias(name)
-            for name in shares
-        ),
+        return F.max(F.when(place.between(F.col("_first"), F.col("_last")), F.col("_value")))
+
+    place = {name: (F.col("n") - 1) * F.lit(share) for name, share in shares.items()}
+    picked = placed.groupBy(group, "n").agg(
+        *(value_at(F.floor(at)).alias(f"_low_{name}") for name, at in place.items()),
+        *(value_at(F.ceil(at)).alias(f"_high_{name}") for name, at in place.items()),
     )
+    between = {
+        name: F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * (at - F.floor(at))
+        for name, at in place.items()
+    }
+    return picked.select(group, "n", *(column.alias(name) for name, column in between.items()))

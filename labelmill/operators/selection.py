@@ -45,9 +45,12 @@ def cut_keys(df: DataFrame, key: str, bucket: Column, take: Column, group: Colum
         .select("_group", F.struct("_bucket", (F.col("wanted") - F.col("upto") + F.col("n")).alias("rank")).alias("spot"))
     )
     spots = _as_map(boundary, "_group", "spot")
+    # two comparisons on purpose: when key and group come from the two sides of a join, an equality
+    # would be pushed down as a join key, and a broadcast does not wait for the subquery in it
+    at_boundary = (F.col("_bucket") <= F.col("spot._bucket")) & (F.col("_bucket") >= F.col("spot._bucket"))
     ranked = (
         keyed.withColumn("spot", spots[F.col("_group")])
-        .where(F.col("_bucket") == F.col("spot._bucket"))
+        .where(at_boundary)
         .withColumn("rank", F.row_number().over(Window.partitionBy("_group").orderBy("_key")))
         .where(F.col("rank") == F.col("spot.rank"))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.config import SPLIT_SEED, TRAIN_SHARE, CorpusConfig
@@ -72,12 +72,20 @@ def balance_classes(
     classes: tuple = ("ACCEPTED", "REJECTED"),
     seed: int = SPLIT_SEED,
     identifier: str = ID,
+    only: Column | None = None,
 ) -> DataFrame:
-    """Downsample every class at random to the smallest one; other rows are dropped."""
-    kept = df.where(F.col(label).isin(list(classes))).withColumn("_key", seeded_key(identifier, seed))
-    sizes = [F.count_if(F.col(label) == F.lit(c)) for c in classes]
-    take = kept.agg(F.least(*sizes)).scalar()
-    return smallest(kept, "_key", hex_bucket("_key"), take, F.col(label)).drop("_key")
+    """Downsample every class at random to the smallest one; rows of no class are dropped.
+
+    With ``only``, rows for which it does not hold pass through as they are, in the same scan.
+    """
+    keyed = df.withColumn("_key", seeded_key(identifier, seed))
+    member = F.col(label).isin(list(classes))
+    chosen = member if only is None else only & member
+    part = keyed.where(chosen)
+    take = part.agg(F.least(*(F.count_if(F.col(label) == F.lit(c)) for c in classes))).scalar()
+    cuts = cut_keys(part, "_key", hex_bucket("_key"), take, F.col(label))
+    kept = F.coalesce(chosen & (F.col("_key") <= cuts[F.col(label)]), F.lit(False))
+    return keyed.where(kept if only is None else kept | ~F.coalesce(only, F.lit(False))).drop("_key")
 
 
 def head_per_class(
@@ -135,5 +143,4 @@ def split_corpus(df: DataFrame, config: CorpusConfig, identifier: str = ID) -> D
         parts = date_split(df, config.train_start, config.train_end, config.val_start, config.val_end)
     if not config.balance_validation:
         return parts
-    validation = balance_classes(parts.where("split = 'validation'"), seed=config.seed, identifier=identifier)
-    return parts.where("split = 'train'").unionByName(validation)
+    return balance_classes(parts, seed=config.seed, identifier=identifier, only=F.col("split") == "validation")

@@ -55,33 +55,28 @@ def box_stats(df: DataFrame, feature: str, group: str = "Prediction") -> DataFra
     clean = df.where(F.col(feature).isNotNull())
     hist = histogram(clean, [group], feature, {"rows": F.lit(1)})
     quartiles = quantiles_from(hist, group, feature, "rows", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    box = group_map(quartiles, group, F.struct("q1", "median", "q3"))
-    value = F.col(feature).cast("double")
-    reach = (F.col("box.q3") - F.col("box.q1")) * 1.5
-    fenced = (
-        hist.withColumn("box", box[F.col(group)])
-        .withColumns({"_value": value, "_low": F.col("box.q1") - reach, "_high": F.col("box.q3") + reach})
+    reach = (F.col("q3") - F.col("q1")) * 1.5
+    fences = quartiles.select(group, "q1", "median", "q3", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+    boxes = group_map(fences, group, F.struct("q1", "median", "q3", "low", "high"))
+    value, box = F.col(feature).cast("double"), F.col("box")
+    below, above = F.col("value") < box["low"], F.col("value") > box["high"]
+    # a whisker ends at the outermost value inside its fence; a box without one keeps its edge
+    return (
+        hist.select(group, "rows", value.alias("value"), boxes[F.col(group)].alias("box"))
+        .groupBy(group, "box")
+        .agg(
+            F.sum("rows").alias("n"),
+            F.min(F.when(~below, F.col("value"))).alias("low"),
+            F.max(F.when(~above, F.col("value"))).alias("high"),
+            F.sum(F.when(below | above, F.col("rows")).otherwise(0)).alias("outliers"),
+        )
+        .select(
+            group, "n", "box.q1", "box.median", "box.q3",
+            F.least("low", "box.q1").alias("whislo"),
+            F.greatest("high", "box.q3").alias("whishi"),
+            "outliers",
+        )
     )
-    inside_low, inside_high = F.col("_value") >= F.col("_low"), F.col("_value") <= F.col("_high")
-    summary = fenced.groupBy(group).agg(
-        F.sum("rows").alias("n"),
-        F.first("box").alias("box"),
-        F.min(F.when(inside_low, F.col("_value"))).alias("_whislo"),
-        F.max(F.when(inside_high, F.col("_value"))).alias("_whishi"),
-    )
-    whiskers = summary.select(
-        group, "n", "box.q1", "box.median", "box.q3",
-        F.least("_whislo", "box.q1").alias("whislo"),
-        F.greatest("_whishi", "box.q3").alias("whishi"),
-    )
-    ends = group_map(whiskers, group, F.struct("whislo", "whishi"))
-    beyond = (
-        hist.withColumn("ends", ends[F.col(group)])
-        .withColumn("_value", value)
-        .groupBy(group)
-        .agg(F.sum(F.when((F.col("_value") < F.col("ends.whislo")) | (F.col("_value") > F.col("ends.whishi")), F.col("rows")).otherwise(0)).alias("outliers"))
-    )
-    return whiskers.join(beyond, group)
 
 
 def section_length_stats(df: DataFrame, text: str, group: str = "split") -> DataFrame:

@@ -10,7 +10,7 @@ from labelmill.operators.examples import map_decision
 from labelmill.operators.filters import keep_decided
 from labelmill.operators.splits import hash_split
 from labelmill.schemas import DOCUMENT_KEYS
-from labelmill.session import scratch_path
+from labelmill.session import scratch_path, spread
 from labelmill.sources import write_documents
 
 
@@ -83,8 +83,12 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("pred", pred).withColumn("correct", F.col("label") == F.col("pred"))
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def texts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return _documents(spark, folder).select(
         F.col("doc_id").cast("string").alias("application_number"), "text", "lang", "source"
     )
 
@@ -92,7 +96,7 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
 def labelled_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a quality label, split by hash."""
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("labels"))
-    joined = table(spark, folder, "documents").join(labels, "doc_id")
+    joined = _documents(spark, folder).join(labels, "doc_id")
     return hash_split(
         joined.select(F.col("doc_id").cast("string").alias("application_number"), "labels", "text")
     )

@@ -16,6 +16,7 @@ from labelmill.operators.predictions import with_outcome
 from labelmill.operators.splits import balance_classes, split_corpus
 from labelmill.operators.statistics import outcome_gap, outcome_pivot
 from labelmill.operators.vocabulary import build_vocabulary
+from labelmill.session import materialise
 
 
 def build_examples(metadata: DataFrame, documents: DataFrame, config: CorpusConfig) -> DataFrame:
@@ -36,10 +37,8 @@ def build_examples(metadata: DataFrame, documents: DataFrame, config: CorpusConf
         *(F.col(f"doc_{name}").alias(name) for name in section),
     )
     if config.balance_validation:
-        validation = balance_classes(
-            examples.where("split = 'validation'"), seed=config.seed, identifier="patent_number"
-        )
-        examples = examples.where("split = 'train'").unionByName(validation)
+        validation = F.col("split") == "validation"
+        examples = balance_classes(examples, seed=config.seed, identifier="patent_number", only=validation)
     labelled = keep_decided(map_decision(examples))
     return select_section(labelled, config.section, carry=("split",))
 
@@ -51,7 +50,11 @@ def full_examples(metadata: DataFrame, documents: DataFrame, config: CorpusConfi
 
 
 def classify(examples: DataFrame, config: CorpusConfig, kind: str = "multinomial") -> DataFrame:
-    """Train naive Bayes on the train split and predict both: ``(patent_number, split, label, pred, score)``."""
+    """Train naive Bayes on the train split and predict both: ``(patent_number, split, label, pred, score)``.
+
+    Vocabulary, training and scoring each read the examples, so these are written once first.
+    """
+    examples = materialise(examples, "examples")
     words = words_of("text")
     train = examples.where("split = 'train'")
     vocabulary = build_vocabulary(train, words, config.vocab_size, config.min_frequency)

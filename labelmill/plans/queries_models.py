@@ -13,6 +13,7 @@ from labelmill.operators.vocabulary import build_vocabulary
 from labelmill.plans import bindings as b
 from labelmill.plans.registry import query
 from labelmill.plans.views import key, sql, words
+from labelmill.session import materialise
 
 
 
@@ -139,7 +140,7 @@ def _bayes_sql(kind: str) -> str:
 
 
 def _bayes(spark, folder, kind):
-    rows = b.labelled_texts(spark, folder)
+    rows = materialise(b.labelled_texts(spark, folder), "labelled")
     train = rows.where("split = 'train'")
     model = models.train_naive_bayes(train, words_of("text"), build_vocabulary(train, words_of("text")), kind)
     return models.argmax(models.score_naive_bayes(rows, model, words_of("text"), ["application_number", "split", "labels"]))
@@ -162,8 +163,9 @@ def nb_bernoulli(spark, folder):
 
 @query("logreg_bow")
 def logreg_bow(spark, folder):
-    rows = statistics.with_row_weights(b.labelled_texts(spark, folder))
-    model = models.train_linear(rows.where("split = 'train'"), words_of("text"), weight="weight")
+    rows = materialise(b.labelled_texts(spark, folder), "labelled")
+    train = statistics.with_row_weights(rows.where("split = 'train'"))
+    model = models.train_linear(train, words_of("text"), weight="weight")
     return models.score_linear(rows, model, words_of("text"), ["application_number", "split", "labels"])
 
 

@@ -42,6 +42,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of a small input before work that is heavy per row.
+
+    A small file often is a single row group, which one task would process alone. An input
+    that already has partitions for all cores, as any large one has, is returned untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores, key)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back, so that several branches share one computation."""
     path = scratch_path(df.sparkSession, name)

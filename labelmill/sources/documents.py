@@ -50,13 +50,10 @@ def quarantine(metadata: DataFrame, documents: DataFrame) -> DataFrame:
     """
     keys = ["filing_year", "application_number"]
     known = metadata.select(F.year("filing_date").alias("filing_year"), "application_number")
-    broken = documents.where("problem IS NOT NULL").select(*keys, F.col("problem").alias("reason"))
-    missing = known.join(documents.select(*keys), keys, "left_anti")
-    return (
-        broken.join(known, keys, "left_semi")
-        .unionByName(missing.withColumn("reason", F.lit("missing")))
-        .select("application_number", "reason")
-    )
+    states = documents.select(*keys, F.coalesce("problem", F.lit("ok")).alias("state"))
+    looked_up = known.join(states, keys, "left")
+    reason = F.coalesce("state", F.lit("missing"))
+    return looked_up.select("application_number", reason.alias("reason")).where("reason <> 'ok'")
 
 
 def ingest_documents(documents: DataFrame, path: str) -> None:
