@@ -10,15 +10,15 @@ def seeded_key(identifier, seed) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), F.col(identifier).cast("string")))
 
 
-def leading_digits(key: Column, digits: int) -> Column:
+def _leading_digits(key: Column, digits: int) -> Column:
     return F.conv(F.substring(key, 1, digits), 16, 10).cast("long")
 
 
 def unit_interval(key: Column) -> Column:
     """A double strictly between 0 and 1 from the first 12 hex digits."""
-    return (leading_digits(key, 12) + F.lit(0.5)) / F.lit(float(16**12))
+    return (_leading_digits(key, 12) + F.lit(0.5)) / F.lit(float(16**12))
 
 
 def hash_below(key: Column, share: float) -> Column:
     """True for about ``share`` of the keys, decided from the key alone in steps of 1/10000."""
-    return leading_digits(key, 8) % 10_000 < F.lit(round(share * 10_000))
+    return _leading_digits(key, 8) % 10_000 < F.lit(round(share * 10_000))

@@ -5,9 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelmill.operators.vocabulary import SEP, lookup_side
+from labelmill.operators.vocabulary import BROADCAST_ENTRIES, SEP
 
 PAD_ID, UNK_ID = 0, 1
+# Copies of each vocabulary entry when a large vocabulary is joined.
+JOIN_SALTS = 32
+
+
+def _slotted(vocabulary: DataFrame, slots: int) -> Column:
+    """The vocabulary as one value: an array of ``slots`` small maps, addressed by token hash.
+
+    One map over all entries would be searched from its start for every token; here a token
+    meets the one or two entries of its slot.
+    """
+    entries = vocabulary.select("token", "token_id").groupBy(_slot(F.col("token"), slots).alias("slot"))
+    filled = entries.agg(F.collect_list(F.struct("token", "token_id")).alias("entries"))
+    every = vocabulary.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
+    empty = F.array().cast("array<struct<token:string,token_id:int>>")
+    dense = every.join(filled, "slot", "left").select(F.struct("slot", F.coalesce("entries", empty).alias("entries")).alias("slot"))
+    ordered = F.array_sort(F.collect_list("slot"))
+    return dense.agg(F.transform(ordered, lambda slot: F.map_from_entries(slot["entries"]))).scalar()
+
+
+def _slot(token: Column, slots: int) -> Column:
+    return F.pmod(F.hash(token), F.lit(slots))
 
 
 def encode(
@@ -21,15 +42,33 @@ def encode(
 ) -> DataFrame:
     """``input_ids`` for each row, unknown tokens as ``[UNK]``, cut to ``max_length`` first.
 
-    Rows are placed by key before the tokens are exploded: the lookup and the regrouping then
-    happen inside that partitioning, so the exploded rows, one per token, never shuffle. A group
-    is one document, at most ``max_length`` tokens of it.
+    A vocabulary within ``BROADCAST_ENTRIES`` goes to the tasks as one value and the rows stay
+    where they are. A larger one is joined, see :func:`_encode_by_join`.
     """
+    tokens = F.coalesce(tokens, F.array().cast("array<string>"))
     if max_length is not None:
         tokens = F.slice(tokens, 1, max_length)
-    placed = df.select(*keys, *carry, tokens.alias("_tokens")).repartition(*keys)
-    words = placed.select(*keys, *carry, F.posexplode_outer("_tokens").alias("_place", "token"))
-    found = words.join(lookup_side(vocabulary.select("token", "token_id"), vocab_size), "token", "left")
+    if vocab_size > BROADCAST_ENTRIES:
+        return _encode_by_join(df, keys, tokens, vocabulary, carry)
+    slots = 2 * vocab_size
+    known = df.select(*keys, *carry, tokens.alias("_tokens")).withColumn("_known", _slotted(vocabulary, slots))
+
+    def token_id(token):
+        return F.coalesce(F.get("_known", _slot(token, slots))[token], F.lit(UNK_ID))
+
+    return known.select(*keys, *carry, F.transform("_tokens", token_id).alias("input_ids"))
+
+
+def _encode_by_join(df: DataFrame, keys: list[str], tokens: Column, vocabulary: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """Look tokens up in a vocabulary too large to hand out; ``keys`` must be unique.
+
+    A frequent token is a hot key of this join, so each entry is spread over ``JOIN_SALTS``
+    copies. A group of the final aggregation is one document.
+    """
+    salt = F.pmod(F.hash(*keys), F.lit(JOIN_SALTS)).alias("salt")
+    words = df.select(*keys, *carry, salt, F.posexplode_outer(tokens).alias("_place", "token"))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))).alias("salt")
+    found = words.join(vocabulary.select("token", "token_id", copies), ["token", "salt"], "left")
     entry = F.when(F.col("_place").isNotNull(), F.struct("_place", F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))
     return (
         found.groupBy(*keys)

@@ -2,36 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelmill.config import SPLIT_SEED
 from labelmill.functions import seeded_key
-from labelmill.functions.keys import leading_digits
+from labelmill.operators.selection import BUCKET_DIGITS, positions
 
 
-def pack_sequences(df: DataFrame, length: int, packs: int, seed: int, identifier: str = "application_number") -> DataFrame:
-    """Lay the documents of a pack end to end and cut the stream every ``length`` tokens.
+def pack_sequences(
+    df: DataFrame, length: int, seed: int = SPLIT_SEED, identifier: str = "application_number", digits: int = BUCKET_DIGITS
+) -> DataFrame:
+    """Lay all documents end to end in seeded order and cut the stream every ``length`` tokens.
 
-    A seeded hash spreads documents over ``packs`` streams; raise ``packs`` with the data. Offsets
-    are prefix sums of the lengths inside a pack. Each document is sliced at the cuts, so a chunk
-    gathers a few slices that hold ``length`` tokens in all; the last chunk of a pack may be shorter.
+    The stream never passes through one task: a document learns its start from the bucket
+    offsets and is sliced at the cuts, and a chunk gathers a few slices that hold ``length``
+    tokens in all. Only the very last chunk may be shorter.
     """
-    keyed = df.withColumn("_key", seeded_key(identifier, seed)).withColumn("pack", leading_digits(F.col("_key"), 8) % packs)
-    before = Window.partitionBy("pack").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
-    laid = (
-        keyed.withColumn("_size", F.size("input_ids"))
-        .where("_size > 0")
-        .withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-    )
-    first = F.floor(F.col("_start") / length)
-    last = F.floor((F.col("_start") + F.col("_size") - 1) / length)
-    sliced = laid.select("pack", "_start", "_size", "input_ids", F.explode(F.sequence(first, last)).alias("chunk"))
-    begin = F.greatest(F.col("chunk") * length, F.col("_start"))
-    end = F.least((F.col("chunk") + 1) * length, F.col("_start") + F.col("_size"))
-    piece = F.slice("input_ids", (begin - F.col("_start") + 1).cast("int"), (end - begin).cast("int"))
+    size = F.size("input_ids")
+    keyed = df.select("input_ids", seeded_key(identifier, seed).alias("_key"))
+    laid = positions(keyed, "_key", digits, size, into="start").where(size > 0)
+    stop = F.col("start") + size
+    chunks = F.sequence(F.floor(F.col("start") / length), F.floor((stop - 1) / length))
+    sliced = laid.select("start", "input_ids", stop.alias("stop"), F.explode(chunks).alias("chunk"))
+    begin = F.greatest(F.col("chunk") * length, F.col("start"))
+    end = F.least((F.col("chunk") + 1) * length, F.col("stop"))
+    ids = F.slice("input_ids", (begin - F.col("start") + 1).cast("int"), (end - begin).cast("int"))
     return (
-        sliced.select("pack", "chunk", F.struct(begin.alias("begin"), piece.alias("ids")).alias("piece"))
-        .groupBy("pack", "chunk")
+        sliced.select("chunk", F.struct(begin.alias("begin"), ids.alias("ids")).alias("piece"))
+        .groupBy("chunk")
         .agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
-        .select("pack", "chunk", F.flatten(F.transform("pieces", lambda p: p["ids"])).alias("input_ids"))
+        .select("chunk", F.flatten(F.transform("pieces", lambda p: p["ids"])).alias("input_ids"))
     )

@@ -42,17 +42,13 @@ def cut_keys(df: DataFrame, key: str, bucket: Column, take: Column, group: Colum
         .withColumn("upto", F.sum("n").over(by_bucket.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("wanted", F.least(take.cast("long"), F.col("total")))
         .where("upto >= wanted AND upto - n < wanted")
-        .select("_group", F.struct("_bucket", (F.col("wanted") - F.col("upto") + F.col("n")).alias("rank")).alias("spot"))
+        .select("_group", "_bucket", (F.col("wanted") - F.col("upto") + F.col("n")).alias("wanted"))
     )
-    spots = _as_map(boundary, "_group", "spot")
-    # two comparisons on purpose: when key and group come from the two sides of a join, an equality
-    # would be pushed down as a join key, and a broadcast does not wait for the subquery in it
-    at_boundary = (F.col("_bucket") <= F.col("spot._bucket")) & (F.col("_bucket") >= F.col("spot._bucket"))
+    # one row per group, so the broadcast is as small as the map that is returned
     ranked = (
-        keyed.withColumn("spot", spots[F.col("_group")])
-        .where(at_boundary)
+        keyed.join(F.broadcast(boundary), ["_group", "_bucket"])
         .withColumn("rank", F.row_number().over(Window.partitionBy("_group").orderBy("_key")))
-        .where(F.col("rank") == F.col("spot.rank"))
+        .where("rank = wanted")
     )
     return _as_map(ranked, "_group", "_key")
 
@@ -63,22 +59,27 @@ def smallest(df: DataFrame, key: str, bucket: Column, take: Column, group: Colum
     return df.where(F.col(key) <= cuts[F.lit("all") if group is None else group])
 
 
-def positions(df: DataFrame, key: str, digits: int = BUCKET_DIGITS) -> DataFrame:
-    """Add ``position``, the zero-based place of each row in the order of a seeded key.
+def positions(
+    df: DataFrame, key: str, digits: int = BUCKET_DIGITS, size: Column | None = None, into: str = "position"
+) -> DataFrame:
+    """Add the zero-based place of each row in the order of a seeded key.
 
-    Rows shuffle once, to evenly filled buckets. The bucket offsets are at most 16**digits
-    narrow rows, which bounds what is broadcast.
+    With ``size``, rows take up that many places each. Rows shuffle once, to evenly filled
+    buckets. The bucket offsets are at most 16**digits narrow rows, which bounds what is
+    broadcast. ``df`` is read twice; write it first if that is expensive.
     """
-    bucketed = df.withColumn("_bucket", hex_bucket(key, digits))
-    ordered = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.lit(1) if size is None else size
+    bucketed = df.withColumns({"_bucket": hex_bucket(key, digits), "_size": size.cast("long")})
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         bucketed.groupBy("_bucket")
-        .agg(F.count("*").alias("n"))
-        .select("_bucket", F.coalesce(F.sum("n").over(ordered), F.lit(0)).alias("_offset"))
+        .agg(F.sum("_size").alias("n"))
+        .select("_bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_offset"))
     )
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1
+    inside = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    place = F.sum("_size").over(inside) - F.col("_size")
     return (
         bucketed.join(F.broadcast(offsets), "_bucket")
-        .withColumn("position", F.col("_offset") + place)
-        .drop("_bucket", "_offset")
+        .withColumn(into, F.col("_offset") + place)
+        .drop("_bucket", "_offset", "_size")
     )

@@ -11,6 +11,7 @@ from labelmill.operators.vocabulary import PAIR_SPECIALS, build_vocabulary
 from labelmill.plans import bindings as b
 from labelmill.plans.registry import query
 from labelmill.plans.views import hash_split, key, sql, words
+from labelmill.session import materialise
 
 MAX_LENGTH = 512
 ID = ["application_number"]
@@ -164,21 +165,18 @@ def render_conversations(spark, folder):
 @query(
     "pack_sequences",
     sql(
-        """SELECT pack, chunk, count(*) AS n, string_agg(coalesce(token_id, 1), ',' ORDER BY place) AS input_ids FROM (
- SELECT *, CAST(floor(place / 1024) AS BIGINT) AS chunk FROM (
-  SELECT pack, token_id, row_number() OVER (PARTITION BY pack ORDER BY k, pos) - 1 AS place FROM laid))
- GROUP BY pack, chunk""",
+        """SELECT chunk, count(*) AS n, string_agg(coalesce(token_id, 1), ',' ORDER BY place) AS input_ids FROM (
+ SELECT token_id, place, CAST(floor(place / 1024) AS BIGINT) AS chunk FROM (
+  SELECT token_id, row_number() OVER (ORDER BY k, pos) - 1 AS place FROM laid)) GROUP BY chunk""",
         "tokens",
         "vocab",
-        extra=f"""laid AS (SELECT {key('application_number')} AS k, ('0x' || substr({key('application_number')}, 1, 8))::BIGINT % 16 AS pack,
- pos, token_id FROM tokens LEFT JOIN vocab USING (token))""",
+        extra=f"laid AS (SELECT {key('application_number')} AS k, pos, token_id FROM tokens LEFT JOIN vocab USING (token))",
     ),
 )
 def packed(spark, folder):
-    packs = pack_sequences(_encoded(spark, folder, max_length=None), length=1024, packs=16, seed=1729)
-    return packs.select(
-        "pack", "chunk", F.size("input_ids").cast("long").alias("n"), _joined_ids("input_ids").alias("input_ids")
-    )
+    encoded = materialise(_encoded(spark, folder, max_length=None), "encoded")
+    chunks = pack_sequences(encoded, length=1024)
+    return chunks.select("chunk", F.size("input_ids").cast("long").alias("n"), _joined_ids("input_ids").alias("input_ids"))
 
 
 @query(

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 from collections import Counter
@@ -51,6 +52,14 @@ def test_encode_pad_decode(corpus):
     assert decoded == {str(i): " ".join(w if w in known else "[UNK]" for w in words[:5]) for i, words in enumerate(split)}
 
 
+def test_large_vocabulary_gives_the_same_ids(corpus, rows):
+    entries = build_vocabulary(corpus, words_of("text"), min_frequency=2)
+    nulls = corpus.unionByName(corpus.limit(1).selectExpr("'n' AS application_number", "cast(NULL AS string) AS text"))
+    small = encoding.encode(nulls, ["application_number"], words_of("text"), entries, None)
+    large = encoding.encode(nulls, ["application_number"], words_of("text"), entries, None, vocab_size=1_000_000)
+    assert rows(small) == rows(large) and ("n", []) in rows(small)
+
+
 def test_encode_carries_columns_and_whole_texts(corpus):
     entries = build_vocabulary(corpus, words_of("text"), min_frequency=1)
     extra = corpus.withColumn("labels", F.lit(1))
@@ -85,20 +94,16 @@ def test_pairs_get_a_separator(spark):
     assert encoded.first().input_ids == [4, 3, 2, 3]
 
 
-def test_pack_sequences_keeps_every_token_in_order(spark):
+@pytest.mark.parametrize("digits", [1, 4])
+def test_pack_sequences_lays_documents_end_to_end(spark, digits):
     random.seed(2)
     documents = {str(i): [random.randint(1, 99) for _ in range(random.choice([0, 3, 10, 45]))] for i in range(60)}
     df = spark.createDataFrame(list(documents.items()), "application_number string, input_ids array<int>")
-    chunks = pack_sequences(df, length=16, packs=3, seed=9).collect()
-    streams = {}
-    for row in sorted(chunks, key=lambda r: (r.pack, r.chunk)):
-        streams.setdefault(row.pack, []).append(row.input_ids)
-    for stream in streams.values():
-        assert all(len(chunk) == 16 for chunk in stream[:-1]) and 0 < len(stream[-1]) <= 16
-    flat = sorted(t for stream in streams.values() for chunk in stream for t in chunk)
-    assert flat == sorted(t for ids in documents.values() for t in ids)
-    joined = [" ".join(map(str, [t for chunk in stream for t in chunk])) for stream in streams.values()]
-    assert all(any(" ".join(map(str, ids)) in stream for stream in joined) for ids in documents.values())
+    chunks = pack_sequences(df, length=16, seed=9, digits=digits).collect()
+    order = sorted(documents, key=lambda i: hashlib.md5(f"9-{i}".encode()).hexdigest())
+    stream = [token for number in order for token in documents[number]]
+    expected = {i // 16: stream[i : i + 16] for i in range(0, len(stream), 16)}
+    assert {r.chunk: r.input_ids for r in chunks} == expected
 
 
 TRAIN = [("0", 1, "good fine good"), ("1", 1, "fine day"), ("2", 0, "bad day bad bad"), ("3", 0, "poor")]
