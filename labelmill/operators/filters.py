@@ -75,11 +75,15 @@ def in_years(df: DataFrame, years: Iterable[int]) -> DataFrame:
     return df.where(reduce(lambda a, b: a | b, ranges))
 
 
+def config_years(config: CorpusConfig) -> list[int]:
+    return list(config.years) if config.years is not None else needed_years(config)
+
+
 def select_metadata(df: DataFrame, config: CorpusConfig) -> DataFrame:
     """Classification, expression and year filters of a configuration."""
     df = by_classification(df, config.ipc_prefix, config.cpc_prefix)
     df = matching(df, config.query)
-    return in_years(df, config.years if config.years is not None else needed_years(config))
+    return in_years(df, config_years(config))
 
 
 def keep_decided(df: DataFrame, label: str = "labels") -> DataFrame:

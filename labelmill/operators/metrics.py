@@ -21,13 +21,26 @@ def _f1() -> Column:
     return F.coalesce(F.try_divide(2.0 * _cell(1, 1), 2 * _cell(1, 1) + errors), F.lit(0.0))
 
 
-def accuracy(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def _accuracy_columns() -> list[Column]:
     right = F.count_if(F.col("label") == F.col("pred"))
-    return df.groupBy(*by).agg(
+    return [
         F.count("*").alias("n"),
         right.alias("correct"),
         F.try_divide(right.cast("double"), F.count("*")).alias("accuracy"),
-    )
+    ]
+
+
+def _f1_columns() -> list[Column]:
+    return [_cell(1, 1).alias("tp"), _cell(0, 1).alias("fp"), _cell(1, 0).alias("fn"), _f1().alias("f1")]
+
+
+def accuracy(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return df.groupBy(*by).agg(*_accuracy_columns())
+
+
+def evaluate(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Accuracy and F1 with their counts in one pass over the predictions."""
+    return df.groupBy(*by).agg(*_accuracy_columns(), *_f1_columns())
 
 
 def confusion_matrix(df: DataFrame, classes: tuple[int, ...] = CLASSES) -> DataFrame:
@@ -42,16 +55,11 @@ def confusion_matrix(df: DataFrame, classes: tuple[int, ...] = CLASSES) -> DataF
 
 def f1_score(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """F1 of class 1 for binary predictions, 0 when it is not defined."""
-    return df.groupBy(*by).agg(
-        _cell(1, 1).alias("tp"), _cell(0, 1).alias("fp"), _cell(1, 0).alias("fn"), _f1().alias("f1")
-    )
+    return df.groupBy(*by).agg(*_f1_columns())
 
 
 def batch_metrics(df: DataFrame, batch: str = "batch_id") -> DataFrame:
-    hits = F.count_if(F.col("label") == F.col("pred"))
-    return df.groupBy(batch).agg(
-        F.count("*").alias("n"), hits.alias("correct"), (hits / F.count("*")).alias("accuracy"), _f1().alias("f1")
-    )
+    return df.groupBy(batch).agg(*_accuracy_columns(), _f1().alias("f1"))
 
 
 def average_precision(df: DataFrame, slices: int | None = None) -> DataFrame:

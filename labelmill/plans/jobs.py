@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from labelmill.config import CorpusConfig
 from labelmill.functions import words_of
 from labelmill.operators.examples import join_documents, map_decision, project_examples, select_section
-from labelmill.operators.filters import keep_decided, select_metadata
+from labelmill.operators.filters import config_years, in_years, keep_decided, select_metadata
 from labelmill.operators.models import argmax, score_naive_bayes, train_naive_bayes
 from labelmill.operators.predictions import with_outcome
 from labelmill.operators.splits import balance_classes, split_corpus
@@ -22,12 +22,13 @@ from labelmill.session import materialise
 def build_examples(metadata: DataFrame, documents: DataFrame, config: CorpusConfig) -> DataFrame:
     """Filter, split, look up, label and balance: ``(patent_number, split, labels, text)``.
 
-    The metadata is cut down first, so the year and the join keys prune the documents, and only
-    the columns a section needs are read of them.
+    The metadata is cut down first, the years in question prune the documents' partitions, and
+    only the columns a section needs are read of them.
     """
     parts = split_corpus(select_metadata(metadata, config), replace(config, balance_validation=False))
     section = ("claims", "examiner_id") if config.section == "examiner" else (config.section,)
     keep = tuple(dict.fromkeys(("decision", *section)))
+    documents = in_years(documents, config_years(config))
     joined = join_documents(parts, documents, keep).where("found")
     decision = F.col("doc_decision") if config.decision_from == "document" else F.col("decision")
     examples = joined.select(
@@ -46,6 +47,7 @@ def build_examples(metadata: DataFrame, documents: DataFrame, config: CorpusConf
 def full_examples(metadata: DataFrame, documents: DataFrame, config: CorpusConfig) -> DataFrame:
     """All 14 example columns with their split, for materialising a corpus."""
     parts = split_corpus(select_metadata(metadata, config), config)
+    documents = in_years(documents, config_years(config))
     return project_examples(join_documents(parts, documents), config.decision_from, carry=("split",))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labelmill.config import CorpusConfig
 from labelmill.functions import words_of
 from labelmill.operators import metrics, models, runlog, sinks, splits, statistics
 from labelmill.operators import predictions as outcome
@@ -11,6 +12,7 @@ from labelmill.operators.examples import split_unknown
 from labelmill.operators.filters import keep_decided
 from labelmill.operators.vocabulary import build_vocabulary
 from labelmill.plans import bindings as b
+from labelmill.plans.jobs import build_examples, classify
 from labelmill.plans.registry import query
 from labelmill.plans.views import key, sql, words
 from labelmill.session import materialise
@@ -113,7 +115,8 @@ def box_stats(spark, folder):
     return box.select("Prediction", "n", *rounded, "outliers")
 
 
-def _bayes_sql(kind: str) -> str:
+def _bayes_views(kind: str) -> str:
+    """From the view ``labelled`` to the view ``scored``."""
     seen = f"list_distinct({words('text')})" if kind == "bernoulli" else words("text")
     if kind == "multinomial":
         weight = "ln((n{c} + 1.0::DOUBLE) / ((SELECT sum(n{c}) FROM counts) + (SELECT count(*) FROM counts)))"
@@ -122,20 +125,26 @@ def _bayes_sql(kind: str) -> str:
         p = "((n{c} + 1.0::DOUBLE) / (d{c} + 2))"
         weight = f"ln({p}) - ln(1 - {p})"
         bias = f"ln(d{{c}} / d::DOUBLE) + (SELECT sum(ln(1 - {p})) FROM counts, sizes)"
-    return sql(
-        """SELECT application_number, split, labels, score_1, score_0, CASE WHEN score_1 > score_0 THEN 1 ELSE 0 END AS pred FROM (
- SELECT application_number, split, labels, round(coalesce(sum(w1), 0) + (SELECT b1 FROM bias), 3) AS score_1,
-  round(coalesce(sum(w0), 0) + (SELECT b0 FROM bias), 3) AS score_0
- FROM labelled LEFT JOIN seen USING (application_number) LEFT JOIN weights USING (token) GROUP BY application_number, split, labels)""",
-        "labelled",
-        extra=f"""known AS (SELECT token FROM (SELECT unnest({words('text')}) AS token FROM labelled WHERE split = 'train') GROUP BY token
+    return f"""known AS (SELECT token FROM (SELECT unnest({words('text')}) AS token FROM labelled WHERE split = 'train') GROUP BY token
   HAVING count(*) >= 3 QUALIFY row_number() OVER (ORDER BY count(*) DESC, token) <= 9998),
- seen AS (SELECT application_number, unnest({seen}) AS token FROM labelled),
+ seen AS (SELECT application_number, split, labels, unnest({seen}) AS token FROM labelled),
  counts AS (SELECT token, count(*) FILTER (labels = 1) AS n1, count(*) FILTER (labels = 0) AS n0
-  FROM seen JOIN labelled USING (application_number) JOIN known USING (token) WHERE split = 'train' GROUP BY token),
+  FROM seen JOIN known USING (token) WHERE split = 'train' GROUP BY token),
  sizes AS (SELECT count(*) AS d, count(*) FILTER (labels = 1) AS d1, count(*) FILTER (labels = 0) AS d0 FROM labelled WHERE split = 'train'),
  weights AS (SELECT token, {weight.format(c=1)} AS w1, {weight.format(c=0)} AS w0 FROM counts, sizes),
- bias AS (SELECT {bias.format(c=1)} AS b1, {bias.format(c=0)} AS b0 FROM sizes)""",
+ bias AS (SELECT {bias.format(c=1)} AS b1, {bias.format(c=0)} AS b0 FROM sizes),
+ scored AS (SELECT *, CASE WHEN score_1 > score_0 THEN 1 ELSE 0 END AS pred FROM (
+  SELECT l.application_number, l.split, l.labels, coalesce(sum(w1), 0) + (SELECT b1 FROM bias) AS score_1,
+   coalesce(sum(w0), 0) + (SELECT b0 FROM bias) AS score_0
+  FROM labelled l LEFT JOIN seen s ON s.application_number = l.application_number AND s.split = l.split
+  LEFT JOIN weights USING (token) GROUP BY l.application_number, l.split, l.labels))"""
+
+
+def _bayes_sql(kind: str) -> str:
+    return sql(
+        "SELECT application_number, split, labels, round(score_1, 3) AS score_1, round(score_0, 3) AS score_0, pred FROM scored",
+        "labelled",
+        extra=_bayes_views(kind),
     )
 
 
@@ -161,6 +170,41 @@ def nb_bernoulli(spark, folder):
     return _bayes_output(_bayes(spark, folder, "bernoulli"))
 
 
+_EVALUATION = CorpusConfig(
+    years=tuple(range(1995, 2002)),
+    train_start="1995-01-01",
+    train_end="2000-01-01",
+    val_end="2002-01-01",
+    balance_validation=True,
+)
+
+_EXAMPLES_SQL = f"""parted AS (SELECT *, 'train' AS split FROM joined WHERE filing_date >= TIMESTAMP '1995-01-01' AND filing_date < TIMESTAMP '2000-01-01'
+ UNION ALL SELECT *, 'validation' FROM joined WHERE filing_date >= TIMESTAMP '2000-01-01' AND filing_date < TIMESTAMP '2002-01-01'),
+ ranked AS (SELECT application_number, split, doc_decision, claims AS text,
+  row_number() OVER (PARTITION BY split, doc_decision ORDER BY {key('application_number')}) AS place FROM parted WHERE found),
+ labelled AS (SELECT application_number, split, text, CASE doc_decision WHEN 'ACCEPTED' THEN 1 ELSE 0 END AS labels FROM ranked
+  WHERE doc_decision IN ('ACCEPTED', 'REJECTED') AND (split = 'train' OR place <= (SELECT least(count(*) FILTER (doc_decision = 'ACCEPTED'),
+   count(*) FILTER (doc_decision = 'REJECTED')) FROM ranked WHERE split = 'validation')))"""
+
+
+@query(
+    "corpus_evaluation",
+    sql(
+        """SELECT split, n, correct, round(correct / n, 6) AS accuracy, tp, fp, fn,
+ round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0::DOUBLE * tp / (2 * tp + fp + fn) END, 6)::DOUBLE AS f1 FROM (
+ SELECT split, count(*) AS n, count(*) FILTER (labels = pred) AS correct, count(*) FILTER (labels = 1 AND pred = 1) AS tp,
+  count(*) FILTER (labels = 0 AND pred = 1) AS fp, count(*) FILTER (labels = 1 AND pred = 0) AS fn FROM scored GROUP BY split)""",
+        "joined",
+        extra=f"{_EXAMPLES_SQL}, {_bayes_views('multinomial')}",
+    ),
+)
+def corpus_evaluation(spark, folder):
+    """The whole way from metadata to metrics per split."""
+    examples = build_examples(b.filings(spark, folder), b.application_documents(spark, folder), _EVALUATION)
+    rows = metrics.evaluate(classify(examples, _EVALUATION), ("split",))
+    return rows.withColumns({"accuracy": F.round("accuracy", 6), "f1": F.round("f1", 6)})
+
+
 @query("logreg_bow")
 def logreg_bow(spark, folder):
     rows = materialise(b.labelled_texts(spark, folder), "labelled")

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # documents are bucketed by application number and looked up by that and the year
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

@@ -56,17 +56,26 @@ def quarantine(metadata: DataFrame, documents: DataFrame) -> DataFrame:
     return looked_up.select("application_number", reason.alias("reason")).where("reason <> 'ok'")
 
 
-def ingest_documents(documents: DataFrame, path: str) -> None:
+def ingest_documents(documents: DataFrame, path: str, table: str | None = None, buckets: int = 0) -> None:
     """Write usable documents once as Parquet partitioned by filing year.
 
-    The rebalance hint sizes the files and splits a year that holds much of the corpus.
+    The rebalance hint sizes the files and splits a year that holds much of the corpus. With
+    ``table`` and ``buckets`` the documents are also bucketed by application number and
+    registered: later lookups then move the narrow metadata only, never the texts.
     """
+    usable = documents.where("problem IS NULL").drop("problem")
+    if table is None:
+        usable.hint("rebalance", "filing_year").write.partitionBy("filing_year").parquet(path)
+        return
+    if buckets < 1:
+        raise ValueError("a bucketed table needs a positive number of buckets")
     (
-        documents.where("problem IS NULL")
-        .drop("problem")
-        .hint("rebalance", "filing_year")
+        usable.repartition(buckets, "application_number")
         .write.partitionBy("filing_year")
-        .parquet(path)
+        .bucketBy(buckets, "application_number")
+        .sortBy("application_number")
+        .option("path", path)
+        .saveAsTable(table, format="parquet")
     )
 
 

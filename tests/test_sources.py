@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from labelmill.operators.examples import join_documents
 from labelmill.schemas import DOCUMENT_KEYS, METADATA
 from labelmill.session import scratch_path
 from labelmill.sources import ingest_documents, list_columns, quarantine, read_documents, read_metadata, write_arrow, write_documents
@@ -50,6 +51,24 @@ def test_ingest_keeps_good_documents_partitioned_by_year(spark, folder, tmp_path
     assert "PartitionFilters: [isnotnull(filing_year" in plan
 
 
+def test_bucketed_documents_stay_in_place(spark, folder, tmp_path, rows):
+    path = str(tmp_path / "bucketed")
+    with pytest.raises(ValueError):
+        ingest_documents(read_documents(spark, folder), path, "documents_test")
+    ingest_documents(read_documents(spark, folder), path, "documents_test", buckets=6)
+    metadata = spark.createDataFrame([("1", "2015-03-01"), ("4", "2016-03-01"), ("9", "2015-01-01")], "application_number string, day string")
+    metadata = metadata.select("application_number", F.col("day").cast("timestamp_ntz").alias("filing_date"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = join_documents(metadata, spark.table("documents_test"), ("title",))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        assert rows(joined, "application_number", "found") == [("1", True), ("4", True), ("9", False)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE documents_test")
+
+
 def test_written_documents_are_read_back(spark, rows):
     path = scratch_path(spark, "docs")
     body = F.to_json(F.struct(*(F.lit(key).alias(key) for key in DOCUMENT_KEYS)))
