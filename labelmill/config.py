@@ -41,15 +41,16 @@ class CorpusConfig:
             raise ValueError("train_share must lie between 0 and 1")
 
 
+# ``sample`` is January 2016, for debugging; ``all`` covers every filing year.
 PRESETS = {
     "sample": CorpusConfig(
         name="sample",
-        metadata_path="./hupd_metadata_jan16_2022-02-22.feather",
+        metadata_path="./metadata_jan16.feather",
         documents_dir="./data",
     ),
     "all": CorpusConfig(
         name="all",
-        metadata_path="./hupd_metadata_2022-02-22.feather",
+        metadata_path="./metadata.feather",
         documents_dir="./data",
     ),
 }

@@ -71,7 +71,9 @@ def train_naive_bayes(
         *(F.count_if(F.col(label) == c).cast("double").alias(f"rows_{c}") for c in classes), size.alias("rows")
     )
     known = rows.select(F.struct("*")).scalar()
-    prior = {c: F.log(F.col("known")[f"rows_{c}"] / F.col("known")["rows"]) for c in classes}
+    # a class without rows has no logarithm and can never win
+    never = F.lit(float("-inf"))
+    prior = {c: F.coalesce(F.log(F.col("known")[f"rows_{c}"] / F.col("known")["rows"]), never) for c in classes}
     if kind == "multinomial":
         sums = counts.agg(*(F.sum(f"n_{c}").alias(f"n_{c}") for c in classes), size.alias("entries"))
         totals = sums.select(F.struct("*")).scalar()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,18 +13,20 @@ from labelmill.schemas import DOCUMENT, DOCUMENT_KEYS
 _PARSED = T.StructType([*DOCUMENT.fields, T.StructField("_corrupt", T.StringType())])
 
 
-def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+def read_documents(spark: SparkSession, folder: str, years: Iterable[int] | None = None) -> DataFrame:
     """Every ``{folder}/{year}/{application_number}.json`` as one row.
 
+    With ``years`` only those folders are listed and read; a year without a folder is skipped.
     ``problem`` is null for a good document, ``corrupt`` when the file does not parse and
     ``absent_key`` when one of the expected keys is not there. A key with a JSON null is fine,
     which is why the keys are looked at and not only the typed fields. Many small files share
     a task through Spark's file packing (spark.sql.files.openCostInBytes).
     """
+    path = folder if years is None else f"{folder.rstrip('/')}/{{{','.join(str(year) for year in sorted(set(years)))}}}"
     raw = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
-        .text(folder, wholetext=True)
+        .text(path, wholetext=True)
         .select("value", F.col("_metadata.file_path").alias("path"))
     )
     parsed = raw.select(

@@ -9,15 +9,22 @@ from pyspark.sql import types as T
 from labelmill.schemas import METADATA
 
 
-def read_metadata(spark: SparkSession, path: str, schema: T.StructType = METADATA) -> DataFrame:
-    """Read a metadata table; the suffix of ``path`` names the format."""
+def read_metadata(
+    spark: SparkSession, path: str, schema: T.StructType = METADATA, line_breaks: bool = True
+) -> DataFrame:
+    """Read a metadata table; the suffix of ``path`` names the format.
+
+    Text files may have line breaks inside quoted fields, so each is read by one task. Pass
+    ``line_breaks=False`` for files without them: Spark then splits large ones.
+    """
     name = path.rstrip("/").lower()
+    text = {"header": True, "escape": '"', "multiLine": line_breaks}
     if name.endswith(".parquet"):
         return spark.read.schema(schema).parquet(path)
     if name.endswith(".csv"):
-        return spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=True)
+        return spark.read.schema(schema).csv(path, **text)
     if name.endswith(".tsv"):
-        return spark.read.schema(schema).csv(path, header=True, sep="\t", escape='"', multiLine=True)
+        return spark.read.schema(schema).csv(path, sep="\t", **text)
     if name.endswith(".feather"):
         return read_arrow(spark, path, schema)
     if name.endswith(".pickle"):

@@ -32,6 +32,8 @@ def folder(tmp_path):
 def test_read_documents(spark, folder):
     got = {r.application_number: r for r in read_documents(spark, folder).collect()}
     assert {n: r.problem for n, r in got.items()} == {"1": None, "2": "corrupt", "3": "absent_key", "4": None, "9": None, "6": None}
+    some = read_documents(spark, folder, years=[2016, 2031])
+    assert sorted(r.application_number for r in some.collect()) == ["3", "4", "9"]
     assert got["1"].filing_year == 2015 and got["1"].title == "é\nmulti" and got["4"].patent_issue_date is None
 
 
@@ -111,6 +113,13 @@ def test_single_feather_file_with_many_batches(spark, tmp_path):
     assert back.agg(F.count("*"), F.count_distinct("application_number"), F.max("filing_date")).first()[:2] == (1000, 1000)
 
 
+def test_plain_text_metadata_can_be_split(spark, tmp_path):
+    lines = ["\t".join(METADATA.names)] + [f"{i}\t2016-01-0{i}T00:00:00\tACCEPTED" + "\tx" * 7 for i in range(1, 6)]
+    (tmp_path / "m.tsv").write_text("\n".join(lines))
+    back = read_metadata(spark, str(tmp_path / "m.tsv"), line_breaks=False)
+    assert back.agg(F.count("filing_date"), F.max("application_number")).first()[:] == (5, "5")
+
+
 @pytest.mark.parametrize("name", ["x.pickle", "x.xlsx", "x"])
 def test_other_formats_are_refused(spark, name):
     with pytest.raises(ValueError, match="Metadata file"):

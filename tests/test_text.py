@@ -146,6 +146,14 @@ def test_naive_bayes(spark, tmp_path, kind):
     assert {r.application_number: round(r.score_1, 9) for r in again.collect()} == {n: round(got[n].score_1, 9) for n, _, _ in TRAIN}
 
 
+@pytest.mark.parametrize("kind", ["multinomial", "bernoulli"])
+def test_naive_bayes_with_one_class(spark, kind):
+    train = spark.createDataFrame(TRAIN, "application_number string, labels int, text string").where("labels = 1")
+    model = models.train_naive_bayes(train, words_of("text"), build_vocabulary(train, words_of("text"), min_frequency=1), kind)
+    scored = models.argmax(models.score_naive_bayes(train, model, words_of("text"), ["application_number"]))
+    assert {(r.pred, round(r.probability, 6)) for r in scored.collect()} == {(1, 1.0)}
+
+
 def test_unknown_kind(spark):
     with pytest.raises(ValueError):
         models._events(F.array(), "gaussian")
