@@ -54,10 +54,10 @@ def full_examples(metadata: DataFrame, documents: DataFrame, config: CorpusConfi
 def classify(examples: DataFrame, config: CorpusConfig, kind: str = "multinomial") -> DataFrame:
     """Train naive Bayes on the train split and predict both: ``(patent_number, split, label, pred, score)``.
 
-    Vocabulary, training and scoring each read the examples, so these are written once first.
+    Vocabulary, training and scoring each read the tokens, so these are written once first.
     """
-    examples = materialise(examples, "examples")
-    words = words_of("text")
+    tokenised = examples.select("patent_number", "split", "labels", words_of("text").alias("tokens"))
+    examples, words = materialise(tokenised, "tokens"), F.col("tokens")
     train = examples.where("split = 'train'")
     vocabulary = build_vocabulary(train, words, config.vocab_size, config.min_frequency)
     model = train_naive_bayes(train, words, vocabulary, kind, vocab_size=config.vocab_size)

@@ -143,6 +143,10 @@ def filter_cpc_prefix(spark, folder):
     return rows.select("application_number", "main_cpc_label")
 
 
+def _stamp():
+    return F.date_format("filing_date", "yyyy-MM-dd HH:mm:ss").alias("filing_date")
+
+
 _EXPRESSION = "decision IN ('PENDING', 'CONT-PENDING') AND o_totalprice > 200000 AND uspc_class <> 'MACHINERY'"
 
 
@@ -158,22 +162,25 @@ def filter_expression(spark, folder):
 @query(
     "filter_date_range",
     sql(
-        """SELECT application_number, filing_date FROM filings
+        """SELECT application_number, strftime(filing_date, '%Y-%m-%d %H:%M:%S') AS filing_date FROM filings
  WHERE filing_date >= TIMESTAMP '1996-02-15' AND filing_date <= TIMESTAMP '1998-12-31'""",
         "filings",
     ),
 )
 def filter_date_range(spark, folder):
     rows = filters.filed_between(b.filings(spark, folder), "1996-2-15", "1998-12-31")
-    return rows.select("application_number", "filing_date")
+    return rows.select("application_number", _stamp())
 
 
 @query(
     "slice_years",
-    sql("SELECT application_number, filing_date FROM filings WHERE year(filing_date) IN (1995, 1997, 1998)", "filings"),
+    sql(
+        "SELECT application_number, strftime(filing_date, '%Y-%m-%d %H:%M:%S') AS filing_date FROM filings WHERE year(filing_date) IN (1995, 1997, 1998)",
+        "filings",
+    ),
 )
 def slice_years(spark, folder):
-    return filters.in_years(b.filings(spark, folder), [1995, 1997, 1998]).select("application_number", "filing_date")
+    return filters.in_years(b.filings(spark, folder), [1995, 1997, 1998]).select("application_number", _stamp())
 
 
 @query(
@@ -298,7 +305,7 @@ def nested_enrichment(spark, folder):
     "join_documents",
     sql(
         """SELECT application_number, CAST(filing_year AS INTEGER) AS filing_year, found, coalesce(title, '') AS title,
- coalesce(length(claims), 0) AS claim_chars FROM joined""",
+ CAST(coalesce(length(claims), 0) AS INTEGER) AS claim_chars FROM joined""",
         "joined",
     ),
 )
@@ -345,11 +352,12 @@ def tagged_union(spark, folder):
 @query(
     "union_slices",
     sql(
-        """SELECT application_number, filing_date FROM filings WHERE year(filing_date) = 1996
- UNION ALL SELECT application_number, filing_date FROM filings WHERE year(filing_date) BETWEEN 1996 AND 1998""",
+        """SELECT application_number, strftime(filing_date, '%Y-%m-%d %H:%M:%S') AS filing_date FROM (
+ SELECT * FROM filings WHERE year(filing_date) = 1996 UNION ALL SELECT * FROM filings WHERE year(filing_date) BETWEEN 1996 AND 1998)""",
         "filings",
     ),
 )
 def union_slices(spark, folder):
     rows = b.filings(spark, folder).select("application_number", "filing_date")
-    return outcome.union_all([filters.in_years(rows, [1996]), filters.in_years(rows, [1996, 1997, 1998])])
+    both = outcome.union_all([filters.in_years(rows, [1996]), filters.in_years(rows, [1996, 1997, 1998])])
+    return both.select("application_number", _stamp())

@@ -148,11 +148,19 @@ def _bayes_sql(kind: str) -> str:
     )
 
 
+def _tokenised(spark, folder):
+    """Labelled documents as tokens, written once: vocabulary, training and scoring all read them."""
+    return materialise(
+        b.labelled_texts(spark, folder).select("application_number", "split", "labels", words_of("text").alias("tokens")),
+        "tokens",
+    )
+
+
 def _bayes(spark, folder, kind):
-    rows = materialise(b.labelled_texts(spark, folder), "labelled")
+    rows, words = _tokenised(spark, folder), F.col("tokens")
     train = rows.where("split = 'train'")
-    model = models.train_naive_bayes(train, words_of("text"), build_vocabulary(train, words_of("text")), kind)
-    return models.argmax(models.score_naive_bayes(rows, model, words_of("text"), ["application_number", "split", "labels"]))
+    model = models.train_naive_bayes(train, words, build_vocabulary(train, words), kind)
+    return models.argmax(models.score_naive_bayes(rows, model, words, ["application_number", "split", "labels"]))
 
 
 def _bayes_output(scored):
@@ -207,10 +215,10 @@ def corpus_evaluation(spark, folder):
 
 @query("logreg_bow")
 def logreg_bow(spark, folder):
-    rows = materialise(b.labelled_texts(spark, folder), "labelled")
+    rows, words = _tokenised(spark, folder), F.col("tokens")
     train = statistics.with_row_weights(rows.where("split = 'train'"))
-    model = models.train_linear(train, words_of("text"), weight="weight")
-    return models.score_linear(rows, model, words_of("text"), ["application_number", "split", "labels"])
+    model = models.train_linear(train, words, weight="weight")
+    return models.score_linear(rows, model, words, ["application_number", "split", "labels"])
 
 
 def _letter_scores():

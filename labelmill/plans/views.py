@@ -66,7 +66,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "docs": (
         (),
-        """SELECT year(o_orderdate) AS filing_year, CAST(d.doc_id AS VARCHAR) AS application_number,
+        """SELECT CAST(year(o_orderdate) AS INTEGER) AS filing_year, CAST(d.doc_id AS VARCHAR) AS application_number,
  CASE quality WHEN 1 THEN 'ACCEPTED' WHEN 0 THEN 'REJECTED' ELSE 'PENDING' END AS decision,
  concat(source, '-', d.doc_id) AS title,
  concat(lang, ' document of ', n_chars, ' characters') AS abstract, text AS claims,
