@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import bpe, quality, sharding, token_counts
+from labelmill.llm import bpe, contamination, html_text, near_duplicates, quality, sharding, token_counts, toxicity
 from labelmill.llm.common import table
 from labelmill.llm.registry import ORACLES, QUERIES, query
 from labelmill.llm.sql import CRC_TABLE, crc32
@@ -49,6 +49,47 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), trusted)
 
 
+_OP4 = r"""
+WITH lowered AS (
+  SELECT 'd' AS kind, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL
+  SELECT 'b', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+tok AS (SELECT kind, id, list_filter(regexp_split_to_array(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM lowered),
+items AS (SELECT id AS item, words, least(13, len(words)) AS size FROM tok WHERE kind = 'b' AND len(words) > 0),
+windows AS (
+  SELECT DISTINCT item, size, array_to_string(words[i:i + size - 1], ' ') AS w FROM items, unnest(range(1, len(words) - size + 2)) AS u(i)),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (
+  SELECT id AS doc_id, size, i, array_to_string(words[i:i + size - 1], ' ') AS w
+  FROM tok, sizes, unnest(range(1, len(words) - size + 2)) AS u(i) WHERE kind = 'd' AND len(words) >= size),
+hits AS (SELECT doc_id, i, places.size, item FROM places JOIN windows ON places.size = windows.size AND places.w = windows.w),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hits, range(13) AS r(k) WHERE k < size GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, item::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT id AS doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM tok LEFT JOIN covered ON id = covered.doc_id LEFT JOIN named ON id = named.doc_id WHERE kind = 'd'
+"""
+
+
+@query("op4_winnowing", _OP4)
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+@query("op5_block_rules")
+def op5_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op6_string_kernel")
+def op6_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document before and after its mail addresses are masked."""
@@ -56,6 +97,28 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_edited(docs, token_counts.pattern_edits(F.col("text"), token_counts.MAIL, "[mail]"))
 
 
+_OP8 = r"""
+WITH RECURSIVE tok AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS s FROM tok, unnest(range(1, greatest(len(words) - 3, 2))) AS u(i) WHERE len(words) > 0),
+sized AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, other) AS (SELECT doc_id, doc_id FROM tok UNION SELECT node, b FROM reach JOIN ways ON other = a),
+lowest AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = doc_id AS kept
+FROM tok JOIN lowest ON doc_id = node LEFT JOIN sized USING (doc_id)
+"""
+
+
+@query("op8_lsh_forest", _OP8)
+def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op9_byte_bpe")
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
