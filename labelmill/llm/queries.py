@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import bpe, contamination, html_text, near_duplicates, quality, sharding, token_counts, toxicity
+from labelmill.llm import bpe, contamination, html_text, katz, near_duplicates, quality, sharding, suffix_dedup, token_counts, toxicity
 from labelmill.llm.common import table
 from labelmill.llm.registry import ORACLES, QUERIES, query
 from labelmill.llm.sql import CRC_TABLE, crc32
@@ -49,6 +49,34 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), trusted)
 
 
+_OP2 = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+places AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM texts, unnest(range(n - 49)) AS u(p) WHERE n >= 50),
+firsts AS (SELECT s, min(doc_id) AS first FROM places GROUP BY s),
+hits AS (SELECT doc_id, p FROM places JOIN firsts USING (s) WHERE first < doc_id),
+edges AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM hits),
+heads AS (SELECT *, sum(CASE WHEN before IS NULL OR p > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM edges),
+spans AS (SELECT doc_id, span, min(p) AS a, max(p) + 50 AS b FROM heads GROUP BY doc_id, span),
+cuts AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS kept_from FROM spans),
+pieces AS (
+  SELECT doc_id, string_agg(substr(h, 2 * kept_from + 1, 2 * (a - kept_from)), '' ORDER BY a) AS kept, max(b) AS rest, count(*) AS n_spans, sum(b - a) AS n_removed
+  FROM cuts JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(rest, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN pieces USING (doc_id)
+"""
+
+
+@query("op2_suffix_runs", _OP2)
+def op2_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op3_katz")
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 _OP4 = r"""
 WITH lowered AS (
   SELECT 'd' AS kind, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
