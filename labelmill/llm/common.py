@@ -48,6 +48,12 @@ def stored(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, dropped: DataFrame, bound: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``dropped (doc_id)``; up to ``bound`` ids are broadcast, more are joined."""
+    ids = stored(dropped.select("doc_id").distinct(), "dropped")
+    return docs.join(F.broadcast(ids) if ids.count() <= bound else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
 def parts(spark: SparkSession) -> int:
     """Partitions of a shuffle; results do not depend on it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

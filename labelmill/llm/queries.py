@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from labelmill.llm import bpe, contamination, html_text, katz, near_duplicates, quality, sharding, suffix_dedup, token_counts, toxicity
 from labelmill.llm.common import table
 from labelmill.llm.registry import ORACLES, QUERIES, query
@@ -180,3 +181,8 @@ FROM sized JOIN placed USING (key)
 @query("op10_minimax_shards", _OP10)
 def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -338,7 +338,7 @@ def _removed(length: int, with_text: bool):
             removed += max(0, stop - start)
             kept.append(text[end:])
             left = b"".join(kept)
-            rows.append((doc, hashlib.sha256(text).hexdigest(), removed, count, hashlib.sha256(left).hexdigest(), left if with_text else None))
+            rows.append((doc, hashlib.sha256(text).hexdigest(), removed, count, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore").encode() if with_text else None))
         return pa.Table.from_batches([_rows(_RESULT, rows)])
 
     return run
@@ -364,7 +364,8 @@ def first_texts(docs: DataFrame, groups: int) -> DataFrame:
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """What is left of each distinct text: ``(first_id, text_key, n_removed, n_spans, kept_sha256, kept)``.
 
-    ``kept`` (the bytes that stay) is null unless asked for. ``text_key`` is the SHA-256 of the text's bytes.
+    ``kept`` (what stays, without the rest of characters that were cut) is null unless asked for. ``text_key`` is the SHA-256 of
+    the text's bytes, ``kept_sha256`` that of all bytes that stay.
     """
     spark = docs.sparkSession
     n = parts(spark)
@@ -386,8 +387,24 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text:
     return out.withColumnRenamed("doc_id", "first_id")
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The same rows and columns, repeats cut from ``text``, ``n_chars`` (if there) counted anew; rules as below.
+
+    A character cut in half goes whole. A null text stays null.
+    """
+    raw = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
+    found = repeats(docs, length, gram, True).select("text_key", "first_id", F.col("kept").cast("string").alias("_kept"))
+    joined = docs.withColumn("_key", F.sha2(raw, 256)).join(found.withColumnRenamed("text_key", "_key").withColumnRenamed("first_id", "_first"), "_key", "left")
+    copy = (F.col("_first") < F.col("doc_id")) & (F.octet_length(raw) >= length)
+    text = F.when(F.col("text").isNull(), F.lit(None)).when(copy, F.lit("")).when(F.col("_first") == F.col("doc_id"), F.col("_kept")).otherwise(F.col("text"))
+    out = joined.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every document, with ``kept`` the bytes that stay.
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every document, with ``kept`` as of ``repeats``.
 
     A byte goes if a string of ``length`` bytes over it also starts in a document with a smaller id. A text equal to one
     of a smaller id goes whole, unless it is shorter than ``length``. A null text is empty; rows with a null id take no

@@ -296,6 +296,16 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
     return train([words.split() for _, _, words in rows], [bool(label) for _, label, _ in rows])
 
 
+def worst_words(texts: list[bytes], model: Model, known: dict[bytes, float]) -> list[bytes | None]:
+    """The word of each text that scores highest; ``known`` keeps the scores of words."""
+    bags = [words_of(text) for text in texts]
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    fresh = list({word for bag in bags for word in bag}.difference(known))
+    known.update(zip(fresh, model.word_scores(fresh).tolist(), strict=True))
+    return [max(bag, key=known.__getitem__) if bag else None for bag in bags]
+
+
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, held_out, score, predicted, worst_word)`` for every document, whole texts.
 
@@ -308,12 +318,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         own = shared.value
         known: dict[bytes, float] = {}
         for batch in batches:
-            bags = [words_of(text) for text in batch.column("text").to_pylist()]
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            fresh = list({word for bag in bags for word in bag}.difference(known))
-            known.update(zip(fresh, own.word_scores(fresh).tolist(), strict=True))
-            worst = [max(bag, key=known.__getitem__) if bag else None for bag in bags]
+            worst = worst_words(batch.column("text").to_pylist(), own, known)
             scores = [0.0 if word is None else own.probability(known[word]) for word in worst]
             yield pa.RecordBatch.from_pydict(
                 {
@@ -326,3 +331,17 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     rows = narrow(docs).mapInArrow(run, "doc_id long, score double, worst_word string")
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "worst_word")
 
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, all columns, that are not predicted toxic. Rows are dropped where they are read."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known = shared.value, {}
+        for batch in batches:
+            worst = worst_words([(text or "").encode() for text in batch.column("text").to_pylist()], own, known)
+            keep = [word is None or own.probability(known[word]) < threshold for word in worst]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
