@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-# The years the full corpus covers, the seed and the train share of the uniform split.
-FIRST_YEAR, LAST_YEAR = 2004, 2018
+# The seed and the train share of the uniform split.
 SPLIT_SEED = 1729
 TRAIN_SHARE = 0.85
 
@@ -41,7 +40,7 @@ class CorpusConfig:
             raise ValueError("train_share must lie between 0 and 1")
 
 
-# ``sample`` is January 2016, for debugging; ``all`` covers every filing year.
+# ``sample`` points to one month of filings, enough to try things out; ``all`` to every filing year.
 PRESETS = {
     "sample": CorpusConfig(
         name="sample",
@@ -61,6 +60,8 @@ def evaluation(config: CorpusConfig) -> CorpusConfig:
     return replace(
         config,
         name="all",
+        metadata_path=PRESETS["all"].metadata_path,
+        documents_dir=PRESETS["all"].documents_dir,
         train_start="2015-01-01",
         val_end="2015-2-15",
         uniform_split=True,
@@ -68,20 +69,16 @@ def evaluation(config: CorpusConfig) -> CorpusConfig:
     )
 
 
-def _year(bound: str) -> int:
-    return int(bound[:4])
+def needed_years(config: CorpusConfig) -> list[int] | None:
+    """Filing years that the windows of a configuration touch, to prune partitions; None: any year.
 
-
-def needed_years(config: CorpusConfig) -> list[int]:
-    """Filing years the configured date bounds can touch; used to prune partitions.
-
-    With all four bounds the train and validation ranges are united, with only the outer two
-    the whole stretch between them is needed, otherwise every year of the corpus.
+    A uniform split, or bounds without an end of training, is one window; otherwise training and validation are one each. A
+    window that is open on one side touches years without end.
     """
-    if not (config.train_start and config.val_end):
-        return list(range(FIRST_YEAR, LAST_YEAR + 1))
-    if config.train_end and config.val_start:
-        train = range(_year(config.train_start), _year(config.train_end) + 1)
-        validation = range(_year(config.val_start), _year(config.val_end) + 1)
-        return sorted({*train, *validation})
-    return list(range(_year(config.train_start), _year(config.val_end) + 1))
+    if config.uniform_split or config.train_end is None:
+        windows = [(config.train_start, config.val_end)]
+    else:
+        windows = [(config.train_start, config.train_end), (config.val_start or config.train_end, config.val_end)]
+    if any(bound is None for window in windows for bound in window):
+        return None
+    return sorted({year for first, last in windows for year in range(int(first[:4]), int(last[:4]) + 1)})

@@ -8,6 +8,9 @@ points only decide who does the work, the result is exact.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,10 +65,12 @@ def cumulative(
     carried = totals.select(
         *group, *(F.coalesce(F.sum(f"_total_{name}").over(earlier), F.lit(0)).alias(f"_carry_{name}") for name in names)
     )
+    other = carried.withColumnsRenamed({name: f"_of_{name}" for name in group})
+    same = reduce(and_, (F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in group))
     return (
-        sliced.join(carried, group)
+        sliced.join(other, same)
         .withColumns({f"cum_{name}": F.col(f"_carry_{name}") + F.sum(name).over(inside) for name in names})
-        .drop("_slice", *(f"_carry_{name}" for name in names))
+        .drop("_slice", *(f"_of_{name}" for name in group), *(f"_carry_{name}" for name in names))
     )
 
 

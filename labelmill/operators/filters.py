@@ -75,15 +75,16 @@ def in_years(df: DataFrame, years: Iterable[int]) -> DataFrame:
     return df.where(reduce(lambda a, b: a | b, ranges))
 
 
-def config_years(config: CorpusConfig) -> list[int]:
+def config_years(config: CorpusConfig) -> list[int] | None:
+    """Years whose partitions are read: those asked for, else those the windows touch; None: all."""
     return list(config.years) if config.years is not None else needed_years(config)
 
 
 def select_metadata(df: DataFrame, config: CorpusConfig) -> DataFrame:
-    """Classification, expression and year filters of a configuration."""
+    """Classification, expression and year filters of a configuration. Only years that are asked for are a row filter."""
     df = by_classification(df, config.ipc_prefix, config.cpc_prefix)
     df = matching(df, config.query)
-    return in_years(df, config_years(config))
+    return df if config.years is None else in_years(df, list(config.years))
 
 
 def keep_decided(df: DataFrame, label: str = "labels") -> DataFrame:

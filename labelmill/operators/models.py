@@ -1,4 +1,4 @@
-"""Baseline text classifiers as Spark jobs."""
+"""Baseline text models as Spark jobs."""
 
 from __future__ import annotations
 
@@ -137,17 +137,17 @@ def train_linear(
     iterations: int = 20,
     regularisation: float = 1e-4,
 ) -> PipelineModel:
-    """Linear bag-of-words classifier: one weight per token, summed over the text.
+    """Linear bag-of-words model: one weight per token, summed over the text.
 
     Fitting is an action. The driver holds the bounded vocabulary and one vector of its size.
     """
     counter = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocab_size, minDF=min_documents)
     columns = {"weightCol": weight} if weight else {}
-    classifier = LogisticRegression(
+    fitter = LogisticRegression(
         featuresCol="features", labelCol="label", maxIter=iterations, regParam=regularisation, **columns
     )
     training = df.select(F.col(label).cast("double").alias("label"), tokens.alias("tokens"), *([weight] if weight else []))
-    return Pipeline(stages=[counter, classifier]).fit(training)
+    return Pipeline(stages=[counter, fitter]).fit(training)
 
 
 def score_linear(df: DataFrame, model: PipelineModel, tokens: Column, keys: list[str]) -> DataFrame:

@@ -3,11 +3,14 @@
 A window partitioned by run puts a whole run into one task. Here the whole-number order is cut
 into blocks: a window covers one block of one run, and a running aggregate over the block totals
 carries the earlier blocks in. Order numbers are unique within a run, so a block has at most
-``block`` rows. Keys must not be null.
+``block`` rows. Rows without a key are a run of their own.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +43,9 @@ def running(
         *(_REDUCE[kind][1](f"_total_{name}").over(earlier).alias(f"_carry_{name}") for name, (kind, _, _) in measures.items()),
     )
     inside = Window.partitionBy(*group).orderBy(order)
-    joined = blocked.join(carried, group)
+    other = carried.withColumnsRenamed({name: f"_of_{name}" for name in group})
+    same = reduce(and_, (F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in group))
+    joined = blocked.join(other, same).drop(*(f"_of_{name}" for name in group))
     columns = {}
     for name, (kind, value, inclusive) in measures.items():
         frame = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelmill.config import SPLIT_SEED, TRAIN_SHARE, CorpusConfig
@@ -94,12 +94,16 @@ def head_per_class(
     classes: tuple = (1, 0),
     size: int = 500,
     identifier: str = ID,
-    block: int = 1 << 16,
 ) -> DataFrame:
-    """The first ``size`` rows of each class in the order of a whole-number id."""
-    kept = df.where(F.col(label).isin(list(classes))).withColumn("_order", F.col(identifier).cast("long"))
-    bucket = F.floor(F.col("_order") / F.lit(block))
-    return smallest(kept, "_order", bucket, F.lit(size), F.col(label)).drop("_order")
+    """The first ``size`` rows of each class: whole-number ids by their number, then all others by their text.
+
+    Tasks keep ``size`` rows per class before anything moves, as long as the limit is not above
+    ``spark.sql.optimizer.windowGroupLimitThreshold``.
+    """
+    kept = df.where(F.col(label).isin(list(classes)))
+    order = (F.col(identifier).try_cast("long").asc_nulls_last(), F.col(identifier))
+    place = F.row_number().over(Window.partitionBy(label).orderBy(*order))
+    return kept.withColumn("_place", place).where(F.col("_place") <= size).drop("_place")
 
 
 def seeded_shuffle(df: DataFrame, seed: int = SPLIT_SEED, identifier: str = ID) -> DataFrame:
@@ -116,20 +120,22 @@ def weighted_sample(
     label: str = "labels",
     seed: int = SPLIT_SEED,
     identifier: str = ID,
-    steps: int = 4096,
+    steps: int = 1024,
 ) -> DataFrame:
     """``size`` rows without replacement, drawn with weight 1 / class frequency.
 
     Each row gets the key -ln(u)/weight and the smallest keys win (Efraimidis and Spirakis 2006).
-    Weights are relative to the rarest class so that keys of all sizes of data share one scale.
+    Weights are relative to the rarest class so that keys of all sizes of data share one scale. Rows without a label are a
+    class of their own.
     """
-    counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    frequency = counts.agg(F.map_from_entries(F.collect_list(F.struct(label, "n")))).scalar()
+    name = F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("none"))
+    counts = df.groupBy(name.alias("_class")).agg(F.count("*").alias("n"))
+    frequency = counts.agg(F.map_from_entries(F.collect_list(F.struct("_class", "n")))).scalar()
     rarest = counts.agg(F.min("n")).scalar()
-    scaled = -F.log(unit_interval(seeded_key(identifier, seed))) * frequency[F.col(label)] / rarest
+    scaled = -F.log(unit_interval(seeded_key(identifier, seed))) * frequency[name] / rarest
     keyed = df.withColumn("sample_key", scaled)
-    # -ln(u) is below 34, but a class may be very much more frequent than the rarest one
-    bucket = F.floor(F.log1p(F.col("sample_key")) * steps)
+    # on a logarithmic scale a bucket near the k-th smallest key holds about k / steps rows, whatever the number of rows
+    bucket = F.floor(F.log(F.greatest(F.col("sample_key"), F.lit(1e-300))) * steps)
     return smallest(keyed, "sample_key", bucket, F.lit(size))
 
 

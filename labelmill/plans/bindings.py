@@ -73,7 +73,7 @@ def decided_filings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """A price rule as classifier: dearer orders are predicted to be accepted."""
+    """A price rule: dearer orders are predicted to be accepted."""
     scored = decided_filings(spark, folder).select(
         "application_number",
         F.col("labels").alias("label"),

@@ -19,6 +19,18 @@ from labelmill.operators.vocabulary import build_vocabulary
 from labelmill.session import materialise
 
 
+def _pruned(documents: DataFrame, config: CorpusConfig) -> DataFrame:
+    years = config_years(config)
+    return documents if years is None else in_years(documents, years)
+
+
+def _balanced(examples: DataFrame, config: CorpusConfig) -> DataFrame:
+    if not config.balance_validation:
+        return examples
+    validation = F.col("split") == "validation"
+    return balance_classes(examples, seed=config.seed, identifier="patent_number", only=validation)
+
+
 def build_examples(metadata: DataFrame, documents: DataFrame, config: CorpusConfig) -> DataFrame:
     """Filter, split, look up, label and balance: ``(patent_number, split, labels, text)``.
 
@@ -28,7 +40,7 @@ def build_examples(metadata: DataFrame, documents: DataFrame, config: CorpusConf
     parts = split_corpus(select_metadata(metadata, config), replace(config, balance_validation=False))
     section = ("claims", "examiner_id") if config.section == "examiner" else (config.section,)
     keep = tuple(dict.fromkeys(("decision", *section)))
-    documents = in_years(documents, config_years(config))
+    documents = _pruned(documents, config)
     joined = join_documents(parts, documents, keep).where("found")
     decision = F.col("doc_decision") if config.decision_from == "document" else F.col("decision")
     examples = joined.select(
@@ -37,18 +49,15 @@ def build_examples(metadata: DataFrame, documents: DataFrame, config: CorpusConf
         decision.alias("decision"),
         *(F.col(f"doc_{name}").alias(name) for name in section),
     )
-    if config.balance_validation:
-        validation = F.col("split") == "validation"
-        examples = balance_classes(examples, seed=config.seed, identifier="patent_number", only=validation)
-    labelled = keep_decided(map_decision(examples))
+    labelled = keep_decided(map_decision(_balanced(examples, config)))
     return select_section(labelled, config.section, carry=("split",))
 
 
 def full_examples(metadata: DataFrame, documents: DataFrame, config: CorpusConfig) -> DataFrame:
-    """All 14 example columns with their split, for materialising a corpus."""
-    parts = split_corpus(select_metadata(metadata, config), config)
-    documents = in_years(documents, config_years(config))
-    return project_examples(join_documents(parts, documents), config.decision_from, carry=("split",))
+    """All 14 example columns with their split, for materialising a corpus; balanced on the decision that it emits."""
+    parts = split_corpus(select_metadata(metadata, config), replace(config, balance_validation=False))
+    joined = join_documents(parts, _pruned(documents, config))
+    return _balanced(project_examples(joined, config.decision_from, carry=("split",)), config)
 
 
 def classify(examples: DataFrame, config: CorpusConfig, kind: str = "multinomial") -> DataFrame:
@@ -70,6 +79,7 @@ def classify(examples: DataFrame, config: CorpusConfig, kind: str = "multinomial
 def error_breakdown(metadata: DataFrame, predictions: DataFrame, features: list[str], threshold: int = 5) -> dict[str, DataFrame]:
     """Outcome counts per feature. Features with many values show only clear differences."""
     outcomes = with_outcome(metadata, predictions)
+    # The features with many values.
     wide = ("uspc_class", "uspc_subclass", "examiner_full_name")
     return {
         feature: outcome_gap(outcomes, feature, threshold) if feature in wide else outcome_pivot(outcomes, feature, fill=False)

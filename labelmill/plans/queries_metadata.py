@@ -36,7 +36,8 @@ def read_metadata_formats(spark, folder):
     metadata = b.classified_filings(spark, folder).select(*METADATA.fieldNames())
     paths = {suffix: f"{scratch_path(spark, 'metadata')}.{suffix}" for suffix in _FORMATS}
     metadata.write.parquet(paths["parquet"])
-    written = spark.read.schema(METADATA).parquet(paths["parquet"])
+    # other formats hold the columns in another order, and one more
+    written = spark.read.parquet(paths["parquet"]).select(*reversed(METADATA.names), F.lit("x").alias("further"))
     written.write.option("escape", '"').csv(paths["csv"], header=True)
     written.write.option("escape", '"').csv(paths["tsv"], header=True, sep="\t")
     write_arrow(written, paths["feather"])
@@ -195,6 +196,15 @@ def needed_years_query(spark, folder):
     return filters.count_by_year(filters.in_years(b.filings(spark, folder), needed_years(config)))
 
 
+@query(
+    "default_window",
+    sql("SELECT CAST(year(filing_date) AS INTEGER) AS filing_year, count(*) AS n FROM filings GROUP BY 1", "filings"),
+)
+def default_window(spark, folder):
+    """A configuration without bounds or years keeps every filing."""
+    return filters.count_by_year(filters.select_metadata(b.filings(spark, folder), CorpusConfig()))
+
+
 @query(
     "count_by_year",
     sql("SELECT CAST(year(filing_date) AS INTEGER) AS filing_year, count(*) AS n FROM filings GROUP BY 1", "filings"),

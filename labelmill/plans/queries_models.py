@@ -1,4 +1,4 @@
-"""Queries: statistics, classifiers, metrics, metric log. Doubles are rounded on both sides."""
+"""Queries: statistics, models, metrics, metric log. Doubles are rounded on both sides."""
 
 from __future__ import annotations
 

@@ -9,27 +9,41 @@ from pyspark.sql import types as T
 from labelmill.schemas import METADATA
 
 
-def read_metadata(
-    spark: SparkSession, path: str, schema: T.StructType = METADATA, line_breaks: bool = True
-) -> DataFrame:
-    """Read a metadata table; the suffix of ``path`` names the format.
+# Columns without which a table is no metadata table; other declared ones are null where a file lacks them.
+REQUIRED = ("application_number", "filing_date", "decision")
 
-    Text files may have line breaks inside quoted fields, so each is read by one task. Pass
-    ``line_breaks=False`` for files without them: Spark then splits large ones.
+
+def _declared(df: DataFrame, schema: T.StructType, path: str) -> DataFrame:
+    """Declared columns first, found by name and cast; further columns stay as they are."""
+    missing = [name for name in REQUIRED if name in schema.names and name not in df.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in {path}")
+    declared = [
+        (F.col(f"`{field.name}`").try_cast(field.dataType) if field.name in df.columns else F.lit(None).cast(field.dataType)).alias(field.name)
+        for field in schema.fields
+    ]
+    return df.select(*declared, *(F.col(f"`{name}`") for name in df.columns if name not in schema.names))
+
+
+def read_metadata(spark: SparkSession, path: str, schema: T.StructType = METADATA, line_breaks: bool = False) -> DataFrame:
+    """Read a metadata table; the suffix of ``path`` names the format. Columns are found by their names.
+
+    Large text files are split among tasks. Pass ``line_breaks=True`` for text files with line breaks inside quoted fields;
+    each of those is read by one task.
     """
     name = path.rstrip("/").lower()
     text = {"header": True, "escape": '"', "multiLine": line_breaks}
     if name.endswith(".parquet"):
-        return spark.read.schema(schema).parquet(path)
+        return _declared(spark.read.parquet(path), schema, path)
     if name.endswith(".csv"):
-        return spark.read.schema(schema).csv(path, **text)
+        return _declared(spark.read.csv(path, **text), schema, path)
     if name.endswith(".tsv"):
-        return spark.read.schema(schema).csv(path, sep="\t", **text)
+        return _declared(spark.read.csv(path, sep="\t", **text), schema, path)
     if name.endswith(".feather"):
-        return read_arrow(spark, path, schema)
+        return _declared(read_arrow(spark, path), schema, path)
     if name.endswith(".pickle"):
-        raise ValueError(f"Metadata file refused, unpickling runs code: {path}")
-    raise ValueError(f"Metadata file invalid: {path}")
+        raise ValueError(f"Unpickling runs code, so this metadata file is not read: {path}")
+    raise ValueError(f"No metadata format with this suffix: {path}")
 
 
 def _arrow_file(location: str):
@@ -43,21 +57,37 @@ def _arrow_file(location: str):
     return pa.ipc.open_file(filesystem.open_input_file(inner))
 
 
-def read_arrow(spark: SparkSession, path: str, schema: T.StructType = METADATA) -> DataFrame:
-    """Arrow IPC (Feather v2) files, read in parallel by record batch.
+def read_arrow(spark: SparkSession, path: str) -> DataFrame:
+    """Arrow IPC (Feather v2) files, read in parallel by record batch, with the columns of the first file.
 
     Only paths and batch numbers travel through the first step; every task then opens its
     files and reads single batches, so neither a large file nor a folder of files is held whole.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_schema
 
-    wanted = to_arrow_schema(schema)
     # a folder named like x.feather holds the files; a plain file is read alone
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
 
-    def batches_of(parts):
-        import pyarrow as pa
+    def plain(kind):
+        """A type that Spark takes: categories as their values, times in microseconds."""
+        if pa.types.is_dictionary(kind):
+            return plain(kind.value_type)
+        return pa.timestamp("us", kind.tz) if pa.types.is_timestamp(kind) else kind
 
+    def schema_of(parts):
+        for part in parts:
+            for location in part.column(0).to_pylist():
+                found = _arrow_file(location).schema
+                found = pa.schema([(field.name, plain(field.type)) for field in found])
+                yield pa.RecordBatch.from_pydict({"schema": pa.array([found.serialize().to_pybytes()], pa.binary())})
+
+    first = files.orderBy("path").limit(1).mapInArrow(schema_of, "schema binary").first()
+    if first is None:
+        raise ValueError(f"no Arrow file in {path}")
+    wanted = pa.ipc.read_schema(pa.py_buffer(bytes(first["schema"])))
+
+    def batches_of(parts):
         for part in parts:
             for location in part.column(0).to_pylist():
                 count = _arrow_file(location).num_record_batches
@@ -68,15 +98,16 @@ def read_arrow(spark: SparkSession, path: str, schema: T.StructType = METADATA)
                     )
 
     def rows_of(parts):
-        import pyarrow as pa
-
         for part in parts:
             for location, number in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 table = pa.Table.from_batches([_arrow_file(location).get_batch(number)])
-                yield from table.select(wanted.names).cast(wanted).to_batches()
+                columns = [table.column(f.name).cast(f.type, safe=False) if f.name in table.column_names else pa.nulls(len(table), f.type) for f in wanted]
+                yield from pa.table(columns, schema=wanted).to_batches()
 
     slots = files.mapInArrow(batches_of, "path string, batch int")
-    return slots.repartition("path", "batch").mapInArrow(rows_of, schema)
+    # with a number, adaptive execution does not merge these few small rows into one task
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return slots.repartition(tasks, "path", "batch").mapInArrow(rows_of, from_arrow_schema(wanted))
 
 
 def write_arrow(df: DataFrame, path: str) -> None:

@@ -16,7 +16,9 @@ def test_presets_and_evaluation():
 
 
 def test_needed_years():
-    assert needed_years(CorpusConfig()) == list(range(2004, 2019))
+    assert needed_years(CorpusConfig()) is None
+    assert needed_years(CorpusConfig(train_start="1995-01-01")) is None
+    assert needed_years(CorpusConfig(train_end="1995-01-01", val_end="1996-01-01")) is None
     assert needed_years(CorpusConfig(train_start="2010-01-01", val_end="2012-02-01")) == [2010, 2011, 2012]
     four = CorpusConfig(train_start="2010-05-01", train_end="2011-01-01", val_start="2014-01-01", val_end="2014-12-31")
     assert needed_years(four) == [2010, 2011, 2014]

@@ -115,3 +115,11 @@ def test_average_precision_without_positives(spark):
     none = spark.createDataFrame([(0, 0.2), (0, 0.4)], "label int, score double")
     assert tuple(metrics.average_precision(none).first()) == (0, 0.0)
     assert tuple(metrics.average_precision(none.limit(0)).first()) == (0, 0.0)
+
+
+def test_rows_without_a_run_stay(spark):
+    from labelmill.operators.running import running
+
+    df = spark.createDataFrame([(None if i % 4 == 0 else "a", i) for i in range(20)], "run string, step int")
+    out = running(df, ["run"], "step", {"n": ("count", F.col("step"), True)}, block=4)
+    assert out.count() == 20 and out.where("run IS NULL").agg(F.max("n")).first()[0] == 5

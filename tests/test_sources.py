@@ -95,7 +95,7 @@ def test_metadata_formats(spark, rows, suffix):
         write_arrow(df, path)
     else:
         df.write.option("escape", '"').csv(path, header=True, sep="\t" if suffix == "tsv" else ",")
-    back = read_metadata(spark, path)
+    back = read_metadata(spark, path, line_breaks=True)
     assert back.schema.names == METADATA.names
     assert {tuple(r) for r in back.collect()} == {tuple(r) for r in df.collect()}
 
@@ -111,6 +111,37 @@ def test_single_feather_file_with_many_batches(spark, tmp_path):
     feather.write_feather(pa.Table.from_pandas(frame, preserve_index=False), path, chunksize=64)
     back = read_metadata(spark, path)
     assert back.agg(F.count("*"), F.count_distinct("application_number"), F.max("filing_date")).first()[:2] == (1000, 1000)
+    assert back.select(F.spark_partition_id()).distinct().count() > 1
+
+
+@pytest.mark.parametrize("suffix", ["parquet", "csv", "tsv", "feather"])
+def test_metadata_columns_are_found_by_name(spark, suffix):
+    """Shuffled columns, one more than declared, one that is declared left out."""
+    names = [n for n in reversed(METADATA.names) if n != "examiner_id"]
+    df = spark.createDataFrame([("5", "7")], "date_application_published string, application_number string")
+    for n in names:
+        if n != "application_number":
+            df = df.withColumn(n, F.lit("2015-01-02 03:04:05").cast("timestamp_ntz") if n == "filing_date" else F.lit(f"value of {n}"))
+    df = df.select("date_application_published", *names)
+    path = f"{scratch_path(spark, 'meta')}.{suffix}"
+    if suffix == "parquet":
+        df.write.parquet(path)
+    elif suffix == "feather":
+        write_arrow(df, path)
+    else:
+        df.write.csv(path, header=True, sep="\t" if suffix == "tsv" else ",")
+    back = read_metadata(spark, path)
+    assert back.columns == [*METADATA.names, "date_application_published"]
+    row = back.first().asDict()
+    assert row["application_number"] == "7" and row["decision"] == "value of decision" and row["examiner_id"] is None
+    assert str(row["filing_date"]) == "2015-01-02 03:04:05" and row["date_application_published"] == "5"
+
+
+def test_required_columns(spark):
+    path = f"{scratch_path(spark, 'meta')}.csv"
+    spark.createDataFrame([("1", "ACCEPTED")], "application_number string, decision string").write.csv(path, header=True)
+    with pytest.raises(ValueError, match="filing_date"):
+        read_metadata(spark, path)
 
 
 def test_plain_text_metadata_can_be_split(spark, tmp_path):
@@ -122,7 +153,7 @@ def test_plain_text_metadata_can_be_split(spark, tmp_path):
 
 @pytest.mark.parametrize("name", ["x.pickle", "x.xlsx", "x"])
 def test_other_formats_are_refused(spark, name):
-    with pytest.raises(ValueError, match="Metadata file"):
+    with pytest.raises(ValueError, match="metadata"):
         read_metadata(spark, name)
 
 

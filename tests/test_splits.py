@@ -105,7 +105,7 @@ def test_balance_on_top_of_a_join(spark, filings, threshold):
 
 def test_head_per_class(filings):
     labelled = filings.where("decision <> 'PENDING'").withColumn("labels", F.when(F.col("decision") == "ACCEPTED", 1).otherwise(0))
-    got = splits.head_per_class(labelled, size=20, block=64).collect()
+    got = splits.head_per_class(labelled, size=20).collect()
     for label, wanted in ((1, lambda i: i % 3 and i % 10 != 1), (0, lambda i: i % 3 and i % 10 == 1)):
         expected = [i for i in range(1000) if wanted(i)][:20]
         assert sorted(int(r.application_number) for r in got if r.labels == label) == expected
@@ -141,3 +141,15 @@ def test_positions_and_batches(filings, rows):
 
 def test_step_budget(filings):
     assert tuple(sinks.step_budget(filings, 8, 8).first()) == (1000, 15)
+
+
+def test_heads_take_any_id_and_limit_early(spark):
+    df = spark.createDataFrame([(i, 1) for i in ("RE0", "10", "9", "D7", "2")], "application_number string, labels int")
+    heads = splits.head_per_class(df, size=4)
+    assert sorted(r.application_number for r in heads.collect()) == ["10", "2", "9", "D7"]
+    assert "WindowGroupLimit" in heads._jdf.queryExecution().executedPlan().toString()
+
+
+def test_weighted_sample_with_null_labels(spark):
+    df = spark.createDataFrame([(str(i), i % 3 if i % 4 else None) for i in range(200)], "application_number string, labels int")
+    assert splits.weighted_sample(df, 50).count() == 50
