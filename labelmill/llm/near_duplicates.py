@@ -26,7 +26,7 @@ SHINGLE, SIMILARITY = 5, 75
 TREES, DEPTH, FIRST_DEPTH = 16, 4, 2
 # Documents from which a node is searched deeper, sketches compared at once, and the share of equal hashes (in 64) below
 # which a pair is not confirmed: 4.6 standard deviations below 0.75.
-CROWDED, BLOCK, LIKELY = 8, 512, 32
+CROWDED, BLOCK, LIKELY = 8, 2048, 32
 # Ids that may be broadcast, 8 bytes each; more are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -123,9 +123,16 @@ def _equal_hashes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, similarity: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full shingle sets are similar enough; only texts that occur in a pair are looked at."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def similar(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
+    if 100 * min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= similarity * (len(x) + len(y) - common)
+
+
+def _set_table(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``(doc_id, set)``: full shingle sets of the documents named in ``ids (doc_id)``, written once."""
+    ids = ids.distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
 
@@ -136,16 +143,21 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, similarity: int) ->
                 found = [some.tobytes() for some in shingle_sets(texts, size, hashes)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, pa.int64()), "set": pa.array(found, pa.binary())})
 
+    rows = narrow(docs).join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary")
+    return stored(rows.dropDuplicates(["doc_id"]), "sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, size: int, similarity: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose full shingle sets are similar enough; only texts that occur in a pair are looked at."""
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= similarity * (len(x) + len(y) - common))
+            keep = [
+                similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity)
+                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+            ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    table = stored(narrow(docs).join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary").dropDuplicates(["doc_id"]), "sets")
+    table = _set_table(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), docs, size)
     x, y = (table.select(F.col("doc_id").alias(side), F.col("set").alias(name)) for side, name in (("a", "x"), ("b", "y")))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
@@ -165,13 +177,43 @@ def _stars(rows: DataFrame) -> DataFrame:
     return found.where("a <> b").distinct()
 
 
-def _apart(rows: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
-    """Likely pairs between documents that share a node but are not connected yet.
+def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows that follow each other with the same node and pair of blocks."""
+    group, held = None, []
+    for batch in batches:
+        for node, i, j, *row in zip(*(batch.column(name).to_pylist() for name in ("node", "i", "j", *names)), strict=True):
+            if (node, i, j) != group:
+                if held:
+                    yield group, held
+                group, held = (node, i, j), []
+            held.append(tuple(row))
+    if held:
+        yield group, held
+
+
+def _likely(group: tuple, rows: list[tuple]) -> list[tuple[int, int, int]]:
+    """Pairs across a group's two blocks that are in different components and likely: equal hashes and both places."""
+    own, comps = (np.array([row[k] for row in rows], np.int64) for k in (0, 2))
+    table = np.frombuffer(b"".join(row[3] for row in rows), np.uint32).reshape(-1, _HASHES)
+    left, right = np.flatnonzero(own == group[1]), np.flatnonzero(own == group[2])
+    out = []
+    for at, x in enumerate(left.tolist()):
+        others = left[at + 1 :] if group[1] == group[2] else right
+        others = others[comps[others] != comps[x]]
+        equal = (table[others] == table[x]).sum(1)
+        out += [(int(n), x, int(y)) for n, y in zip(equal[equal >= LIKELY], others[equal >= LIKELY], strict=True)]
+    return out
+
+
+def _apart(rows: DataFrame, classes: DataFrame, linked: DataFrame, docs: DataFrame, size: int, similarity: int) -> DataFrame:
+    """Confirmed links between documents that share a node but were not connected yet, enough to connect them.
 
-    A node is cut into blocks; each pair of blocks is compared by itself, on sketches, without listing pairs. Equal
-    member lists of different trees are compared once.
+    A node is cut into blocks, and each pair of blocks is a task's group. A first pass over sketches finds the documents
+    with a likely partner in another component; only those come back with their full sets. The second pass tests the
+    likely pairs, best first, and leaves out those that its own links have connected. So no list of pairs is ever moved or
+    written: rows grow with the documents of the nodes. Equal member lists of different trees are compared once.
     """
-    spark_parts = parts(rows.sparkSession)
+    n = parts(rows.sparkSession)
     key = f"k{FIRST_DEPTH}"
     members = rows.select(key, "doc_id").join(linked.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     members = members.withColumn("component", F.coalesce("component", "doc_id"))
@@ -187,43 +229,49 @@ def _apart(rows: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
     dealt = placed.withColumn("other", other).select(
         F.col(key).alias("node"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component"
     )
-    dealt = dealt.join(classes.select("doc_id", "sketch"), "doc_id")
-
-    def compare(ids, comps, own, i, j, rows_):
-        pairs = []
-        side = [np.flatnonzero(own == i), np.flatnonzero(own == j)]
-        for at, x in enumerate(side[0].tolist()):
-            ys = side[1] if i != j else side[0][at + 1 :]
-            if len(ys):
-                ys = ys[comps[ys] != comps[x]]
-                likely = ys[(rows_[ys] == rows_[x]).sum(1) >= LIKELY]
-                pairs += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in likely.tolist()]
-        return pairs
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
-
-        def flush():
-            if len(held) < 2:
-                return []
-            ids, comps, own = (np.array([row[k] for row in held], np.int64) for k in (0, 1, 2))
-            rows_ = np.frombuffer(b"".join(row[3] for row in held), np.uint32).reshape(-1, _HASHES)
-            return compare(ids, comps, own, group[1], group[2], rows_)
-
-        for batch in batches:
-            out = []
-            columns = [batch.column(name).to_pylist() for name in ("node", "i", "j", "doc_id", "component", "own", "sketch")]
-            for node, i, j, *row in zip(*columns, strict=True):
-                if (node, i, j) != group:
-                    out += flush()
-                    group, held = (node, i, j), []
-                held.append(row)
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-        out = flush()
-        yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
-    ordered = dealt.repartition(spark_parts, "node", "i", "j").sortWithinPartitions("node", "i", "j")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    schema = "node long, i int, j int, own int, doc_id long, component long"
+
+    def in_groups(table: DataFrame) -> DataFrame:
+        return table.repartition(n, "node", "i", "j").sortWithinPartitions("node", "i", "j", "doc_id")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for group, held in _groups(batches, ("own", "doc_id", "component", "sketch")):
+            out += [(*group, *held[k][:3]) for k in sorted({k for _, x, y in _likely(group, held) for k in (x, y)})]
+            if len(out) >= 10_000:
+                yield _batch(out, schema)
+                out = []
+        yield _batch(out, schema)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for group, held in _groups(batches, ("own", "doc_id", "component", "sketch", "set")):
+            root = {row[2]: row[2] for row in held}
+
+            def top(x, root=root):
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            sets = [np.frombuffer(row[4], np.uint64) for row in held]
+            for _, x, y in sorted(_likely(group, held), reverse=True):
+                a, b = top(held[x][2]), top(held[y][2])
+                if a != b and similar(sets[x], sets[y], similarity):
+                    root[a] = b
+                    out.append((held[x][1], held[y][1]))
+        yield _batch(out, "a long, b long")
+
+    sketched = dealt.join(classes.select("doc_id", "sketch"), "doc_id")
+    found = stored(in_groups(sketched).mapInArrow(find, schema), "apart")
+    sets = _set_table(found.select("doc_id"), docs, size)
+    full = found.join(classes.select("doc_id", "sketch"), "doc_id").join(sets, "doc_id")
+    return stored(in_groups(full).mapInArrow(settle, "a long, b long"), "confirmed")
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [field.split() for field in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array([row[k] for row in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)], [name for name, _ in fields])
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
@@ -241,9 +289,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
     rows = stored(forest(classes), "forest")
     links = stored(confirmed(stored(_equal_hashes(_stars(rows), classes), "pairs"), docs, size, similarity), "confirmed")
     linked = components(links)
-    more = stored(_apart(rows, classes, linked), "pairs")
+    more = _apart(rows, classes, linked, docs, size, similarity)
     if not more.isEmpty():
-        linked = components(links.unionByName(confirmed(more, docs, size, similarity)))
+        linked = components(links.unionByName(more))
     found = by_set.select("set_key", F.col("doc_id").alias("node")).join(linked, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     component = F.coalesce("component", "doc_id")
     return table.join(found, "set_key", "left").select(
