@@ -10,8 +10,9 @@ each toxic document the word that the machine of the round before finds worst.
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -127,13 +128,16 @@ def mapped_rows(rows: np.ndarray, to_map: np.ndarray) -> np.ndarray:
 
 
 def features(rows: np.ndarray) -> np.ndarray:
-    """Scaled subsequence counts as a dense matrix; for landmarks, which are few."""
+    """Scaled subsequence counts as a dense matrix; for landmarks, which are few. Filled a few rows at a time."""
     size = SYMBOLS**3
-    out = np.zeros(len(rows) * size)
-    at = np.arange(len(rows))[:, None] * size
-    for codes, counts, weight in _terms(rows):
-        out += weight * np.bincount((at + codes)[counts], minlength=len(out))
-    return out.reshape(len(rows), size) / _norms(rows)[:, None]
+    out = np.zeros((len(rows), size))
+    for start in range(0, len(rows), 16):
+        some = rows[start : start + 16]
+        at = np.arange(len(some))[:, None] * size
+        for codes, counts, weight in _terms(some):
+            out[start : start + 16] += weight * np.bincount((at + codes)[counts], minlength=len(some) * size).reshape(-1, size)
+        out[start : start + 16] /= _norms(some)[:, None]
+    return out
 
 
 @dataclass(frozen=True)
@@ -201,17 +205,26 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-3), b
 
 
-def train(bags: list[list[bytes]], toxic: list[bool], landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Model:
-    """From the distinct words of labelled documents. One label only: every document scores 0 or every one 1."""
+def train(bags: Iterable[list[bytes]], toxic: list[bool], landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Model:
+    """From the distinct words of labelled documents. One label only: every document scores 0 or every one 1.
+
+    ``bags`` is read once; what stays of a document is one number per distinct part.
+    """
     if not any(toxic) or all(toxic):
         return Model(np.zeros(SYMBOLS**3), 0.0, 0.0, 12.0 if any(toxic) else -12.0)
-    # equal bags of words are one example
-    once = {(label, *bag): None for bag, label in zip(bags, toxic, strict=True)}
-    bags, toxic = [list(key[1:]) for key in once], [key[0] for key in once]
-    label = np.array(toxic)
     units: dict[bytes, int] = {}
-    inside = [np.array(sorted({units.setdefault(part, len(units)) for word in bag for part in parts_of(word)}), np.int64) for bag in bags]
+    once: set[bytes] = set()
+    inside, kept = [], []
+    for bag, is_toxic in zip(bags, toxic, strict=True):
+        # equal bags of words are one example
+        digest = hashlib.sha256(b" ".join([b"01"[is_toxic : is_toxic + 1], *bag])).digest()
+        if digest not in once:
+            once.add(digest)
+            inside.append(np.array(sorted({units.setdefault(part, len(units)) for word in bag for part in parts_of(word)}), np.int32))
+            kept.append(is_toxic)
+    toxic, label = kept, np.array(kept)
     parts = list(units)
+    del units, once
     if not parts:
         return Model(np.zeros(SYMBOLS**3), 0.0, 0.0, -12.0)
     sizes = np.array([len(bag) for bag in inside])
@@ -228,6 +241,7 @@ def train(bags: list[list[bytes]], toxic: list[bool], landmarks: int = LANDMARKS
     values, vectors = np.linalg.eigh(z @ z.T)
     # the map of a part is its kernel with the landmarks, whitened: column j of this table gives coordinate j
     to_map = z.T @ (vectors / np.sqrt(np.maximum(values, 1e-3)))
+    del z
 
     # in each toxic document, the parts that tell it from chance about as well as its best one does
     sure: dict[int, int] = {}
@@ -293,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
 
     sample = labelled_sample(docs, labels, toxic, clean).select("doc_id", "toxic", "text")
     rows = sorted((row["doc_id"], row["toxic"], bytes(row["words"])) for row in sample.mapInArrow(bags, "doc_id long, toxic int, words binary").collect())
-    return train([words.split() for _, _, words in rows], [bool(label) for _, label, _ in rows])
+    return train((words.split() for _, _, words in rows), [bool(label) for _, label, _ in rows])
 
 
 def worst_words(texts: list[bytes], model: Model, known: dict[bytes, float]) -> list[bytes | None]:
