@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelmill.llm.common import hold
+
 # Entries a process keeps of encoded chunks, encoded pre-tokens and tested token pairs, before it starts afresh.
 CACHE_CHUNKS, CACHE_PIECES, CACHE_PAIRS = 800_000, 400_000, 600_000
 
@@ -167,7 +169,8 @@ _CODERS: dict[tuple[str, str], Coder] = {}
 
 
 def coder(path: str, pattern: str) -> Coder:
-    """One coder per process and rank file; its cache serves all tasks of a Python worker."""
+    """One coder per process and rank file; its cache serves all tasks of a Python worker until another operator runs."""
+    hold("bpe", _CODERS.clear)
     if (path, pattern) not in _CODERS:
         _CODERS[path, pattern] = Coder(path, pattern)
     return _CODERS[path, pattern]

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,10 +116,23 @@ def windowed_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(power[: len(power) - rest], power[rest:]) if rest else power
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, release: Callable[[], None] | None = None) -> None:
+    """Caches of one operator only stay in a Python worker: what the operator before kept in this process is released."""
+    for other in [name for name in _HELD if name != owner]:
+        _HELD.pop(other)()
+        pa.default_memory_pool().release_unused()
+    if release:
+        _HELD[owner] = release
+
+
 class WordHashes:
     """64-bit hashes of words by a per-process dictionary of bounded size; equal words, equal hashes, in any process."""
 
     def __init__(self, bound: int = 400_000):
+        hold("words")
         self.bound, self.known = bound, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:

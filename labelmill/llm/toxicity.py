@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import narrow
+from labelmill.llm.common import chunked, hold, narrow
 
 # Symbols of the kernel's alphabet, weight of one step in a stretch, and the longest stretch.
 SYMBOLS, DECAY, STRETCH = 32, 0.6, 6
@@ -301,6 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
     """Train on the bounded labelled sample; only distinct words of the sample come to the driver."""
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity")
         for batch in batches:
             found = [b" ".join(sorted(set(words_of(text)))[:SAMPLE_WORDS]) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "words": pa.array(found, pa.binary())})
@@ -310,14 +311,22 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
     return train((words.split() for _, _, words in rows), [bool(label) for _, label, _ in rows])
 
 
-def worst_words(texts: list[bytes], model: Model, known: dict[bytes, float]) -> list[bytes | None]:
-    """The word of each text that scores highest; ``known`` keeps the scores of words."""
-    bags = [words_of(text) for text in texts]
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    fresh = list({word for bag in bags for word in bag}.difference(known))
-    known.update(zip(fresh, model.word_scores(fresh).tolist(), strict=True))
-    return [max(bag, key=known.__getitem__) if bag else None for bag in bags]
+def worst_words(texts: list[bytes], model: Model, known: dict[bytes, float]) -> list[tuple[bytes, float] | None]:
+    """The word of each text that scores highest, and its score; ``known`` keeps the scores of words.
+
+    The words of a bounded run of texts, or of one longer text, are held at a time.
+    """
+    out: list[tuple[bytes, float] | None] = []
+    for _, some in chunked(range(len(texts)), texts):
+        bags = [words_of(text) for text in some]
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        fresh = list({word for bag in bags for word in bag}.difference(known))
+        known.update(zip(fresh, model.word_scores(fresh).tolist(), strict=True))
+        for bag in bags:
+            word = max(bag, key=known.__getitem__) if bag else None
+            out.append(None if word is None else (word, known[word]))
+    return out
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -329,16 +338,17 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity")
         own = shared.value
         known: dict[bytes, float] = {}
         for batch in batches:
             worst = worst_words(batch.column("text").to_pylist(), own, known)
-            scores = [0.0 if word is None else own.probability(known[word]) for word in worst]
+            scores = [0.0 if found is None else own.probability(found[1]) for found in worst]
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),
                     "score": pa.array(scores, pa.float64()),
-                    "worst_word": pa.array([None if word is None else word.decode("utf-8", "replace") for word in worst], pa.string()),
+                    "worst_word": pa.array([None if found is None else found[0].decode("utf-8", "replace") for found in worst], pa.string()),
                 }
             )
 
@@ -346,16 +356,16 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "worst_word")
 
 
-
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns, that are not predicted toxic. Rows are dropped where they are read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity")
         own, known = shared.value, {}
         for batch in batches:
             worst = worst_words([(text or "").encode() for text in batch.column("text").to_pylist()], own, known)
-            keep = [word is None or own.probability(known[word]) < threshold for word in worst]
+            keep = [found is None or own.probability(found[1]) < threshold for found in worst]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
