@@ -344,6 +344,23 @@ def running_mean(spark, folder):
     return means.select("run_id", "entry", "i", F.round(F.col("running_mean") + 1e-9, 6).alias("running_mean"))
 
 
+@query(
+    "running_mean_by_time",
+    """SELECT user_id AS run_id, event_id AS entry, epoch_us(ts) AS step,
+ round(avg(value) OVER (PARTITION BY user_id ORDER BY ts) + 1e-9, 6) AS running_mean FROM events""",
+)
+def running_mean_by_time(spark, folder):
+    """Steps are event times in microseconds, far apart."""
+    log = b.table(spark, folder, "events").select(
+        F.col("user_id").alias("run_id"),
+        F.col("event_id").alias("entry"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("step"),
+        "value",
+    )
+    means = runlog.running_mean(log, RUN, "step")
+    return means.select("run_id", "entry", "step", F.round(F.col("running_mean") + 1e-9, 6).alias("running_mean"))
+
+
 @query(
     "best_so_far",
     sql(

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from labelmill.operators import metrics, runlog, statistics
@@ -20,10 +21,10 @@ def log(spark):
     return df, runs
 
 
-@pytest.mark.parametrize("block", [1, 7, 100, 1 << 16])
-def test_running_mean(log, block):
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_running_mean(log, parts):
     df, runs = log
-    got = {(r.run_id, r.entry): (r.i, r.running_mean) for r in runlog.running_mean(df, ["run_id"], "entry", block=block).collect()}
+    got = {(r.run_id, r.entry): (r.i, r.running_mean) for r in runlog.running_mean(df, ["run_id"], "entry", parts=parts).collect()}
     assert len(got) == 600
     for run, entries in runs.items():
         total = 0.0
@@ -34,17 +35,17 @@ def test_running_mean(log, block):
 
 def test_running_mean_by_index(log):
     df, runs = log
-    got = {(r.run_id, r.entry): r.running_mean for r in runlog.running_mean(df, ["run_id"], "entry", divide_by_index=True, block=50).collect()}
+    got = {(r.run_id, r.entry): r.running_mean for r in runlog.running_mean(df, ["run_id"], "entry", divide_by_index=True, parts=5).collect()}
     for run, entries in runs.items():
         values = [v for _, v in entries]
         for i, (entry, _) in enumerate(entries):
             assert got[run, entry] == pytest.approx(sum(values[: i + 1]) / max(i, 1))
 
 
-@pytest.mark.parametrize("block", [3, 64, 1 << 16])
-def test_best_so_far(log, block):
+@pytest.mark.parametrize("parts", [1, 3, 64])
+def test_best_so_far(log, parts):
     df, runs = log
-    got = {(r.run_id, r.entry): (r.best, r.improved) for r in runlog.best_so_far(df, ["run_id"], "entry", block=block).collect()}
+    got = {(r.run_id, r.entry): (r.best, r.improved) for r in runlog.best_so_far(df, ["run_id"], "entry", parts=parts).collect()}
     for run, entries in runs.items():
         best = 0.0
         for entry, value in entries:
@@ -54,12 +55,12 @@ def test_best_so_far(log, block):
 
 def test_every_nth_and_groups(log):
     df, runs = log
-    nth = {(r.run_id, r.entry) for r in runlog.every_nth_step(df, ["run_id"], "entry", 4, block=16).collect()}
+    nth = {(r.run_id, r.entry) for r in runlog.every_nth_step(df, ["run_id"], "entry", 4, parts=16).collect()}
     assert nth == {(run, entry) for run, entries in runs.items() for i, (entry, _) in enumerate(entries) if i and i % 4 == 0}
-    groups = {(r.run_id, r.group_id): r.total for r in runlog.accumulation_groups(df, ["run_id"], "entry", 8, block=16).collect()}
+    groups = {(r.run_id, r.group_id): r.total for r in runlog.accumulation_groups(df, ["run_id"], "entry", 8, parts=16).collect()}
     expected = {(run, g): sum(v for _, v in entries[8 * g : 8 * g + 8]) for run, entries in runs.items() for g in range(len(entries) // 8)}
     assert groups.keys() == expected.keys() and all(groups[k] == pytest.approx(v) for k, v in expected.items())
-    everything = runlog.accumulation_groups(df, ["run_id"], "entry", 8, complete_only=False, block=16)
+    everything = runlog.accumulation_groups(df, ["run_id"], "entry", 8, complete_only=False, parts=16)
     assert everything.agg(F.sum("n")).first()[0] == 600
 
 
@@ -121,5 +122,16 @@ def test_rows_without_a_run_stay(spark):
     from labelmill.operators.running import running
 
     df = spark.createDataFrame([(None if i % 4 == 0 else "a", i) for i in range(20)], "run string, step int")
-    out = running(df, ["run"], "step", {"n": ("count", F.col("step"), True)}, block=4)
+    out = running(df, ["run"], "step", {"n": ("count", F.col("step"), True)}, parts=4)
     assert out.count() == 20 and out.where("run IS NULL").agg(F.max("n")).first()[0] == 5
+
+
+def test_sparse_steps(spark):
+    """Steps 100,000 apart, most rows in one run, against a plain window."""
+    df = spark.range(20_000).selectExpr("if(id % 10 = 0, id % 7, 0) AS run", "id * 100000 AS step", "cast(id % 13 AS double) AS value")
+    got = runlog.running_mean(df, ["run"], "step", parts=8).cache()
+    window = Window.partitionBy("run").orderBy("step")
+    plain = df.withColumns({"place": F.row_number().over(window) - 1, "mean": F.avg("value").over(window)})
+    both = got.join(plain.select("run", "step", "place", "mean"), ["run", "step"])
+    assert both.count() == 20_000 and both.where("i <> place OR abs(running_mean - mean) > 1e-9").count() == 0
+    assert got.select("run", "step").distinct().count() == 20_000
