@@ -12,7 +12,7 @@ from labelmill.operators.examples import split_unknown
 from labelmill.operators.filters import keep_decided
 from labelmill.operators.vocabulary import build_vocabulary
 from labelmill.plans import bindings as b
-from labelmill.plans.jobs import build_examples, classify
+from labelmill.plans.jobs import build_examples, classify, error_breakdown
 from labelmill.plans.registry import query
 from labelmill.plans.views import key, sql, words
 from labelmill.session import materialise
@@ -93,6 +93,24 @@ def outcome_by_decision(spark, folder):
     return statistics.outcome_pivot(_outcomes(spark, folder), "decision_as_of_2020", fill=False)
 
 
+_WIDE = ("uspc_class", "uspc_subclass", "examiner_full_name")
+
+
+def _breakdown_sql(feature: str) -> str:
+    clear = " HAVING abs(count(*) FILTER (Prediction = 'Correct') - count(*) FILTER (Prediction = 'Incorrect')) > 5" if feature in _WIDE else ""
+    return f"SELECT '{feature}' AS feature, {feature} AS value, {_COUNTS} FROM outcomes GROUP BY {feature}{clear}"
+
+
+@query("error_breakdown", sql(" UNION ALL ".join(map(_breakdown_sql, (*_WIDE, "decision_as_of_2020"))), "outcomes"))
+def breakdown(spark, folder):
+    """Outcome counts over all four features."""
+    features = [*_WIDE, "decision_as_of_2020"]
+    tables = error_breakdown(b.classified_filings(spark, folder), b.predictions(spark, folder), features)
+    return outcome.union_all(
+        [tables[name].select(F.lit(name).alias("feature"), F.col(name).alias("value"), "Correct", "Incorrect") for name in features]
+    )
+
+
 @query(
     "box_stats",
     sql(

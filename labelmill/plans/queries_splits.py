@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelmill.operators import metrics, sinks, splits
+from labelmill.operators import metrics, sinks, splits, statistics
 from labelmill.operators import predictions as outcome
 from labelmill.plans import bindings as b
 from labelmill.plans.registry import query
@@ -139,7 +139,13 @@ _F1 = "CASE WHEN 2 * count(*) FILTER (label = 1 AND pred = 1) + count(*) FILTER
  UNION ALL SELECT 'val/tp', (count(*) FILTER (label = 1 AND pred = 1))::DOUBLE FROM predictions
  UNION ALL SELECT 'val/fp', (count(*) FILTER (label = 0 AND pred = 1))::DOUBLE FROM predictions
  UNION ALL SELECT 'val/fn', (count(*) FILTER (label = 1 AND pred = 0))::DOUBLE FROM predictions
- UNION ALL SELECT 'val/f1', ({_F1})::DOUBLE FROM predictions)""",
+ UNION ALL SELECT 'val/f1', ({_F1})::DOUBLE FROM predictions
+ UNION ALL SELECT 'val/loss', sum(w * -ln(CASE label WHEN 1 THEN p ELSE 1 - p END)) / sum(w) FROM (
+  SELECT label, least(greatest(score, 1e-12), 1 - 1e-12) AS p,
+   CASE label WHEN 1 THEN 1 - (SELECT avg(label) FROM predictions) ELSE (SELECT avg(label) FROM predictions) END AS w FROM predictions)
+ UNION ALL SELECT 'val/auprc', sum(pos * cp / cn) / sum(pos) FROM (
+  SELECT pos, sum(pos) OVER (ORDER BY score DESC) AS cp, sum(n) OVER (ORDER BY score DESC) AS cn FROM (
+   SELECT score, sum(label) AS pos, count(*) AS n FROM predictions GROUP BY score)))""",
         "predictions",
     ),
 )
@@ -148,7 +154,11 @@ def metrics_report(spark, folder):
     path = scratch_path(spark, "metrics")
     report = sinks.metrics_report({"val/": metrics.accuracy(scored)}, "price_rule", 1)
     sinks.append_metrics(report, path)
+    # the cells of the confusion matrix that F1 uses; the fourth is n less these
     sinks.append_metrics(sinks.metrics_report({"val/": metrics.f1_score(scored)}, "price_rule", 1), path)
+    loss = metrics.cross_entropy(statistics.with_row_weights(scored, "label")).select("loss")
+    sinks.append_metrics(sinks.metrics_report({"val/": loss}, "price_rule", 1), path)
+    sinks.append_metrics(sinks.metrics_report({"val/": metrics.average_precision(scored).select("auprc")}, "price_rule", 1), path)
     return sinks.read_metrics(spark, path).withColumn("value", F.round("value", 6))
 
 
