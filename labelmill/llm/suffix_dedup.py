@@ -67,7 +67,8 @@ def anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.
     number = np.searchsorted(starts, place, side="right") - 1
     within = place + gram <= starts[number + 1]
     place, number = place[within], number[within]
-    return place, number, hashes[place] >> np.uint64(64 - _HASH_BITS), starts
+    # the hashes of anchors are the small ones; mixed again, they share out evenly among buckets
+    return place, number, mix(hashes[place]) >> np.uint64(64 - _HASH_BITS), starts
 
 
 def _rows(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
