@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import WordHashes, chunked, gram_hash, narrow, windowed_min
+from labelmill.llm.common import WordHashes, chunked, gram_hash, joined_hash, narrow, stored, windowed_min
 
 # Words of a window, words of a fingerprinted gram, and the share of hit words (1 in ...) that contaminates.
 WINDOW, GRAM, SHARE = 13, 5, 20
-# Windows of the benchmark that one pass over the documents carries (about 100 bytes each); more mean more passes.
+# Windows of the benchmark that may be broadcast (about 100 bytes each); more are joined.
 PACK_WINDOWS = 200_000
 
 # Bytes of a word: a-z, 0-9 and all of UTF-8 beyond ASCII.
@@ -46,7 +46,7 @@ def gram_of(size: int, gram: int) -> int:
 
 
 class Pack:
-    """A bounded part of the benchmark's windows, ready for lookup."""
+    """The windows of a bounded benchmark, ready for lookup."""
 
     def __init__(self, rows: list[tuple[str, int, list[str]]], gram: int):
         hashes = WordHashes()
@@ -118,29 +118,96 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, pack_windows: int = PACK_WINDOWS) -> DataFrame:
-    """Hit spans and items of every document: ``(doc_id, n_words, spans, items)``.
+    """Hit spans and items of every document: ``(doc_id, n_words, spans, items)``, one row for each row of ``docs``.
 
-    The documents are read once for every ``pack_windows`` windows of the benchmark, which are dealt out by hash; with one
-    pack nothing is shuffled, with more the spans of a document are put together by its key.
+    Up to ``pack_windows`` windows of the benchmark are broadcast and the documents are read once, without a shuffle. More
+    are joined on Spark and never pass through the driver. Both give the same rows.
     """
-    spark = docs.sparkSession
     windows = item_windows(items, window)
-    packs = max(1, -(-windows.count() // pack_windows))
+    if windows.count() > pack_windows:
+        return _joined_hits(docs, windows, gram)
+    pack = docs.sparkSession.sparkContext.broadcast(Pack([(row["window"], row["size"], row["items"]) for row in windows.collect()], gram))
+
+    def scan(batches):
+        return _scan(batches, pack.value)
+
+    return narrow(docs).mapInArrow(scan, "doc_id long, n_words long, spans array<array<int>>, items array<string>")
+
+
+def window_prints(units: np.ndarray, size: int, gram: int) -> np.ndarray:
+    """Fingerprints of all windows of ``size`` words of one text; windows of other sizes have other fingerprints."""
+    gram = gram_of(size, gram)
+    if len(units) < size:
+        return np.empty(0, np.int64)
+    least = windowed_min(gram_hash(units, gram), size - gram + 1)
+    return joined_hash(least, np.array([size], np.uint64)).view(np.int64)
+
+
+def _joined_hits(docs: DataFrame, windows: DataFrame, gram: int) -> DataFrame:
+    """The hits by joins, for a benchmark of any size.
+
+    Texts go by their SHA-256 (``digest``), so neither null nor shared ids mix rows. Fingerprints of the documents meet
+    those of the benchmark; only windows with a common one are cut out, and meet the benchmark's windows themselves, each
+    at most one. A document has about two fingerprints in ten words, and no row holds more than one document's matches.
+    """
+    known = stored(windows, "windows")
+    sizes = sorted(row["size"] for row in known.select("size").distinct().collect())  # at most as many as words in a window
+    digest = F.unhex(F.sha2("text", 256)).alias("digest")
     rows = narrow(docs)
-    found = None
-    for number in range(packs):
-        part = windows if packs == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(packs)) == number)
-        pack = spark.sparkContext.broadcast(Pack([(row["window"], row["size"], row["items"]) for row in part.collect()], gram))
 
-        def scan(batches, pack=pack):
-            return _scan(batches, pack.value)
+    def known_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            found = [int(window_prints(hashes(text.encode().split(b" ")), size, gram)[0]) for text, size in zip(batch.column("window").to_pylist(), batch.column("size").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"print": pa.array(found, pa.int64())})
 
-        hits = rows.mapInArrow(scan, "doc_id long, n_words long, spans array<array<int>>, items array<string>")
-        found = hits if found is None else found.unionByName(hits)
-    if packs == 1:
-        return found
-    gathered = found.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return gathered.withColumn("spans", _merged_column(F.col("spans")))
+    def own_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for keys, texts in chunked(zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), strict=True), batch.column("text").to_pylist()):
+                split = [words_of(text) for text in texts]
+                units = [hashes(words) for words in split]
+                prints = [np.unique(np.concatenate([window_prints(some, size, gram) for size in sizes])) for some in units]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": pa.array([key[0] for key in keys], pa.int64()),
+                        "digest": pa.array([key[1] for key in keys], pa.binary()),
+                        "n_words": pa.array(map(len, split), pa.int64()),
+                        "prints": pa.array(prints, pa.list_(pa.int64())),
+                    }
+                )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for key, text, prints in zip(*(batch.column(name).to_pylist() for name in ("digest", "text", "prints")), strict=True):
+                words = words_of(text)
+                units, prints = hashes(words), np.array(prints, np.int64)
+                for size in sizes:
+                    starts = np.flatnonzero(np.isin(window_prints(units, size, gram), prints)).tolist()
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "digest": pa.array([key] * len(starts), pa.binary()),
+                            "begin": pa.array(starts, pa.int32()),
+                            "size": pa.array([size] * len(starts), pa.int32()),
+                            "window": pa.array([b" ".join(words[start : start + size]) for start in starts], pa.binary()),
+                        }
+                    )
+
+    table = stored(rows.select("*", digest).mapInArrow(own_prints, "doc_id long, digest binary, n_words long, prints array<long>"), "prints")
+    shared = table.select("digest", F.explode("prints").alias("print")).join(known.mapInArrow(known_prints, "print long").distinct(), "print", "left_semi")
+    shared = shared.groupBy("digest").agg(F.collect_set("print").alias("prints"))
+    places = rows.select("text", digest).join(shared, "digest").mapInArrow(cut, "digest binary, begin int, size int, window binary")
+    hits = places.join(known.select("size", F.col("window").cast("binary").alias("window"), "items"), ["size", "window"])
+    # copies of a text bring the same spans and lists of items: sets keep them once
+    spans = F.collect_set(F.array("begin", F.col("begin") + F.col("size")))
+    hits = hits.groupBy("digest").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    return table.join(hits, "digest", "left").select(
+        "doc_id",
+        "n_words",
+        _merged_column(F.coalesce("spans", F.array().cast("array<array<int>>"))).alias("spans"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+    )
 
 
 def _merged_column(spans: Column) -> Column:
@@ -158,8 +225,8 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = G
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans)`` for every document.
 
     A document is contaminated if at least one word in ``share`` is hit. Null and wordless texts have no words and are
-    clean; wordless items match nothing; items with a null id are left out; repeated items count once per id. Repeated rows
-    give repeated rows (with several packs, rows of one id and length become one). An empty benchmark hits nothing.
+    clean; wordless items match nothing; items with a null id are left out; repeated items count once per id. Each row is
+    judged by its own text, so rows that are repeated, share an id or have none stay apart. An empty benchmark hits nothing.
     """
     hits = find_hits(docs, items, window, gram, pack_windows)
     n_hit = F.aggregate("spans", F.lit(0), lambda total, span: total + span[1] - span[0]).cast("long")

@@ -162,6 +162,18 @@ def test_contamination(spark, texts, pack):
     assert got == brute_hits(list(enumerate(every)), items)
 
 
+@pytest.mark.parametrize("pack", [1, 200_000])
+def test_contamination_keeps_rows_apart(spark, pack):
+    """Repeated rows, rows that share an id and a length, and rows without an id, by either form."""
+    first, second, rest = (" ".join(f"{k}{n}" for n in range(20)) for k in "abc")
+    table = spark.createDataFrame([(1, first), (2, second), (3, "tiny item")], "item_id long, text string")
+    docs = [(4, first), (4, first), (4, second), (4, rest), (None, first), (None, first), (None, second), (None, rest), (None, None), (None, None)]
+    got = contamination.judge(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), table, pack_windows=pack).collect()
+    expected = [(i, *brute_hits([(0, text)], [(1, first), (2, second), (3, "tiny item")])[0]) for i, text in docs]
+    assert sorted(map(repr, (tuple(r)[:6] for r in got))) == sorted(map(repr, expected))
+    assert sum(r.n_hit for r in got) == 20 * 6
+
+
 def test_byte_bpe_like_the_library(spark, texts):
     own = bpe.coder(bpe.default_path(), bpe.default_pattern())
     library = tiktoken.Encoding("own", pat_str=bpe.default_pattern(), mergeable_ranks=own.ranks, special_tokens={})
