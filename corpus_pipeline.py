@@ -15,8 +15,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: of each group of near copies, the document with the smallest id stays."""
-    return without(docs, near_duplicates.near_duplicates(docs).where("NOT kept"))
+    """Operator 8: of each group of near copies, the document with the smallest id stays, without ids one text of them."""
+    return without(docs, near_duplicates.marked(docs).where("NOT kept"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that hold too much of the benchmark go."""
-    return without(docs, contamination.judge(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    return without(docs, contamination.judge(docs, table(spark, sf_dir, "benchmark"), keyed=True).where("contaminated"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,11 @@ def narrow(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
 
 
+def text_key(column: str = "text") -> Column:
+    """16 bytes of the SHA-256 of the text; null is empty. Rows of one id, or none, and one key are one document repeated."""
+    return F.unhex(F.substring(F.sha2(utf8(column), 256), 1, 32))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors share: the session's ``spark.checkpoint.dir``, else one under the warehouse."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
@@ -49,10 +54,14 @@ def stored(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def without(docs: DataFrame, dropped: DataFrame, bound: int = 1_000_000) -> DataFrame:
-    """The rows of ``docs`` whose id is not in ``dropped (doc_id)``; up to ``bound`` ids are broadcast, more are joined."""
-    ids = stored(dropped.select("doc_id").distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= bound else ids, "doc_id", "left_anti").select(*docs.columns)
+def without(docs: DataFrame, dropped: DataFrame, bound: int = 250_000) -> DataFrame:
+    """The rows of ``docs`` whose id and text are not in ``dropped (doc_id, text_key)``; null ids are equal to each other.
+
+    A row goes by its own text, whoever shares its id. Up to ``bound`` keys are broadcast, more are joined.
+    """
+    keys = stored(dropped.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "dropped")
+    same = docs["doc_id"].cast("long").eqNullSafe(keys["_id"]) & (text_key() == keys["_key"])
+    return docs.join(F.broadcast(keys) if keys.count() <= bound else keys, same, "left_anti")
 
 
 def parts(spark: SparkSession) -> int:

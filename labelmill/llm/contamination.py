@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import WordHashes, chunked, gram_hash, joined_hash, narrow, stored, windowed_min
+from labelmill.llm.common import WordHashes, chunked, gram_hash, joined_hash, narrow, stored, text_key, windowed_min
 
 # Words of a window, words of a fingerprinted gram, and the share of hit words (1 in ...) that contaminates.
 WINDOW, GRAM, SHARE = 13, 5, 20
@@ -80,6 +80,7 @@ class Pack:
 def _scan(batches: Iterator[pa.RecordBatch], pack: Pack) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
+        keys = iter(batch.column("text_key").to_pylist())
         for ids, texts in chunked(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             split = [words_of(text) for text in texts]
             sizes = np.fromiter(map(len, split), np.int64, len(split))
@@ -99,6 +100,7 @@ def _scan(batches: Iterator[pa.RecordBatch], pack: Pack) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array(ids, pa.int64()),
+                    "text_key": pa.array([next(keys) for _ in ids], pa.binary()),
                     "n_words": pa.array(sizes, pa.int64()),
                     "spans": pa.array([[list(span) for span in merged(some)] for some in spans], pa.list_(pa.list_(pa.int32()))),
                     "items": pa.array([sorted(some) for some in items], pa.list_(pa.string())),
@@ -117,11 +119,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, pack_windows: int = PACK_WINDOWS) -> DataFrame:
-    """Hit spans and items of every document: ``(doc_id, n_words, spans, items)``, one row for each row of ``docs``.
+def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, pack_windows: int = PACK_WINDOWS, keyed: bool = False) -> DataFrame:
+    """Hit spans and items of every document: ``(doc_id, text_key, n_words, spans, items)``, one row for each row of ``docs``.
 
     Up to ``pack_windows`` windows of the benchmark are broadcast and the documents are read once, without a shuffle. More
-    are joined on Spark and never pass through the driver. Both give the same rows.
+    are joined on Spark and never pass through the driver. Both give the same rows. The key of the text may be null unless
+    ``keyed``.
     """
     windows = item_windows(items, window)
     if windows.count() > pack_windows:
@@ -131,7 +134,8 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int
     def scan(batches):
         return _scan(batches, pack.value)
 
-    return narrow(docs).mapInArrow(scan, "doc_id long, n_words long, spans array<array<int>>, items array<string>")
+    rows = narrow(docs).withColumn("text_key", text_key() if keyed else F.lit(None).cast("binary"))
+    return rows.mapInArrow(scan, "doc_id long, text_key binary, n_words long, spans array<array<int>>, items array<string>")
 
 
 def window_prints(units: np.ndarray, size: int, gram: int) -> np.ndarray:
@@ -146,13 +150,13 @@ def window_prints(units: np.ndarray, size: int, gram: int) -> np.ndarray:
 def _joined_hits(docs: DataFrame, windows: DataFrame, gram: int) -> DataFrame:
     """The hits by joins, for a benchmark of any size.
 
-    Texts go by their SHA-256 (``digest``), so neither null nor shared ids mix rows. Fingerprints of the documents meet
+    Texts go by their key, so neither null nor shared ids mix rows. Fingerprints of the documents meet
     those of the benchmark; only windows with a common one are cut out, and meet the benchmark's windows themselves, each
     at most one. A document has about two fingerprints in ten words, and no row holds more than one document's matches.
     """
     known = stored(windows, "windows")
     sizes = sorted(row["size"] for row in known.select("size").distinct().collect())  # at most as many as words in a window
-    digest = F.unhex(F.sha2("text", 256)).alias("digest")
+    key = text_key().alias("text_key")
     rows = narrow(docs)
 
     def known_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,14 +168,14 @@ def _joined_hits(docs: DataFrame, windows: DataFrame, gram: int) -> DataFrame:
     def own_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for keys, texts in chunked(zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), strict=True), batch.column("text").to_pylist()):
+            for keys, texts in chunked(zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), strict=True), batch.column("text").to_pylist()):
                 split = [words_of(text) for text in texts]
                 units = [hashes(words) for words in split]
                 prints = [np.unique(np.concatenate([window_prints(some, size, gram) for size in sizes])) for some in units]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": pa.array([key[0] for key in keys], pa.int64()),
-                        "digest": pa.array([key[1] for key in keys], pa.binary()),
+                        "text_key": pa.array([key[1] for key in keys], pa.binary()),
                         "n_words": pa.array(map(len, split), pa.int64()),
                         "prints": pa.array(prints, pa.list_(pa.int64())),
                     }
@@ -180,30 +184,31 @@ def _joined_hits(docs: DataFrame, windows: DataFrame, gram: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for key, text, prints in zip(*(batch.column(name).to_pylist() for name in ("digest", "text", "prints")), strict=True):
+            for key, text, prints in zip(*(batch.column(name).to_pylist() for name in ("text_key", "text", "prints")), strict=True):
                 words = words_of(text)
                 units, prints = hashes(words), np.array(prints, np.int64)
                 for size in sizes:
                     starts = np.flatnonzero(np.isin(window_prints(units, size, gram), prints)).tolist()
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "digest": pa.array([key] * len(starts), pa.binary()),
+                            "text_key": pa.array([key] * len(starts), pa.binary()),
                             "begin": pa.array(starts, pa.int32()),
                             "size": pa.array([size] * len(starts), pa.int32()),
                             "window": pa.array([b" ".join(words[start : start + size]) for start in starts], pa.binary()),
                         }
                     )
 
-    table = stored(rows.select("*", digest).mapInArrow(own_prints, "doc_id long, digest binary, n_words long, prints array<long>"), "prints")
-    shared = table.select("digest", F.explode("prints").alias("print")).join(known.mapInArrow(known_prints, "print long").distinct(), "print", "left_semi")
-    shared = shared.groupBy("digest").agg(F.collect_set("print").alias("prints"))
-    places = rows.select("text", digest).join(shared, "digest").mapInArrow(cut, "digest binary, begin int, size int, window binary")
+    table = stored(rows.select("*", key).mapInArrow(own_prints, "doc_id long, text_key binary, n_words long, prints array<long>"), "prints")
+    shared = table.select("text_key", F.explode("prints").alias("print")).join(known.mapInArrow(known_prints, "print long").distinct(), "print", "left_semi")
+    shared = shared.groupBy("text_key").agg(F.collect_set("print").alias("prints"))
+    places = rows.select("text", key).join(shared, "text_key").mapInArrow(cut, "text_key binary, begin int, size int, window binary")
     hits = places.join(known.select("size", F.col("window").cast("binary").alias("window"), "items"), ["size", "window"])
     # copies of a text bring the same spans and lists of items: sets keep them once
     spans = F.collect_set(F.array("begin", F.col("begin") + F.col("size")))
-    hits = hits.groupBy("digest").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    return table.join(hits, "digest", "left").select(
+    hits = hits.groupBy("text_key").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    return table.join(hits, "text_key", "left").select(
         "doc_id",
+        "text_key",
         "n_words",
         _merged_column(F.coalesce("spans", F.array().cast("array<array<int>>"))).alias("spans"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
@@ -221,14 +226,14 @@ def _merged_column(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), empty, add)
 
 
-def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, share: int = SHARE, pack_windows: int = PACK_WINDOWS) -> DataFrame:
-    """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans)`` for every document.
+def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, share: int = SHARE, pack_windows: int = PACK_WINDOWS, keyed: bool = False) -> DataFrame:
+    """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans)`` for every document, if ``keyed`` with ``text_key``.
 
     A document is contaminated if at least one word in ``share`` is hit. Null and wordless texts have no words and are
     clean; wordless items match nothing; items with a null id are left out; repeated items count once per id. Each row is
     judged by its own text, so rows that are repeated, share an id or have none stay apart. An empty benchmark hits nothing.
     """
-    hits = find_hits(docs, items, window, gram, pack_windows)
+    hits = find_hits(docs, items, window, gram, pack_windows, keyed)
     n_hit = F.aggregate("spans", F.lit(0), lambda total, span: total + span[1] - span[0]).cast("long")
     counted = hits.withColumn("n_hit", n_hit)
     return counted.select(
@@ -239,4 +244,5 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = G
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
         "spans",
+        *["text_key"] * keyed,
     )

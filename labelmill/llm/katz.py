@@ -128,7 +128,8 @@ def _make_runs(buckets: int):
         for b in np.unique(bucket).tolist():
             part = np.flatnonzero(bucket == b)
             rows.append((0, b, run, zlib.compress(words[part].astype("<u8").tobytes(), 1), _pack(counts[part]), _pack(part)))
-        documents = (_pack(np.array(ids, np.int64)), _pack(np.array(train, np.int64)), _pack(np.array(sizes, np.int64)))
+        flags = np.array(train, np.int64) + 2 * np.array([key is None for key in ids], np.int64)
+        documents = (_pack(np.array([key or 0 for key in ids], np.int64)), _pack(flags), _pack(np.array(sizes, np.int64)))
         rows.append((1, run, run, *documents, _pack(local), len(words).to_bytes(8, "little")))
         return _table(rows).combine_chunks().to_batches()[0]
 
@@ -189,7 +190,8 @@ class _Run:
 
     def __init__(self, own: pa.Table, answers: list[dict]):
         row = own.to_pylist()[0]
-        self.ids, self.train, self.sizes, self.local = (_unpack(row[name]) for name in "abcd")
+        self.ids, flags, self.sizes, self.local = (_unpack(row[name]) for name in "abcd")
+        self.train, self.unnamed = flags & 1, flags > 1
         self.numbers = np.zeros(int.from_bytes(row["e"], "little"), np.int64)
         self.counts = np.zeros_like(self.numbers)
         # the places of a bucket's words are found again by their remainder, in the order they were asked
@@ -328,7 +330,7 @@ def _score(buckets: int, model: Model, texts: int, hot: dict[int, list[float]]):
         base = np.log10((counts + 1) / (model.tokens + model.words + 1))
         known = np.bincount(doc, weights=counts > 0).astype(np.int64)
         scores = (np.bincount(doc, weights=some) for some in (base, np.log10(probability)[inverse]))
-        columns = [mine.ids, mine.train, mine.sizes, known, *scores]
+        columns = [np.ma.array(mine.ids, mask=mine.unnamed), mine.train, mine.sizes, known, *scores]
         return pa.table([pa.array(column, kind) for column, kind in zip(columns, schema.values(), strict=True)], names=list(schema))
 
     return run
@@ -338,7 +340,8 @@ def score(docs: DataFrame, train: Column | None = None) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every document.
 
     ``train`` says which documents are learned from; by default those whose crc32(doc_id as text) mod 7 is not 2. A null or
-    empty text is one token, the end. Repeated rows count and are scored as often as they occur; an empty table
+    empty text is one token, the end. A null id is kept and dealt like an empty text of it. Rows that are repeated or share
+    an id count and are scored each by its own text, as often as they occur; an empty table
     gives no rows; without training documents every word is unknown, with probability one. Words are told apart by
     64-bit hashes.
     """

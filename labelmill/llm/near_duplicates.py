@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import WordHashes, chunked, gram_hash, joined_hash, mix, narrow, parts, stored
+from labelmill.llm.common import WordHashes, chunked, gram_hash, joined_hash, mix, narrow, parts, stored, text_key
 from labelmill.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 75
@@ -27,8 +27,8 @@ TREES, DEPTH, FIRST_DEPTH = 16, 4, 2
 # Documents from which a node is searched deeper, sketches compared at once, and the share of equal hashes (in 64) below
 # which a pair is not confirmed: 4.6 standard deviations below 0.75.
 CROWDED, BLOCK, LIKELY = 8, 2048, 32
-# Ids that may be broadcast, 8 bytes each; more are joined.
-BROADCAST_IDS = 1_000_000
+# Classes that may be broadcast, about 100 bytes each; more are joined.
+BROADCAST_IDS = 250_000
 
 _HASHES = TREES * DEPTH
 _FACTORS = mix(np.arange(1, _HASHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -63,12 +63,18 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text, text_key)``: id and key of the text tell rows apart, whether ids are null or shared."""
+    return narrow(docs).withColumn("text_key", text_key())
+
+
 def sketch_table(docs: DataFrame, size: int) -> DataFrame:
-    """``(doc_id, n_shingles, set_key, sketch)``; the key digests the set, the sketch of an empty set is null."""
+    """``(doc_id, text_key, n_shingles, set_key, sketch)``; the keys digest text and set, those of an empty set are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
+            own = iter(batch.column("text_key").to_pylist())
             for ids, texts in chunked(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 sets = shingle_sets(texts, size, hashes)
                 full = [i for i, some in enumerate(sets) if len(some)]
@@ -80,39 +86,40 @@ def sketch_table(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": pa.array(ids, pa.int64()),
+                        "text_key": pa.array([next(own) for _ in ids], pa.binary()),
                         "n_shingles": pa.array(map(len, sets), pa.int64()),
                         "set_key": pa.array(keys, pa.binary()),
                         "sketch": pa.array(found, pa.binary()),
                     }
                 )
 
-    return narrow(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch binary")
+    return keyed(docs).mapInArrow(run, "doc_id long, text_key binary, n_shingles long, set_key binary, sketch binary")
 
 
 def forest(classes: DataFrame) -> DataFrame:
-    """``(doc_id, k2, k3, k4)`` per tree: hashes of the prefixes of its order, by growing depth."""
+    """``(class_id, k2, k3, k4)`` per tree: hashes of the prefixes of its order, by growing depth."""
     names = [f"k{depth}" for depth in range(FIRST_DEPTH, DEPTH + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.array(batch.column("doc_id").to_pylist(), np.int64)
+            ids = np.array(batch.column("class_id").to_pylist(), np.int64)
             if not len(ids):
                 continue
             rows = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(len(ids), TREES, DEPTH).astype(np.uint64)
             keys = np.broadcast_to(mix(np.arange(1, TREES + 1, dtype=np.uint64)), (len(ids), TREES))
-            columns = {"doc_id": np.repeat(ids, TREES)}
+            columns = {"class_id": np.repeat(ids, TREES)}
             for depth in range(DEPTH):
                 keys = joined_hash(keys, rows[:, :, depth])
                 if depth + 1 >= FIRST_DEPTH:
                     columns[names[depth + 1 - FIRST_DEPTH]] = keys.reshape(-1).view(np.int64)
             yield pa.RecordBatch.from_pydict({name: pa.array(values, pa.int64()) for name, values in columns.items()})
 
-    return classes.select("doc_id", "sketch").mapInArrow(run, "doc_id long, " + ", ".join(f"{name} long" for name in names))
+    return classes.select("class_id", "sketch").mapInArrow(run, "class_id long, " + ", ".join(f"{name} long" for name in names))
 
 
 def _equal_hashes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Keep the pairs whose sketches make the similarity likely."""
-    sides = [classes.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab"]
+    sides = [classes.select(F.col("class_id").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,24 +137,26 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
     return 100 * common >= similarity * (len(x) + len(y) - common)
 
 
-def _set_table(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """``(doc_id, set)``: full shingle sets of the documents named in ``ids (doc_id)``, written once."""
-    ids = ids.distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+def _set_table(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``(class_id, set)``: full shingle sets of the classes named in ``ids (class_id)``, each from its first row, written once."""
+    ids = stored(ids.distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    wanted = classes.join(F.broadcast(ids) if few else ids, "class_id", "left_semi").select("class_id", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    rows = keyed(docs)
+    rows = rows.join(F.broadcast(wanted) if few else wanted, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["text_key"] == F.col("_key")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for keys, texts in chunked(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for keys, texts in chunked(batch.column("class_id").to_pylist(), batch.column("text").to_pylist()):
                 found = [some.tobytes() for some in shingle_sets(texts, size, hashes)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, pa.int64()), "set": pa.array(found, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"class_id": pa.array(keys, pa.int64()), "set": pa.array(found, pa.binary())})
 
-    rows = narrow(docs).join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary")
-    return stored(rows.dropDuplicates(["doc_id"]), "sets")
+    # repeated rows have one set
+    return stored(rows.select("class_id", "text").mapInArrow(sets, "class_id long, set binary").dropDuplicates(["class_id"]), "sets")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, similarity: int) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, similarity: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full shingle sets are similar enough; only texts that occur in a pair are looked at."""
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,23 +166,23 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, similarity: int) ->
             ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    table = _set_table(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), docs, size)
-    x, y = (table.select(F.col("doc_id").alias(side), F.col("set").alias(name)) for side, name in (("a", "x"), ("b", "y")))
+    table = _set_table(pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))), classes, docs, size)
+    x, y = (table.select(F.col("class_id").alias(side), F.col("set").alias(name)) for side, name in (("a", "x"), ("b", "y")))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
 
 def _stars(rows: DataFrame) -> DataFrame:
-    """Pairs of each document with the first one of its node, and with the first of its deeper nodes where it is crowded."""
+    """Pairs of each class with the first one of its node, and with the first of its deeper nodes where it is crowded."""
 
     def star(table: DataFrame, key: str) -> DataFrame:
-        nodes = table.groupBy(key).agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
+        nodes = table.groupBy(key).agg(F.min("class_id").alias("a"), F.count("*").alias("n")).where("n > 1")
         return table.join(nodes, key)
 
     first = star(rows, f"k{FIRST_DEPTH}")
-    found = first.select("a", F.col("doc_id").alias("b"))
+    found = first.select("a", F.col("class_id").alias("b"))
     crowded = first.where(F.col("n") > CROWDED).drop("a", "n")
     for depth in range(FIRST_DEPTH + 1, DEPTH + 1):
-        found = found.unionByName(star(crowded, f"k{depth}").select("a", F.col("doc_id").alias("b")))
+        found = found.unionByName(star(crowded, f"k{depth}").select("a", F.col("class_id").alias("b")))
     return found.where("a <> b").distinct()
 
 
@@ -215,28 +224,28 @@ def _apart(rows: DataFrame, classes: DataFrame, linked: DataFrame, docs: DataFra
     """
     n = parts(rows.sparkSession)
     key = f"k{FIRST_DEPTH}"
-    members = rows.select(key, "doc_id").join(linked.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    members = members.withColumn("component", F.coalesce("component", "doc_id"))
+    members = rows.select(key, "class_id").join(linked.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+    members = members.withColumn("component", F.coalesce("component", "class_id"))
     nodes = members.groupBy(key).agg(
         F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"),
-        F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("y"),
+        F.sum(F.xxhash64("class_id").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("class_id", F.lit(1)).cast("decimal(38,0)")).alias("y"),
     )
     nodes = nodes.where("low <> high").groupBy("n", "x", "y").agg(F.min(key).alias(key)).select(key, "n")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("class_id", F.lit(2)), F.col("blocks")).cast("int")
     placed = members.join(nodes, key).withColumn("blocks", blocks).withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = placed.withColumn("other", other).select(
-        F.col(key).alias("node"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component"
+        F.col(key).alias("node"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class_id", "component"
     )
-    schema = "node long, i int, j int, own int, doc_id long, component long"
+    schema = "node long, i int, j int, own int, class_id long, component long"
 
     def in_groups(table: DataFrame) -> DataFrame:
-        return table.repartition(n, "node", "i", "j").sortWithinPartitions("node", "i", "j", "doc_id")
+        return table.repartition(n, "node", "i", "j").sortWithinPartitions("node", "i", "j", "class_id")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for group, held in _groups(batches, ("own", "doc_id", "component", "sketch")):
+        for group, held in _groups(batches, ("own", "class_id", "component", "sketch")):
             out += [(*group, *held[k][:3]) for k in sorted({k for _, x, y in _likely(group, held) for k in (x, y)})]
             if len(out) >= 10_000:
                 yield _batch(out, schema)
@@ -245,7 +254,7 @@ def _apart(rows: DataFrame, classes: DataFrame, linked: DataFrame, docs: DataFra
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for group, held in _groups(batches, ("own", "doc_id", "component", "sketch", "set")):
+        for group, held in _groups(batches, ("own", "class_id", "component", "sketch", "set")):
             root = {row[2]: row[2] for row in held}
 
             def top(x, root=root):
@@ -261,10 +270,10 @@ def _apart(rows: DataFrame, classes: DataFrame, linked: DataFrame, docs: DataFra
                     out.append((held[x][1], held[y][1]))
         yield _batch(out, "a long, b long")
 
-    sketched = dealt.join(classes.select("doc_id", "sketch"), "doc_id")
+    sketched = dealt.join(classes.select("class_id", "sketch"), "class_id")
     found = stored(in_groups(sketched).mapInArrow(find, schema), "apart")
-    sets = _set_table(found.select("doc_id"), docs, size)
-    full = found.join(classes.select("doc_id", "sketch"), "doc_id").join(sets, "doc_id")
+    sets = _set_table(found.select("class_id"), classes, docs, size)
+    full = found.join(classes.select("class_id", "sketch"), "class_id").join(sets, "class_id")
     return stored(in_groups(full).mapInArrow(settle, "a long, b long"), "confirmed")
 
 
@@ -274,26 +283,43 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([row[k] for row in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)], [name for name, _ in fields])
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every document.
-
-    Documents are linked when 100 * intersection >= ``similarity`` * union of their shingle sets; the component is the
-    smallest id reachable. Documents with one set are one class and are compared once. Null and wordless texts have an
-    empty set and are linked with nothing. Ids are expected to be unique; of rows that share an id and differ in text,
-    each belongs to the class of its own set. An empty table gives no rows.
-    """
+def marked(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """``near_duplicates`` with the key of each row's text: ``(doc_id, text_key, n_shingles, component_id, kept)``."""
     table = stored(sketch_table(docs, size), "sketches")
     full = table.where("set_key IS NOT NULL")
-    by_set = stored(full.groupBy("set_key").agg(F.min(F.struct("doc_id", "sketch")).alias("first")).select("set_key", "first.*"), "classes")
-    classes = by_set.select("doc_id", "sketch").dropDuplicates(["doc_id"])
+    # the first row of a set: smallest id, null last; classes are numbered by it, as originals mostly come before their copies
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    by_set = full.groupBy("set_key").agg(F.min(F.struct(first.alias("row"), "sketch")).alias("first"))
+    by_set = by_set.select("set_key", "first.row.doc_id", "first.row.text_key", "first.sketch").orderBy(F.col("doc_id").isNull(), "doc_id", "text_key")
+    by_set = stored(by_set.withColumn("class_id", F.monotonically_increasing_id()), "classes")
+    classes = by_set.drop("set_key")
     rows = stored(forest(classes), "forest")
-    links = stored(confirmed(stored(_equal_hashes(_stars(rows), classes), "pairs"), docs, size, similarity), "confirmed")
+    links = stored(confirmed(stored(_equal_hashes(_stars(rows), classes), "pairs"), classes, docs, size, similarity), "confirmed")
     linked = components(links)
     more = _apart(rows, classes, linked, docs, size, similarity)
     if not more.isEmpty():
         linked = components(links.unionByName(more))
-    found = by_set.select("set_key", F.col("doc_id").alias("node")).join(linked, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    component = F.coalesce("component", "doc_id")
-    return table.join(found, "set_key", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept")
+    linked = linked.select(F.col("node").alias("class_id"), "component")
+    members = linked.unionByName(linked.select(F.col("component").alias("class_id"), "component").distinct())
+    heads = classes.join(members, "class_id").groupBy("component").agg(F.min(first).alias("head")).select("component", "head")
+    found = by_set.select("set_key", "class_id", first.alias("own")).join(members.join(heads, "component"), "class_id", "left")
+    found = found.select("set_key", F.coalesce("head", "own").alias("head"))
+    # a row without words is a component of its own
+    head = F.coalesce("head", first)
+    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return table.join(found, "set_key", "left").withColumn("head", head).withColumn("component_id", F.col("head.doc_id")).select(
+        "doc_id", "text_key", "n_shingles", "component_id", (same & (F.col("doc_id").isNotNull() | (F.col("text_key") == F.col("head.text_key")))).alias("kept")
     )
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` for every document.
+
+    Documents are linked when 100 * intersection >= ``similarity`` * union of their shingle sets; the component is the
+    smallest id reachable. Documents with one set are one class and are compared once. Null and wordless texts have an
+    empty set and are linked with nothing. Rows that share an id and differ in text belong each to the class of its own
+    set, and all that have the smallest id of their component are kept. Rows without an id are linked like others; a
+    component with no id at all has a null ``component_id`` and keeps one text, that with the smallest key. Repeated rows
+    share a verdict. An empty table gives no rows.
+    """
+    return marked(docs, size, similarity).drop("text_key")

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from labelmill.llm import katz
 from labelmill.llm.katz import RELIABLE
@@ -85,6 +86,17 @@ def test_like_brute_force(spark, partitions):
         assert row.score == pytest.approx(expected[row.doc_id][5], rel=1e-9)
 
 
+def test_null_and_shared_ids(spark):
+    """Each row is scored by its own text, as if all had ids of their own."""
+    own = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2]
+    texts = [text for _, text in random_docs(5, 24)]
+    ids = [None, 0, 7, 7, None, None, *range(10, 28)]
+    rows = katz.score(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3), F.lit(True)).collect()
+    scores = brute(list(zip(own, texts)))[0]
+    expected = [(i, *scores[k][:4], round(scores[k][5], 6)) for i, k in zip(ids, own)]
+    assert sorted(map(repr, ((*tuple(r)[:5], round(r.score, 6)) for r in rows))) == sorted(map(repr, expected))
+
+
 def test_distributions_sum_to_one():
     _, weights, conditional, one = brute(random_docs(3))
     for history in weights:

@@ -7,8 +7,11 @@ import zlib
 import numpy as np
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
-from labelmill.llm import bpe, contamination, html_text, near_duplicates, quality, sharding, suffix_dedup, suffix_runs, token_counts, toxicity
+import corpus_pipeline
+from labelmill.llm import bpe, contamination, html_text, katz, near_duplicates, quality, sharding, suffix_dedup, suffix_runs, token_counts, toxicity
+from labelmill.llm.common import text_key, without
 from labelmill.llm.components import components
 
 SCHEMA = "doc_id long, text string, _order string, h int, key string, words string"
@@ -104,6 +107,67 @@ def test_near_duplicates(spark, texts):
     assert got == brute_components(list(enumerate(texts, 7)))
 
 
+def test_near_duplicates_without_ids_and_with_shared_ids(spark):
+    """Rows are linked by their own texts; without any id a component keeps one text."""
+    rng = random.Random(21)
+
+    def near(text, word="other"):
+        return " ".join(word if k == 3 else w for k, w in enumerate(text.split()))
+
+    a, b, c, d, e, f = (prose(rng, 90, 5000) for _ in range(6))
+    docs = [(None, a), (None, near(a)), (None, a.upper()), (None, a), (5, b), (None, near(b)), (6, c), (6, d), (7, near(c)), (9, near(d)), (6, near(d, "x"))]
+    docs += [(None, None), (None, " "), (8, ""), (8, e), (8, e), (8, f), (None, f)]
+    sets = brute_components(list(enumerate(text for _, text in docs)))
+    expected = []
+    for j, (i, text) in enumerate(docs):
+        members = [docs[k] for k in sets if sets[k][1] == sets[j][1]]
+        ids = [k for k, _ in members if k is not None]
+        keys = {t: hashlib.sha256((t or "").encode()).digest() for _, t in members}
+        expected.append((i, sets[j][0], min(ids, default=None), i == min(ids) if ids else keys[text] == min(keys.values())))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = near_duplicates.near_duplicates(frame).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
+    left = without(frame, near_duplicates.marked(frame).where("NOT kept")).collect()
+    assert sorted(map(repr, map(tuple, left))) == sorted(repr(row) for row, (*_, kept) in zip(docs, expected) if kept)
+
+
+@pytest.mark.parametrize("bound", [0, 100])
+def test_rows_go_by_id_and_text(spark, bound):
+    docs = [(None, "bad"), (None, "good"), (1, "bad"), (1, "good"), (2, None), (2, "good"), (3, "bad")]
+    frame = spark.createDataFrame([(*row, 0, 0) for row in docs], "doc_id long, text string, _id int, _key int").repartition(3)
+    dropped = frame.where("text = 'bad' AND (doc_id IS NULL OR doc_id = 1) OR text IS NULL").select("doc_id", text_key().alias("text_key"))
+    left = without(frame, dropped, bound)
+    assert left.columns == frame.columns
+    assert sorted(repr(tuple(r)[:2]) for r in left.collect()) == sorted(map(repr, [docs[1], docs[3], docs[5], docs[6]]))
+
+
+def test_every_operator_and_stage_takes_null_and_shared_ids(spark, tmp_path):
+    rng = random.Random(33)
+    passage = prose(rng, 30, 5000)
+    texts = [prose(rng, 60, 5000) for _ in range(6)]
+    docs = [(None, texts[0]), (None, f"{texts[1]} {passage}"), (None, texts[2]), (4, texts[3]), (4, f"{texts[4]} {passage}"), (5, texts[5])]
+    frame = spark.createDataFrame([(*row, "en", "s", len(row[1])) for row in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in (4, 5)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(frame, labels)
+    ids = sorted(str(i) for i, _ in docs)
+    edits = token_counts.pattern_edits(F.col("text"), token_counts.MAIL, "[mail]")
+    for out in [
+        quality.judge(frame, labels.where("quality = 1").select("doc_id")), suffix_dedup.remove_repeats(frame), katz.score(frame), contamination.judge(frame, items),
+        toxicity.score(frame, model), token_counts.count_edited(frame, edits), near_duplicates.near_duplicates(frame), bpe.encode(frame), sharding.assign_shards(frame),
+    ]:
+        assert sorted(str(r.doc_id) for r in out.collect()) == ids
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    seen = frame
+    for name, stage in corpus_pipeline.STAGES:
+        seen = stage(spark, seen, str(tmp_path))
+        if name in ("near_duplicates", "decontamination"):
+            left = docs if name == "near_duplicates" else [row for row in docs if passage not in row[1]]
+            assert sorted(str(r.doc_id) for r in seen.collect()) == sorted(str(i) for i, _ in left)
+    assert sorted(str(r.doc_id) for r in seen.collect()) == ["4", "5", "None", "None"]
+
+
 def test_near_duplicates_around_a_hidden_original(spark):
     """Copies are near the original but not near each other, and the original has not the smallest id."""
     rng = random.Random(11)
