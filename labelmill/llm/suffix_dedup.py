@@ -7,6 +7,9 @@ window around it can reach. Runs are sorted where the texts are, exchanged front
 the merged order equal contexts meet, and all windows around an anchor are judged from the contexts that share its gram.
 A run holds a context once, with its smallest document, so that a passage found everywhere costs one entry per run. Equal texts
 are judged once.
+
+Groups of documents and buckets of grams are cut by bytes of text, whatever the session's partitions. Where there are many of
+them, blocks travel in bundles over several levels (``suffix_routes``), so that rows do not grow with groups times buckets.
 """
 
 from __future__ import annotations
@@ -20,28 +23,56 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import chunked, gram_hash, joined_hash, mix, narrow, parts, shared_root, stored, windowed_min
-from labelmill.llm.suffix_runs import decoded, front_coded, merged, packed, unpacked
+from labelmill.llm.common import chunked, mix, narrow, shared_root, utf8, windowed_min
+from labelmill.llm.common import stored as stored_once
+from labelmill.llm.suffix_routes import FAN, Routes, arrow_rows, ddl
+from labelmill.llm.suffix_runs import coded_rows, common_prefix, decoded, front_coded, merged, packed, unpacked
 
 LENGTH, GRAM = 50, 20
-# Groups of documents per shuffle partition, and bytes of text that one run of fingerprints covers.
-GROUPS, RUN_BYTES = 4, 32 << 20
+# Bytes of text in a group of documents, groups that one task reads, and contexts of a gram that are compared pair by pair.
+GROUP_BYTES, GROUPS_PER_TASK, FEW = 4 << 20, 4, 8
 
 _PRIME = 2**31 - 1
 _UNITS = mix(np.arange(1, 257, dtype=np.uint64))
 _HASH_BITS = 48
 
+# Powers of an odd factor and of its inverse modulo 2**64, for one stretch of text.
+_STRETCH = 1 << 16
+_FACTOR = 0x9E3779B97F4A7C15 | 1
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    out = np.empty(n, np.uint64)
+    out[0] = 1
+    done, power = 1, factor
+    while done < n:
+        out[done : 2 * done] = out[: min(done, n - done)] * np.uint64(power)
+        done, power = 2 * done, power * power % 2**64
+    return out
+
+
+_UP, _DOWN = _powers(_FACTOR, _STRETCH), _powers(pow(_FACTOR, -1, 2**64), _STRETCH)
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of all runs of ``gram`` bytes: differences of running sums, brought to the same power."""
+    out = np.empty(max(0, len(data) - gram + 1), np.uint64)
+    step = _STRETCH - gram
+    for at in range(0, len(out), step):
+        part = data[at : at + step + gram - 1]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_UNITS[part] * _UP[: len(part)], out=sums[1:])
+        n = len(part) - gram + 1
+        out[at : at + n] = mix((sums[gram:] - sums[:n]) * _DOWN[:n])
+    return out
+
 
 def group_of(doc_id: Column, groups: int) -> Column:
-    """The group that a document belongs to; ``_group_of`` is the same for arrays."""
+    """The group that a document belongs to."""
     key = F.pmod(doc_id, F.lit(_PRIME)).cast("long")
     return F.pmod(F.pmod(key * F.lit(48271), F.lit(_PRIME)), F.lit(groups)).cast("int")
 
 
-def _group_of(doc_id: np.ndarray, groups: int) -> np.ndarray:
-    return (doc_id % _PRIME * 48271 % _PRIME % groups).astype(np.int64)
-
-
 def anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of all texts, laid end to end: place, text number, gram hash; and where each text begins."""
     sizes = np.array([len(text) for text in texts], np.int64)
@@ -50,7 +81,7 @@ def anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < length:
         return empty, empty, empty.astype(np.uint64), starts
-    hashes = gram_hash(_UNITS[data], gram)
+    hashes = gram_hashes(data, gram)
     small = np.maximum((hashes >> np.uint64(32)).astype(np.uint32), 1)
     least = windowed_min(small, length - gram + 1)
     # a window counts only within its text; least is 0 elsewhere, which no gram in a counted window falls short of
@@ -71,52 +102,38 @@ def anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.
     return place, number, mix(hashes[place]) >> np.uint64(64 - _HASH_BITS), starts
 
 
-def _rows(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], kind) for i, kind in enumerate(schema.values())], list(schema))
+def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (hashes * np.uint64(buckets) >> np.uint64(_HASH_BITS)).astype(np.int64)
 
 
-_EXCHANGE = {"kind": pa.int32(), "target": pa.int64(), "hashes": pa.binary(), "docs": pa.binary()}
+def _in_order(table: pa.Table) -> list[tuple[int, bytes]]:
+    """The distinct documents of a group in a fixed order; places in it name documents in runs of this group."""
+    return sorted(set(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True)))
 
 
-def _fingerprint_runs(buckets: int, groups: int, length: int, gram: int):
-    """Per run and bucket of hashes: the anchors' hashes with their documents; what a run finds twice is live already."""
+def _group_anchors(docs: list[tuple[int, bytes]], length: int, gram: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per chunk of a group's texts: the texts, anchor places among them, number in the group, hash, and text starts."""
+    at = 0
+    for ids, texts in chunked([doc for doc, _ in docs], [text for _, text in docs]):
+        place, number, hashes, starts = anchors(texts, length, gram)
+        yield texts, place, at + number, hashes, starts
+        at += len(ids)
 
-    def flush(hashes: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((docs, hashes))
-        hashes, docs = hashes[order], docs[order]
-        keep = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])))
-        hashes, docs = hashes[keep], docs[keep]
-        first = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-        counts = np.diff(np.concatenate((np.flatnonzero(first), [len(hashes)])))
-        several = np.repeat(counts > 1, counts)
-        rows = []
-        # kind 0: hashes of one document each; kind 1: hashes of several documents; kind 2: live in these documents
-        for kind, some in ((0, np.flatnonzero(~several)), (1, np.flatnonzero(several & first))):
-            bucket = (hashes[some] * np.uint64(buckets) >> np.uint64(_HASH_BITS)).astype(np.int64)
-            ends = np.searchsorted(bucket, np.arange(buckets + 1))
-            for b in np.unique(bucket).tolist():
-                part = some[ends[b] : ends[b + 1]]
-                rows.append((kind, b, _deltas(hashes[part]), packed(docs[part]) if kind == 0 else b""))
-        live = np.flatnonzero(several)
-        rows += [(2, *row) for row in _addressed(hashes[live], docs[live], groups)]
-        yield _rows(_EXCHANGE, rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for ids, texts in chunked(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                _, number, hashes, starts = anchors(texts, length, gram)
-                held.append((hashes, np.array(ids, np.int64)[number]))
-                size += int(starts[-1])
-                if size >= RUN_BYTES:
-                    yield from flush(*map(np.concatenate, zip(*held, strict=True)))
-                    held, size = [], 0
-        if held:
-            hashes, docs = map(np.concatenate, zip(*held, strict=True))
-            if len(hashes):
-                yield from flush(hashes, docs)
 
-    return run
+def _several(hashes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, and whether more than one document has each."""
+    order = np.lexsort((number, hashes))
+    hashes, number = hashes[order], number[order]
+    first = np.concatenate(([True], hashes[1:] != hashes[:-1]))[: len(hashes)]
+    heads = np.flatnonzero(first)
+    if not len(heads):
+        return hashes, first
+    last = np.concatenate((heads[1:], [len(hashes)])) - 1
+    return hashes[heads], number[heads] != number[last]
+
+
+# Hashes of a group in a bucket; kind 0: in one document of it, kind 1: in several. ``sources`` names groups where rows were combined.
+_PRINTS = {"target": pa.int64(), "source": pa.int64(), "kind": pa.int32(), "hashes": pa.binary(), "sources": pa.binary()}
 
 
 def _deltas(hashes: np.ndarray) -> bytes:
@@ -129,165 +146,281 @@ def _undeltas(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate((first, unpacked(data[:-8])))).astype(np.uint64)
 
 
-def _addressed(hashes: np.ndarray, docs: np.ndarray, groups: int) -> Iterator[tuple[int, bytes, bytes]]:
-    target = _group_of(docs, groups)
-    order = np.argsort(target, kind="stable")
-    ends = np.searchsorted(target[order], np.arange(groups + 1))
-    for g in np.unique(target).tolist():
-        part = order[ends[g] : ends[g + 1]]
-        yield g, packed(hashes[part].astype(np.int64)), packed(docs[part])
-
-
-def _live_hashes(groups: int):
-    """Per bucket: hashes that several documents have, sent to the groups of those documents."""
-    kind = {"target": pa.int64(), "hashes": pa.binary(), "docs": pa.binary()}
-
-    def run(table: pa.Table) -> pa.Table:
-        rows, hashes, docs, many = [], [], [], [np.empty(0, np.uint64)]
-        for k, target, h, d in zip(*(table.column(name).to_pylist() for name in _EXCHANGE), strict=True):
-            if k == 2:
-                rows.append((target, h, d))
-            elif k == 1:
-                many.append(_undeltas(h))
-            else:
-                hashes.append(_undeltas(h))
-                docs.append(unpacked(d))
-        if hashes:
-            h, d = np.concatenate(hashes), np.concatenate(docs)
-            values, counts = np.unique(h, return_counts=True)
-            live = np.union1d(values[counts > 1], np.concatenate(many))
-            at = np.minimum(np.searchsorted(live, h), max(0, len(live) - 1))
-            found = live[at] == h if len(live) else np.zeros(len(h), bool)
-            rows += _addressed(h[found], d[found], groups)
-        return pa.Table.from_batches([_rows(kind, rows)])
+def _fingerprints(routes: Routes, length: int, gram: int):
+    """Per group: the hashes of its anchors, by bucket."""
+
+    def run(key: tuple, texts: pa.Table) -> pa.Table:
+        group, hashes, numbers = key[0].as_py(), [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for _, _, number, some, _ in _group_anchors(_in_order(texts), length, gram):
+            hashes.append(some)
+            numbers.append(number)
+        values, several = _several(np.concatenate(hashes), np.concatenate(numbers))
+        rows = []
+        for kind in (0, 1):
+            some = values[several == bool(kind)]
+            bucket = _bucket_of(some, routes.targets)
+            for b, begin, end in _stretches(bucket):
+                rows.append((b, group, kind, _deltas(some[begin:end]), b""))
+        return routes.sent(rows, _PRINTS)
 
     return run
 
 
-def _in_order(table: pa.Table) -> list[tuple[int, bytes]]:
-    """The distinct documents of a group in a fixed order; places in it name documents in runs of this group."""
-    return sorted(set(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True)))
+def _stretches(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Runs of equal values: the value, begin and end."""
+    if len(values):
+        heads = np.concatenate(([0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]))
+        yield from zip(values[heads[:-1]].tolist(), heads[:-1].tolist(), heads[1:].tolist(), strict=True)
+
+
+def _prints_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of kind 0 with their groups, and hashes of kind 1."""
+    one, groups, many = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for _, source, kind, hashes, sources in rows:
+        values = _undeltas(hashes)
+        if kind:
+            many.append(values)
+        else:
+            one.append(values)
+            groups.append(unpacked(sources) if sources else np.full(len(values), source))
+    return np.concatenate(one), np.concatenate(groups), np.unique(np.concatenate(many))
+
+
+def _prints_combined(target: int, rows: list[tuple]) -> list[tuple]:
+    one, groups, many = _prints_of(rows)
+    order = np.argsort(one, kind="stable")
+    out = [(target, 0, 0, _deltas(one[order]), packed(groups[order]))] if len(one) else []
+    return out + ([(target, 0, 1, _deltas(many), b"")] if len(many) else [])
+
+
+_LIVE = {"target": pa.int64(), "source": pa.int64(), "hashes": pa.binary()}
+
+
+def _live_hashes(routes: Routes):
+    """Per bucket: hashes that several documents have, sent to the groups that found them in one."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        one, groups, many = _prints_of(arrow_rows(table, _PRINTS))
+        order = np.lexsort((one, groups))
+        values, counts = np.unique(one, return_counts=True)
+        live = np.union1d(values[counts > 1], many)
+        one, groups = one[order], groups[order]
+        at = np.minimum(np.searchsorted(live, one), max(0, len(live) - 1))
+        found = live[at] == one if len(live) else np.zeros(len(one), bool)
+        one, groups = one[found], groups[found]
+        return routes.sent([(g, key[0].as_py(), _deltas(one[a:b])) for g, a, b in _stretches(groups)], _LIVE)
+
+    return run
+
 
+def _live_combined(target: int, rows: list[tuple]) -> list[tuple]:
+    return [(target, 0, _deltas(np.sort(np.concatenate([_undeltas(row[2]) for row in rows]))))]
 
-_RUN = {"kind": pa.int32(), "target": pa.int64(), "run": pa.int64(), "count": pa.int64(), "keys": pa.binary(), "docs": pa.binary(), "more": pa.binary()}
 
+# A block of a sorted run. Entry i comes from place ``first + i`` of group ``source``, or of the group and place that a merged
+# block lists. ``docs`` is the smallest document in that group with this context, ``more`` says whether there are others.
+_RUN = {
+    "target": pa.int64(), "source": pa.int64(), "first": pa.int64(), "count": pa.int64(), "keys": pa.binary(), "docs": pa.binary(),
+    "more": pa.binary(), "runs": pa.binary(), "places": pa.binary(),
+}
+# Where a group's contexts stand: place in the run, document in the group, byte in the document.
+_PLACES = {"g": pa.int32(), "at": pa.binary(), "numbers": pa.binary(), "bytes": pa.binary()}
 
-def _sorted_runs(buckets: int, length: int, gram: int):
-    """Per group: its live contexts as a sorted run for each bucket, and which anchors have them.
 
-    A key is the bytes from the anchor, the bytes before it backwards, both padded, and how many of each there are.
+def _contexts(texts: list[bytes], place: np.ndarray, number: np.ndarray, starts: np.ndarray, ahead: int, back: int) -> np.ndarray:
+    """One row per anchor: the bytes from it, the bytes before it backwards, both padded, and how many of each there are.
+
+    ``number`` counts within ``texts``.
     """
+    width = ahead + back + 2
+    out = np.zeros((len(place), width), np.uint8)
+    data = np.frombuffer(bytes(back) + b"".join(texts) + bytes(ahead), np.uint8)
+    right = np.minimum(ahead, starts[number + 1] - place)
+    left = np.minimum(back, place - starts[number])
+    columns = np.arange(ahead)
+    out[:, :ahead] = np.where(columns < right[:, None], data[back + place[:, None] + columns], 0)
+    columns = np.arange(back)
+    out[:, ahead : ahead + back] = np.where(columns < left[:, None], data[back + place[:, None] - 1 - columns], 0)
+    out[:, -2], out[:, -1] = right, left
+    return out
+
+
+def _sorted_runs(routes: Routes, length: int, gram: int):
+    """Per group: its live contexts as a sorted run, cut into a block for each bucket, and which anchors have them."""
     ahead, back = length, length - gram
+    width = ahead + back + 2
 
     def run(key: tuple, texts: pa.Table, live: pa.Table) -> pa.Table:
         group = key[0].as_py()
-        wanted = [np.empty(0, np.uint64)]
-        for h, d in zip(live.column("hashes").to_pylist(), live.column("docs").to_pylist(), strict=True):
-            wanted.append(joined_hash(unpacked(d).astype(np.uint64), unpacked(h).astype(np.uint64)))
-        known = np.unique(np.concatenate(wanted))
-        docs = _in_order(texts) if len(known) else []
-        found: dict[bytes, list] = {}
-        at = 0
-        for ids, some in chunked([doc for doc, _ in docs], [text for _, text in docs]):
-            place, number, hashes, starts = anchors(some, length, gram)
-            pairs = joined_hash(np.array(ids, np.int64)[number].astype(np.uint64), hashes)
-            keep = known[np.minimum(np.searchsorted(known, pairs), len(known) - 1)] == pairs
-            place, number, hashes = place[keep] - starts[number[keep]], number[keep], hashes[keep]
-            bucket = (hashes * np.uint64(buckets) >> np.uint64(_HASH_BITS)).astype(np.int64)
-            for p, n, b in zip(place.tolist(), number.tolist(), bucket.tolist(), strict=True):
-                text = some[n]
-                right, left = text[p : p + ahead], text[max(0, p - back) : p][::-1]
-                context = right.ljust(ahead, b"\0") + left.ljust(back, b"\0") + bytes((len(right), len(left)))
-                entry = found.get(context)
-                if entry is None:
-                    found[context] = entry = [b, ids[n], False, []]
-                elif ids[n] != entry[1]:
-                    entry[1], entry[2] = min(entry[1], ids[n]), True
-                entry[3].append((at + n, p))
-            at += len(ids)
-        by_bucket: dict[int, list[bytes]] = {}
-        for context in sorted(found):
-            by_bucket.setdefault(found[context][0], []).append(context)
+        docs = _in_order(texts)
+        chunks = list(_group_anchors(docs, length, gram))
+        values, several = _several(np.concatenate([c[3] for c in chunks] or [np.empty(0, np.uint64)]), np.concatenate([c[2] for c in chunks] or [np.empty(0, np.int64)]))
+        known = np.union1d(values[several], np.concatenate([np.empty(0, np.uint64), *(_undeltas(row[2]) for row in arrow_rows(live, _LIVE))]))
+        keys, numbers, places, hashes, at = [], [], [], [], 0
+        for some, place, number, own, starts in chunks if len(known) else ():
+            keep = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
+            place, number = place[keep], number[keep]
+            keys.append(_contexts(some, place, number - at, starts, ahead, back))
+            numbers.append(number)
+            places.append(place - starts[number - at])
+            hashes.append(own[keep])
+            at += len(some)
+        if not sum(map(len, keys)):
+            return routes.sent([], _RUN, _PLACES, [])
+        matrix, number, place = np.concatenate(keys), np.concatenate(numbers), np.concatenate(places)
+        bucket = _bucket_of(np.concatenate(hashes), routes.targets)
+        order = np.argsort(matrix.view(np.dtype((np.void, width))).ravel(), kind="stable")
+        order = order[np.argsort(bucket[order], kind="stable")]
+        matrix, number, place, bucket = matrix[order], number[order], place[order], bucket[order]
+        differ = matrix[1:] != matrix[:-1]
+        head = np.concatenate(([True], differ.any(axis=1)))
+        heads = np.flatnonzero(head)
+        owner = np.array([doc for doc, _ in docs], np.int64)[number]
+        least, most = np.minimum.reduceat(owner, heads), np.maximum.reduceat(owner, heads)
+        distinct = matrix[heads]
+        shared = np.zeros(len(heads), np.int64)
+        shared[1:] = differ[heads[1:] - 1].argmax(axis=1)
         rows = []
-        for b, keys in by_bucket.items():
-            entries = [found[context] for context in keys]
-            first = packed(np.array([entry[1] for entry in entries], np.int64))
-            several = packed(np.array([entry[2] for entry in entries], np.int64))
-            rows.append((0, b, group, len(keys), front_coded(keys), first, several))
-            flat = [(i, doc, p) for i, entry in enumerate(entries) for doc, p in entry[3]]
-            columns = [packed(np.array([row[k] for row in flat], np.int64)) for k in range(3)]
-            rows.append((1, group, b, len(flat), *columns))
-        return pa.Table.from_batches([_rows(_RUN, rows)])
+        for b, begin, end in _stretches(bucket[heads]):
+            coded = coded_rows(distinct[begin:end], shared[begin:end])
+            rows.append((b, group, begin, end - begin, coded, packed(least[begin:end]), packed((least != most)[begin:end].astype(np.int64)), b"", b""))
+        where = (group, packed(np.cumsum(head) - 1), packed(number), packed(place))
+        return routes.sent(rows, _RUN, _PLACES, [where])
 
     return run
 
 
-def _judged(length: int, gram: int):
-    """Per bucket: merge the runs; for each context of a run, the smallest document per window around its anchor.
+def _entries(rows: list[tuple], width: int):
+    """The blocks as sources of a merge; a payload is group, place, document, several."""
+
+    def source(row: tuple):
+        _, run, first, count, keys, docs, more, runs, places = row
+        run_of = unpacked(runs).tolist() if runs else [run] * count
+        place_of = unpacked(places).tolist() if runs else range(first, first + count)
+        payload = zip(run_of, place_of, unpacked(docs).tolist(), unpacked(more).tolist(), strict=True)
+        for (same, key), entry in zip(decoded(keys, count, width), payload, strict=True):
+            yield same, key, entry
+
+    return merged([source(row) for row in rows])
+
+
+def _runs_combined(width: int):
+    def combine(target: int, rows: list[tuple]) -> list[tuple]:
+        found = list(_entries(rows, width))
+        columns = [packed(np.array([entry[2][i] for entry in found], np.int64)) for i in (2, 3, 0, 1)]
+        return [(target, 0, 0, len(found), front_coded([key for _, key, _ in found]), *columns)]
+
+    return combine
+
+
+_ANSWERS = {"target": pa.int64(), "source": pa.int64(), "places": pa.binary(), "docs": pa.binary(), "masks": pa.binary()}
+
+
+class Judge:
+    """For each context of a gram: the smallest document per window around its anchor.
 
     An answer is ``(place in the run, document, mask)``: bit o stands for the window that begins o bytes before the anchor.
     """
-    ahead, back = length, length - gram
-    width = ahead + back + 2
 
-    def source(number, count, keys, docs, several):
-        payload = zip(unpacked(docs).tolist(), unpacked(several).tolist(), range(count), strict=True)
-        for (same, key), (doc, many, place) in zip(decoded(keys, count, width), payload, strict=True):
-            yield same, key, (number, place, doc, many)
-
-    def judge(contexts: list[tuple[bytes, list]], answers: list[list]) -> None:
-        alone = len(contexts) == 1
-        if alone and len(contexts[0][1]) == 1 and not contexts[0][1][0][3]:
-            return
-        least: list[dict] = [{} for _ in range(back + 1)]
-        shapes = []
-        for key, entries in contexts:
-            right, left = key[-2], key[-1]
-            offsets = range(max(0, length - right), min(back, left) + 1)
-            doc = min(entry[2] for entry in entries)
-            shapes.append((offsets, doc))
-            if not alone:
-                for o in offsets:
-                    window = key[: ahead - o] + key[ahead : ahead + o]
-                    before = least[o].get(window)
-                    if before is None or doc < before:
-                        least[o][window] = doc
-        for (key, entries), (offsets, own) in zip(contexts, shapes, strict=True):
+    def __init__(self, length: int, gram: int):
+        self.ahead, self.back = length, length - gram
+        self.width = self.ahead + self.back + 2
+        self.answers: dict[int, list[tuple[int, int, int]]] = {}
+
+    def offsets(self, key: bytes) -> tuple[int, int]:
+        """First and last offset of windows that lie in the text; the last may fall short of the first."""
+        return max(0, self.ahead - key[-2]), min(self.back, key[-1])
+
+    def few(self, keys: list[bytes], docs: list[int]) -> list[dict[int, int]]:
+        """Masks by document, from the bytes that each two contexts share on both sides."""
+        ahead, back = self.ahead, self.back
+        ranges = [self.offsets(key) for key in keys]
+        claims = [[(doc, low, high)] for doc, (low, high) in zip(docs, ranges, strict=True)]
+        for i, x in enumerate(keys):
+            for j in range(i):
+                if docs[i] != docs[j]:
+                    y = keys[j]
+                    low = max(ranges[i][0], ranges[j][0], ahead - common_prefix(x[:ahead], y[:ahead], 0))
+                    high = min(ranges[i][1], ranges[j][1], common_prefix(x[ahead : ahead + back], y[ahead : ahead + back], 0))
+                    if low <= high:
+                        later, first = (i, j) if docs[j] < docs[i] else (j, i)
+                        claims[later].append((docs[first], low, high))
+        out = []
+        for own in claims:
             masks: dict[int, int] = {}
-            for o in offsets:
-                doc = own if alone else least[o][key[: ahead - o] + key[ahead : ahead + o]]
+            taken = 0
+            for doc, low, high in sorted(own):
+                if low <= high and (mask := (1 << high + 1) - (1 << low) & ~taken):
+                    masks[doc] = masks.get(doc, 0) | mask
+                    taken |= mask
+            out.append(masks)
+        return out
+
+    def many(self, keys: list[bytes], docs: list[int]) -> Iterator[dict[int, int]]:
+        """The same from sorted windows, one offset at a time: some hundred bytes per context, however many there are."""
+        matrix = np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), self.width)
+        owner = np.array(docs, np.int64)
+        least = np.full((len(keys), self.back + 1), -1, np.int64)
+        known = np.zeros(least.shape, bool)
+        for o in range(self.back + 1):
+            some = np.flatnonzero((matrix[:, -2] >= self.ahead - o) & (matrix[:, -1] >= o))
+            if len(some):
+                windows = np.concatenate((matrix[some, : self.ahead - o], matrix[some, self.ahead : self.ahead + o]), axis=1)
+                _, which = np.unique(np.ascontiguousarray(windows).view(np.dtype((np.void, self.ahead))).ravel(), return_inverse=True)
+                smallest = np.full(which.max() + 1, np.iinfo(np.int64).max)
+                np.minimum.at(smallest, which, owner[some])
+                least[some, o], known[some, o] = smallest[which], True
+        for row, valid in zip(least, known, strict=True):
+            masks: dict[int, int] = {}
+            for o in np.flatnonzero(valid).tolist():
+                doc = int(row[o])
                 masks[doc] = masks.get(doc, 0) | 1 << o
-            for number, place, first, many in entries:
+            yield masks
+
+    def gram(self, contexts: list[tuple[bytes, list[tuple]]]) -> None:
+        """Answer the entries ``(group, place, document, several)`` of all contexts that share a gram."""
+        if len(contexts) == 1:
+            key, entries = contexts[0]
+            if len(entries) == 1 and not entries[0][3]:
+                return
+            low, high = self.offsets(key)
+            found = [{min(entry[2] for entry in entries): (1 << high + 1) - (1 << low)}] if low <= high else [{}]
+        else:
+            keys, docs = [key for key, _ in contexts], [min(entry[2] for entry in entries) for _, entries in contexts]
+            found = self.few(keys, docs) if len(keys) <= FEW else self.many(keys, docs)
+        for (_, entries), masks in zip(contexts, found, strict=True):
+            for group, place, first, several in entries:
                 for doc, mask in masks.items():
-                    if doc < first or many:
-                        answers[number].append((place, doc, mask))
+                    if doc < first or several:
+                        self.answers.setdefault(group, []).append((place, doc, mask))
+
 
-    kind = {"target": pa.int64(), "run": pa.int64(), "places": pa.binary(), "docs": pa.binary(), "masks": pa.binary()}
+def _judged(routes: Routes, length: int, gram: int):
+    """Per bucket: merge the runs and judge gram by gram."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
-        rows = list(zip(*(table.column(name).to_pylist() for name in ("run", "count", "keys", "docs", "more")), strict=True))
-        answers: list[list] = [[] for _ in rows]
+        judge = Judge(length, gram)
         contexts: list[tuple[bytes, list]] = []
-        for same, context, payload in merged([source(i, *row[1:]) for i, row in enumerate(rows)]):
-            if contexts and same >= width:
-                contexts[-1][1].append(payload)
+        for same, context, entry in _entries(arrow_rows(table, _RUN), judge.width):
+            if contexts and same >= judge.width:
+                contexts[-1][1].append(entry)
                 continue
             if contexts and same < gram:
-                judge(contexts, answers)
+                judge.gram(contexts)
                 contexts = []
-            contexts.append((context, [payload]))
+            contexts.append((context, [entry]))
         if contexts:
-            judge(contexts, answers)
-        out = []
-        for row, some in zip(rows, answers, strict=True):
-            if some:
-                out.append((row[0], bucket, *(packed(np.array([x[k] for x in some], np.int64)) for k in range(3))))
-        return pa.Table.from_batches([_rows(kind, out)])
+            judge.gram(contexts)
+        rows = [(g, key[0].as_py(), *(packed(np.array([x[k] for x in some], np.int64)) for k in range(3))) for g, some in sorted(judge.answers.items())]
+        return routes.sent(rows, _ANSWERS)
 
     return run
 
 
+def _answers_combined(target: int, rows: list[tuple]) -> list[tuple]:
+    return [(target, 0, *(packed(np.concatenate([unpacked(row[i]) for row in rows])) for i in (2, 3, 4)))]
+
+
 def _bits(mask: int) -> Iterator[tuple[int, int]]:
     """Runs of set bits: first and last."""
     at = 0
@@ -310,20 +443,19 @@ def _removed(length: int, with_text: bool):
     def run(key: tuple, texts: pa.Table, marks: pa.Table) -> pa.Table:
         docs = _in_order(texts)
         spans: list[list[tuple[int, int]]] = [[] for _ in docs]
-        answers: dict[int, dict[int, list]] = {}
-        for kind, bucket, a, b, c in zip(*(marks.column(name).to_pylist() for name in ("kind", "run", "x", "y", "z")), strict=True):
+        answers: dict[int, list] = {}
+        rows = list(zip(*(marks.column(name).to_pylist() for name in ("kind", "x", "y", "z")), strict=True))
+        for kind, *columns in rows:
             if kind == 2:
-                own = answers.setdefault(bucket, {})
-                for place, doc, mask in zip(*(unpacked(some).tolist() for some in (a, b, c)), strict=True):
-                    own.setdefault(place, []).append((doc, list(_bits(mask))))
-        for kind, bucket, a, b, c in zip(*(marks.column(name).to_pylist() for name in ("kind", "run", "x", "y", "z")), strict=True):
-            if kind == 1 and bucket in answers:
-                own = answers[bucket]
-                for place, number, p in zip(*(unpacked(some).tolist() for some in (a, b, c)), strict=True):
-                    for doc, bits in own.get(place, ()):
+                for place, doc, mask in zip(*(unpacked(some).tolist() for some in columns), strict=True):
+                    answers.setdefault(place, []).append((doc, list(_bits(mask))))
+        for kind, *columns in rows:
+            if kind == 1 and answers:
+                for place, number, p in zip(*(unpacked(some).tolist() for some in columns), strict=True):
+                    for doc, bits in answers.get(place, ()):
                         if doc < docs[number][0]:
                             spans[number] += [(p - high, p - low + length) for low, high in bits]
-        rows = []
+        out = []
         for (doc, text), some in zip(docs, spans, strict=True):
             kept, end, count, removed = [], 0, 0, 0
             start, stop = 0, -1
@@ -339,72 +471,84 @@ def _removed(length: int, with_text: bool):
             removed += max(0, stop - start)
             kept.append(text[end:])
             left = b"".join(kept)
-            rows.append((doc, hashlib.sha256(text).hexdigest(), removed, count, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore").encode() if with_text else None))
-        return pa.Table.from_batches([_rows(_RESULT, rows)])
+            out.append((doc, hashlib.sha256(text).hexdigest(), removed, count, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore").encode() if with_text else None))
+        return pa.Table.from_arrays([pa.array([row[i] for row in out], kind) for i, kind in enumerate(_RESULT.values())], list(_RESULT))
 
     return run
 
 
-def _schema(kinds: dict[str, pa.DataType]) -> str:
-    names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
-    return ", ".join(f"{name} {names[kind]}" for name, kind in kinds.items())
-
+def first_texts(docs: DataFrame, groups: int, tasks: int) -> DataFrame:
+    """One document for each distinct text, the one with the smallest id, stored by group so that groups need no shuffle.
 
-def first_texts(docs: DataFrame, groups: int) -> DataFrame:
-    """One document for each distinct text, the one with the smallest id, stored by group so that groups need no shuffle."""
+    The catalog knows the table only until it has been opened.
+    """
     spark = docs.sparkSession
     rows = narrow(docs).where("doc_id IS NOT NULL").withColumn("text_key", F.sha2("text", 256))
     firsts = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
     chosen = rows.join(firsts, ["doc_id", "text_key"], "left_semi").select(group_of(F.col("doc_id"), groups).alias("g"), "doc_id", "text")
-    n, name = parts(spark), f"first_texts_{uuid.uuid4().hex}"
-    writer = chosen.repartition(n, "g").write.format("parquet").option("compression", "zstd").option("path", f"{shared_root(spark)}/{name}")
-    writer.bucketBy(n, "g").saveAsTable(name)
-    return spark.table(name)
+    name = f"first_texts_{uuid.uuid4().hex}"
+    writer = chosen.repartition(tasks, "g").write.format("parquet").option("compression", "zstd").option("path", f"{shared_root(spark)}/{name}")
+    writer.bucketBy(tasks, "g").saveAsTable(name)
+    opened = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return opened
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, group_bytes: int = GROUP_BYTES, fan: int = FAN) -> DataFrame:
     """What is left of each distinct text: ``(first_id, text_key, n_removed, n_spans, kept_sha256, kept)``.
 
     ``kept`` (what stays, without the rest of characters that were cut) is null unless asked for. ``text_key`` is the SHA-256 of
     the text's bytes, ``kept_sha256`` that of all bytes that stay.
     """
-    spark = docs.sparkSession
-    n = parts(spark)
-    groups = GROUPS * n
-    texts = first_texts(docs, groups)
-    runs = texts.select("doc_id", "text").mapInArrow(_fingerprint_runs(n, groups, length, gram), _schema(_EXCHANGE))
-    bucket = F.when(F.col("kind") < 2, F.col("target")).otherwise(F.pmod(F.col("target"), F.lit(n))).cast("long")
-    live = runs.withColumn("b", bucket).groupBy("b").applyInArrow(lambda table: _live_hashes(groups)(table), "target long, hashes binary, docs binary")
-    live = live.withColumnRenamed("target", "g").withColumn("g", F.col("g").cast("int"))
-    made = texts.groupBy("g").cogroup(live.groupBy("g")).applyInArrow(_sorted_runs(n, length, gram), _schema(_RUN))
-    made = stored(made, "suffix-runs", "kind")
-    answers = made.where("kind = 0").groupBy("target").applyInArrow(_judged(length, gram), "target long, run long, places binary, docs binary, masks binary")
-    marks = made.where("kind = 1").select(
-        F.col("target").cast("int").alias("g"), F.lit(1).alias("kind"), "run", F.col("keys").alias("x"), F.col("docs").alias("y"), F.col("more").alias("z")
-    ).unionByName(
-        answers.select(F.col("target").cast("int").alias("g"), F.lit(2).alias("kind"), "run", F.col("places").alias("x"), F.col("docs").alias("y"), F.col("masks").alias("z"))
+    total = docs.select(F.sum(F.octet_length(utf8()).cast("long"))).first()[0] or 0
+    groups = max(1, -(-total // group_bytes))
+    buckets = max(1, -(-groups // GROUPS_PER_TASK))
+    texts = first_texts(docs, groups, buckets)
+    out, back = Routes(buckets, groups, fan), Routes(groups, buckets, fan)
+    prints = texts.groupBy("g").applyInArrow(_fingerprints(out, length, gram), ddl(out.schema(_PRINTS)))
+    prints = out.delivered(prints, _PRINTS, _prints_combined)
+    live = prints.groupBy("target").applyInArrow(_live_hashes(back), ddl(back.schema(_LIVE)))
+    live = back.delivered(live, _LIVE, _live_combined).withColumn("g", F.col("target").cast("int"))
+    made = texts.groupBy("g").cogroup(live.groupBy("g")).applyInArrow(_sorted_runs(out, length, gram), ddl(out.schema(_RUN, _PLACES)))
+    made = stored_once(made, "suffix-runs", "kind")
+    runs = out.delivered(made.where("kind = 0").select(*out.schema(_RUN)), _RUN, _runs_combined(2 * length - gram + 2))
+    answers = runs.groupBy("target").applyInArrow(_judged(back, length, gram), ddl(back.schema(_ANSWERS)))
+    answers = back.delivered(answers, _ANSWERS, _answers_combined)
+    marks = made.where("kind = 1").select("g", F.lit(1).alias("kind"), F.col("at").alias("x"), F.col("numbers").alias("y"), F.col("bytes").alias("z"))
+    marks = marks.unionByName(
+        answers.select(F.col("target").cast("int").alias("g"), F.lit(2).alias("kind"), F.col("places").alias("x"), F.col("docs").alias("y"), F.col("masks").alias("z"))
     )
-    out = texts.groupBy("g").cogroup(marks.groupBy("g")).applyInArrow(_removed(length, with_text), _schema(_RESULT))
-    return out.withColumnRenamed("doc_id", "first_id")
+    done = texts.groupBy("g").cogroup(marks.groupBy("g")).applyInArrow(_removed(length, with_text), ddl(_RESULT))
+    return done.withColumnRenamed("doc_id", "first_id")
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    taken = {column.lower() for column in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES, fan: int = FAN) -> DataFrame:
     """The same rows and columns, repeats cut from ``text``, ``n_chars`` (if there) counted anew; rules as below.
 
-    A character cut in half goes whole. A null text stays null.
+    A character cut in half goes whole. A null text stays null. Columns of any other name stay as they are.
     """
+    key, first, left = (_free(docs, name) for name in ("_key", "_first", "_kept"))
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
-    found = repeats(docs, length, gram, True).select("text_key", "first_id", F.col("kept").cast("string").alias("_kept"))
-    joined = docs.withColumn("_key", F.sha2(raw, 256)).join(found.withColumnRenamed("text_key", "_key").withColumnRenamed("first_id", "_first"), "_key", "left")
-    copy = (F.col("_first") < F.col("doc_id")) & (F.octet_length(raw) >= length)
-    text = F.when(F.col("text").isNull(), F.lit(None)).when(copy, F.lit("")).when(F.col("_first") == F.col("doc_id"), F.col("_kept")).otherwise(F.col("text"))
+    found = repeats(docs, length, gram, True, group_bytes, fan).select(F.col("text_key").alias(key), F.col("first_id").alias(first), F.col("kept").cast("string").alias(left))
+    joined = docs.withColumn(key, F.sha2(raw, 256)).join(found, key, "left")
+    copy = (F.col(first) < F.col("doc_id")) & (F.octet_length(raw) >= length)
+    text = F.when(F.col("text").isNull(), F.lit(None)).when(copy, F.lit("")).when(F.col(first) == F.col("doc_id"), F.col(left)).otherwise(F.col("text"))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, group_bytes: int = GROUP_BYTES, fan: int = FAN
+) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every document, with ``kept`` as of ``repeats``.
 
     A byte goes if a string of ``length`` bytes over it also starts in a document with a smaller id. A text equal to one
@@ -413,7 +557,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary")).alias("_text"))
     rows = rows.select("doc_id", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("text_key"))
-    found = rows.join(repeats(docs, length, gram, with_text), "text_key", "left")
+    found = rows.join(repeats(docs, length, gram, with_text, group_bytes, fan), "text_key", "left")
     copy = F.coalesce((F.col("first_id") < F.col("doc_id")) & (F.col("n_bytes") >= length), F.lit(False))
     own = F.coalesce(F.col("first_id") == F.col("doc_id"), F.lit(False))
     nothing = F.sha2(F.lit(b"").cast("binary"), 256)

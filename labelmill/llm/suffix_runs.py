@@ -30,6 +30,14 @@ def front_coded(keys: list[bytes]) -> bytes:
     return zlib.compress(bytes(shared) + b"".join(rests), 1)
 
 
+def coded_rows(keys: np.ndarray, shared: np.ndarray) -> bytes:
+    """The same from a matrix with a key per row; ``shared`` holds the prefix shared with the row before, whatever it says of the first."""
+    shared = shared.copy()
+    shared[:1] = 0
+    rests = keys[np.arange(keys.shape[1]) >= shared[:, None]]
+    return zlib.compress(shared.astype(np.uint8).tobytes() + rests.tobytes(), 1)
+
+
 def decoded(data: bytes, count: int, width: int) -> Iterator[tuple[int, bytes]]:
     """The keys again, each with the prefix it shares with the one before."""
     data = zlib.decompress(data)

@@ -64,6 +64,62 @@ def test_suffix_removal_of_few_letters(spark, seed):
     assert got == brute_removed(enumerate(texts))
 
 
+@pytest.mark.parametrize(("group_bytes", "fan"), [(1 << 12, 256), (1 << 11, 4), (1 << 10, 2)])
+def test_suffix_removal_over_several_levels(spark, texts, group_bytes, fan):
+    """Many groups, with and without relays, and contexts that very many documents have around one gram."""
+    rng = random.Random(8)
+    phrase = "a phrase of more than twenty bytes"
+    crowded = [f"{prose(rng, 8)} {phrase} {prose(rng, 8)}" for _ in range(60)]
+    every = [*texts, *crowded, *[f"{prose(rng, 3)} {crowded[i]}" for i in range(0, 60, 3)]]
+    got = {r.doc_id: tuple(r)[1:5] for r in suffix_dedup.remove_repeats(docs_of(spark, every), group_bytes=group_bytes, fan=fan).collect()}
+    assert got == brute_removed(enumerate(every))
+
+
+def test_routes_bring_every_block_to_its_target():
+    from labelmill.llm.suffix_routes import Routes
+
+    for targets in (1, 2, 7, 16, 17, 300):
+        routes = Routes(targets, targets, 4)
+        assert routes.ways**routes.levels >= targets and routes.ways <= 4
+
+
+def test_rows_of_the_exchange_follow_bytes_not_partitions(spark, texts):
+    """The number of blocks is the same however many partitions a shuffle has."""
+    docs = docs_of(spark, texts)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = set()
+    try:
+        for partitions in (2, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            made = suffix_dedup.first_texts(docs, 6, 2)
+            routes = suffix_dedup.Routes(2, 6)
+            prints = made.groupBy("g").applyInArrow(suffix_dedup._fingerprints(routes, 50, 20), suffix_dedup.ddl(routes.schema(suffix_dedup._PRINTS)))
+            found.add(prints.count())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(found) == 1 and found.pop() <= 6 * 2 * 2
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("first_texts")]
+
+
+def test_a_crowded_gram_is_judged_alike_both_ways():
+    rng = random.Random(3)
+    judge = suffix_dedup.Judge(50, 20)
+    keys, docs = [], []
+    for i in range(60):
+        right, left = rng.randrange(20, 51), rng.randrange(31)
+        body = b"G" * 20 + bytes(rng.choice(b"ab") for _ in range(3)) + b"x" * 27
+        keys.append(body[:right].ljust(50, b"\0") + (bytes(rng.choice(b"ab") for _ in range(2)) + b"y" * 28)[:left].ljust(30, b"\0") + bytes((right, left)))
+        docs.append(rng.randrange(20))
+    assert judge.few(keys, docs) == list(judge.many(keys, docs))
+
+
+def test_without_repeats_leaves_columns_of_any_name(spark, texts):
+    docs = docs_of(spark, texts).selectExpr("*", "'k' AS _key", "'f' AS _first", "1 AS _kept", "2 AS _KEPT_")
+    out = suffix_dedup.without_repeats(docs)
+    assert out.columns == docs.columns
+    assert {(r._key, r._first, r._kept, r._KEPT_) for r in out.collect()} == {("k", "f", 1, 2)}
+
+
 def test_without_repeats_keeps_columns(spark, texts):
     docs = docs_of(spark, texts)
     out = suffix_dedup.without_repeats(docs)
@@ -367,6 +423,62 @@ def test_main_text():
     assert html_text.main_text("") == "" and html_text.main_text("<p") is not None and html_text.main_text("<nav>only a menu") == ""
 
 
+ENGLISH = "<p>This is the story of a man and the sea, and it was told to us by those who had been there for all of it.</p>" * 3
+RUSSIAN = "<p>Это история о человеке и море, и нам её рассказали те, кто был там всё это время, от начала и до самого конца.</p>" * 3
+CHINESE = "<p>" + "这是一个关于人和大海的故事，是那些一直在那里的人告诉我们的，他们从头到尾都看见了。" * 3 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<main class="has-sidebar">{}</main>',
+        '<article class="post share">{}</article>',
+        '<div id="page-with-sidebar"><div>{}</div></div>',
+        '<div class="widget">{}</div>',
+        "<div>{}</div>",
+        "<body><nav><a href=x>Home</a></nav><div><div>{}</div></div><footer>the end of it</footer></body>",
+    ],
+)
+@pytest.mark.parametrize("prose_", [ENGLISH, RUSSIAN, CHINESE])
+def test_an_article_is_not_lost_to_a_class_name_or_a_language(page, prose_):
+    assert html_text.main_text(page.format(prose_)) == " ".join(" ".join(prose_.replace("<p>", " ").replace("</p>", " ").split()).split())
+
+
+def test_hints_still_drop_what_is_beside_an_article():
+    code = "<pre>" + "x = f(y); " * 20 + "</pre>"
+    comments = f'<section class="comments">{ENGLISH * 4}</section>'
+    text = html_text.main_text(f'<div class="with-sidebar"><div>{ENGLISH}{code}{ENGLISH}</div><div class="sidebar">{ENGLISH}</div>{comments}</div>')
+    assert text.count("story of a man") == 6 and text.count("x = f(y);") == 20
+    assert html_text.main_text(f'<div class="ad" style="display: none">{ENGLISH}</div>') == ""
+
+
+def plain_labels(blocks):
+    """The rules once more, block by block, by looking at all others."""
+    out = []
+    for i, block in enumerate(blocks):
+        own = html_text.first_pass(block)
+        if own is None:
+            decided = [j for j, o in enumerate(blocks) if not o.dropped and html_text.first_pass(o) is not None]
+            sides = [max((j for j in decided if j < i), default=None), min((j for j in decided if j > i), default=None)]
+            sides = [j for j in sides if j is not None and blocks[j].main == block.main]
+            nearest = [j for j in sides if abs(j - i) == min(abs(k - i) for k in sides)]
+            found = {html_text.first_pass(blocks[j]) for j in nearest}
+            own = found.pop() if len(found) == 1 else block.main > 0
+        out.append(own)
+    return out
+
+
+def test_second_pass_like_a_plain_version():
+    rng = random.Random(12)
+    long_ = "it was the best of all and so they came to the end of the day with us and it was not for him to say"
+    for _ in range(300):
+        blocks = [
+            html_text.Block(rng.choice(["short", "x" * 90, long_]), rng.choice([0, 0, 0, 99]), rng.random() < 0.15, rng.choice([0, 1, 1, 2]))
+            for _ in range(rng.randrange(1, 14))
+        ]
+        assert html_text.second_pass(blocks, [html_text.first_pass(b) for b in blocks]) == plain_labels(blocks)
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "v", "<article><p>Only this</p></article>")], "page_id long, url string, html string")
     got = {r.page_id: (r.url, r.text, r.n_chars) for r in html_text.extract(pages).collect()}
@@ -378,14 +490,59 @@ def test_string_kernel_is_the_folded_machine():
     """The weight per subsequence gives what the kernel with the landmarks gives."""
     rng = np.random.default_rng(0)
     parts = [toxicity.parts_of(w)[0] for w in (b"idiot", b"thing", b"stupid", b"moron", b"inning")]
-    z = toxicity.features(toxicity.rows_of(parts[:3]))
+    codes = toxicity.codes_of(toxicity.rows_of(parts[:3]))
+    z = toxicity.features(toxicity.rows_of(parts[:3]), codes)
     alpha = rng.normal(size=3)
-    folded = toxicity.feature_sums(toxicity.rows_of(parts), z.T @ alpha)
-    kernel = toxicity.features(toxicity.rows_of(parts)) @ z.T
+    table = np.zeros(toxicity.SYMBOLS**3)
+    table[codes] = z.T @ alpha
+    folded = toxicity.feature_sums(toxicity.rows_of(parts), table)
+    kernel = toxicity.features(toxicity.rows_of(parts), codes) @ z.T
     assert np.allclose(folded, kernel @ alpha)
     assert toxicity.words_of(b"You i.d.i-o-t, i d i o t! And b") == [b"you", b"idiot", b"idiot", b"and"]
 
 
+def test_kernel_lists_subsequences():
+    """Kernel values against all subsequences of three symbols, listed one by one."""
+    from itertools import combinations
+
+    def listed(part):
+        out = {}
+        for places in combinations(range(len(part)), 3):
+            stretch = places[2] - places[0]
+            code = tuple(part[i] for i in places)
+            if stretch < toxicity.STRETCH and code[0] and code[2]:
+                out[code] = out.get(code, 0.0) + toxicity.DECAY**stretch
+        return out
+
+    words = [w.encode() for w in ("idiot", "idiiot", "moron", "дурак", "дуурак", "a1b2", "naïve", "摩托车", "mm")]
+    parts = [part for w in words for part in toxicity.parts_of(w)]
+    rows = toxicity.rows_of(parts)
+    codes = toxicity.codes_of(rows)
+    z, scale = toxicity.features(rows, codes), toxicity._norms(rows)
+    for i, x in enumerate(map(listed, parts)):
+        for j, y in enumerate(map(listed, parts)):
+            assert (z[i] @ z[j]) * scale[i] * scale[j] == pytest.approx(sum(weight * y.get(code, 0.0) for code, weight in x.items()))
+
+
+def test_words_of_any_script_stay_apart():
+    from itertools import product
+
+    letters = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+    words = {"".join(w) for w in product(letters[::3], letters[1::3], letters[2::4])}
+    assert len({tuple(toxicity.parts_of(w.encode())) for w in words}) == len(words)
+    assert toxicity.words_of("Ты д.у.р.а.к, д у р а к! Éa".encode()) == [w.encode() for w in ("ты", "дурак", "дурак", "éa")]
+
+
+def test_training_leaves_nothing_of_a_document_out():
+    """The insult stands behind more words than any bound of the past would have kept."""
+    rng = random.Random(2)
+    filler = [f"zz{rng.randrange(10**9)}" for _ in range(30)]
+    bags = [[w.encode() for w in [*rng.sample(filler, 12), *(["яяидиот"] if i % 2 else [])]] for i in range(80)]
+    bags[1] = [f"a{i}".encode() for i in range(9_000)] + bags[1]
+    model = toxicity.train(bags, [i % 2 == 1 for i in range(80)])
+    assert model.word_scores(["яяидиот".encode()])[0] > max(model.word_scores([w.encode() for w in filler]))
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     syllables = ["tha", "ner", "ont", "ing", "est", "ou", "li", "er"]
