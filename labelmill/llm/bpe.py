@@ -12,7 +12,9 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from itertools import chain
+from math import inf
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -23,6 +25,9 @@ from labelmill.llm.common import hold
 # Entries a process keeps of encoded chunks, encoded pre-tokens and tested token pairs, before it starts afresh.
 CACHE_CHUNKS, CACHE_PIECES, CACHE_PAIRS = 800_000, 400_000, 600_000
 
+# What stands before the first token.
+START = -1
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -44,49 +49,100 @@ class Coder:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, map(bytes.strip, lines)))}
         self.token = {rank: token for token, rank in self.ranks.items()}
         self.digits = {rank: str(rank) for rank in self.token}
+        self.sizes = {rank: len(token) for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self.split = regex.compile(pattern).findall
+        # finds all tokens that end at a byte, the longest first
+        self._ends = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            self._ends.add_word(token.decode("latin-1"), (rank, len(token)))
+        self._ends.make_automaton()
         self._chunks: dict[str, tuple[int, ...]] = {}
         self._pieces: dict[str, list[int]] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._parents: dict[int, tuple[int, int] | None] = {}
+        self._spines: tuple[dict[int, list | None], ...] = ({}, {})
 
-    def merged(self, data: bytes) -> list[int]:
-        """The defining procedure: merge the adjacent pair of lowest rank, leftmost first, until none is left."""
+    def merged(self, data: bytes, below: float = inf) -> list[int]:
+        """The defining procedure: merge the adjacent pair of lowest rank, leftmost first, until none ``below`` is left."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
-            best, at = min((self.ranks.get(a + b, len(self.ranks) + 1), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if best > len(self.ranks):
+            best, at = min((self.ranks.get(a + b, inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if best >= below or best == inf:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[part] for part in parts]
 
+    def parents(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that merge into this one last; none for a byte, and for a token that merging never reaches."""
+        if token not in self._parents:
+            parts = self.merged(self.token[token], token) if self.sizes[token] > 1 else []
+            self._parents[token] = tuple(parts) if len(parts) == 2 else None
+        return self._parents[token]
+
+    def reached(self, token: int) -> bool:
+        return self.sizes[token] == 1 or self.parents(token) is not None
+
+    def spine(self, token: int, side: int) -> list[tuple[bytes, float]] | None:
+        """The parts that stand at the left (0) or right (1) end of a token while it is merged, from the byte up, each with the
+        rank of the merge that ends it; None if merging never reaches the token."""
+        known = self._spines[side]
+        if token not in known:
+            chain_, at, whole = [(self.token[token], inf)], token, self.reached(token)
+            while self.sizes[at] > 1 and whole:
+                whole, before = self.reached(at), at
+                at = self.parents(at)[side] if whole else at
+                chain_.append((self.token[at], before))
+            known[token] = chain_[::-1] if whole else None
+        return known[token]
+
     def may_follow(self, left: int, right: int) -> bool:
-        """Whether the two tokens side by side are the encoding of their bytes."""
+        """Whether the two tokens side by side are the encoding of their bytes; after ``START``, whether the right one alone is.
+
+        They are unless, at some time while both are merged, the parts that meet at the border merge first. The ranks of
+        merges inside rise towards the whole token, so both ends are walked in the order of their ranks.
+        """
         pair = (left, right)
         known = self._pairs.get(pair)
         if known is None:
             if len(self._pairs) >= CACHE_PAIRS:
                 self._pairs.clear()
-            known = self._pairs[pair] = self.merged(self.token[left] + self.token[right]) == [left, right]
+            known = self._pairs[pair] = self.reached(right) if left == START else self._apart(self.spine(left, 1), self.spine(right, 0))
         return known
 
+    def _apart(self, left: list[tuple[bytes, float]] | None, right: list[tuple[bytes, float]] | None) -> bool:
+        if left is None or right is None:
+            return False
+        rank, i, j = self.ranks.get, 0, 0
+        while True:
+            (x, x_ends), (y, y_ends) = left[i], right[j]
+            across = rank(x + y)
+            # of equal ranks the leftmost pair is merged
+            if across is not None and across < x_ends and across <= y_ends:
+                return False
+            if x_ends <= y_ends:
+                if x_ends == inf:
+                    return True
+                i += 1
+            else:
+                j += 1
+
     def prefixes(self, data: bytes, last: list[int] | None = None) -> list[int]:
         """The last token of each non-empty prefix; ``last`` may hold the entries of a shorter prefix, which are kept."""
         last = [] if last is None else last
-        rank, known, longest = self.ranks.get, self._pairs.get, self.longest
-        for end in range(len(last) + 1, len(data) + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                token = rank(data[start:end])
-                if token is not None:
-                    if not start:
-                        break
-                    before = last[start - 1]
-                    fits = known((before, token))
-                    if fits or fits is None and self.may_follow(before, token):
-                        break
-            else:
-                raise ValueError("the rank file has no token for a byte")
-            last.append(token)
+        done, known = len(last), self._pairs.get
+        for end, (token, size) in self._ends.iter(data.decode("latin-1"), max(0, done + 1 - self.longest)):
+            if end < done:
+                continue
+            if end > done:
+                break
+            before = last[end - size] if size <= end else START
+            fits = known((before, token))
+            if fits or fits is None and self.may_follow(before, token):
+                last.append(token)
+                done += 1
+        if done < len(data):
+            raise ValueError("the rank file has no token for a byte")
         return last
 
     def replaced(self, data: bytes, last: list[int], start: int, stop: int, new: bytes) -> tuple[bytes, list[int], int]:
@@ -105,10 +161,11 @@ class Coder:
         return edited, table, len(edited) - start
 
     def read_back(self, data: bytes, last: list[int]) -> list[int]:
-        ids, end = [], len(data)
+        ids, end, sizes = [], len(data), self.sizes
         while end:
-            ids.append(last[end - 1])
-            end -= len(self.token[ids[-1]])
+            token = last[end - 1]
+            ids.append(token)
+            end -= sizes[token]
         ids.reverse()
         return ids
 
