@@ -23,15 +23,13 @@ from pyspark.sql import functions as F
 from labelmill.llm.common import chunked, hold, narrow
 
 # Symbols of the kernel's alphabet, weight of one step in a stretch, and the longest stretch.
-SYMBOLS, DECAY, STRETCH = 32, 0.6, 6
+SYMBOLS, DECAY, STRETCH = 64, 0.6, 6
 # Symbols of a part, and from one part of a word to the next: a word scores as its worst part, so that an ending does not
 # dilute a stem.
 PART, STEP = 8, 2
-# Bound of the labelled sample: documents of each label, and distinct words taken from one document.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WORDS = 3_000, 6_000, 4_000
+# Bound of the labelled sample: documents of each label. Nothing of a sampled document is left out.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 3_000, 6_000
 LANDMARKS, ROUNDS = 256, 6
-# Parts of clean documents that a round trains on.
-HARD = 8_000
 # Log likelihood ratio from which a part counts as a witness by itself.
 SURE = 8.0
 # Score from which a document is predicted toxic.
@@ -41,33 +39,34 @@ CACHE_WORDS = 1_000_000
 
 _STEPS = [(a, b) for b in range(2, STRETCH) for a in range(1, b)]
 
+# Symbols: 0 pads, 1 to 26 are the letters a to z, 27 any digit, 28 marks word ends; the code points beyond ASCII share the
+# rest in turn, so the letters of one alphabet differ from each other.
+_DIGIT, _END, _OTHERS = 27, 28, 29
 
-def _symbols() -> bytes:
-    """Bytes to symbols: letters 1 to 26, other bytes of words shared out to the rest; 0 pads, 31 marks word ends."""
-    table = bytearray(256)
-    for b in range(256):
-        c = chr(b).lower()
-        if "a" <= c <= "z":
-            table[b] = ord(c) - 96
-        elif b >= 0x80:
-            table[b] = 27 + b % 3
-        else:
-            table[b] = 30
-    return bytes(table)
 
+def _symbol(point: int) -> int:
+    if point >= 0x80:
+        return _OTHERS + point % (SYMBOLS - _OTHERS)
+    return point - 96 if 97 <= point <= 122 else _DIGIT
 
-_SYMBOLS = _symbols()
+
+_SYMBOLS = bytes(_symbol(ord(chr(b).lower())) for b in range(0x80)) + bytes(0x80)
 # Inside a word, ASCII that is neither letter nor digit is dropped: it only separates the letters of a word.
 _DROPPED = bytes(b for b in range(0x80) if not chr(b).isalnum())
 
 
+def _single(word: bytes) -> bool:
+    return len(word) == 1 or 1 < len(word) < 5 and word[0] >= 0xC0 and not any(0xC0 <= b or b < 0x80 for b in word[1:])
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Words as letters and digits only, lower case; runs of single characters are put together as one word."""
     out: list[bytes] = []
     singles: list[bytes] = []
-    for word in text.lower().split():
+    lower = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+    for word in lower.split():
         word = word.translate(None, _DROPPED)
-        if len(word) == 1:
+        if len(word) < 5 and word and _single(word):
             singles.append(word)
             continue
         if singles:
@@ -83,7 +82,8 @@ def words_of(text: bytes) -> list[bytes]:
 
 def parts_of(word: bytes) -> list[bytes]:
     """A word's overlapping stretches of symbols, its ends marked, padded to equal length."""
-    marked = b"\x1f" + word.translate(_SYMBOLS) + b"\x1f"
+    symbols = word.translate(_SYMBOLS) if word.isascii() else bytes(map(_symbol, map(ord, word.decode("utf-8", "replace"))))
+    marked = bytes((_END, *symbols, _END))
     if len(marked) <= PART:
         return [marked.ljust(PART, b"\0")]
     last = len(marked) - PART
@@ -117,27 +117,20 @@ def feature_sums(rows: np.ndarray, table: np.ndarray) -> np.ndarray:
     return total / _norms(rows)
 
 
-def mapped_rows(rows: np.ndarray, to_map: np.ndarray) -> np.ndarray:
-    """Scaled subsequence counts times a matrix with a row per subsequence."""
-    out = np.zeros((len(rows), to_map.shape[1]))
-    for codes, counts, weight in _terms(rows):
-        for place in range(codes.shape[1]):
-            some = np.flatnonzero(counts[:, place])
-            out[some] += weight * to_map[codes[some, place]]
-    return out / _norms(rows)[:, None]
-
-
-def features(rows: np.ndarray) -> np.ndarray:
-    """Scaled subsequence counts as a dense matrix; for landmarks, which are few. Filled a few rows at a time."""
-    size = SYMBOLS**3
-    out = np.zeros((len(rows), size))
-    for start in range(0, len(rows), 16):
-        some = rows[start : start + 16]
-        at = np.arange(len(some))[:, None] * size
-        for codes, counts, weight in _terms(some):
-            out[start : start + 16] += weight * np.bincount((at + codes)[counts], minlength=len(some) * size).reshape(-1, size)
-        out[start : start + 16] /= _norms(some)[:, None]
-    return out
+def codes_of(rows: np.ndarray) -> np.ndarray:
+    """The distinct subsequences of the rows, in order."""
+    return np.unique(np.concatenate([codes[counts] for codes, counts, _ in _terms(rows)]))
+
+
+def features(rows: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Scaled counts of the given subsequences, a column each; others are left out."""
+    out = np.zeros((len(rows), len(codes) + 1))
+    every = np.arange(len(rows))[:, None]
+    for found, counts, weight in _terms(rows):
+        at = np.searchsorted(codes, found)
+        known = counts & (codes[np.minimum(at, len(codes) - 1)] == found)
+        np.add.at(out, (np.broadcast_to(every, at.shape), np.where(known, at, len(codes))), weight)
+    return out[:, :-1] / _norms(rows)[:, None]
 
 
 @dataclass(frozen=True)
@@ -237,7 +230,10 @@ def train(bags: Iterable[list[bytes]], toxic: list[bool], landmarks: int = LANDM
     usual = np.argsort(-in_clean, kind="stable")
     marked = np.argsort(-surprise, kind="stable")[: landmarks // 2]
     chosen = list(dict.fromkeys([*marked.tolist(), *usual.tolist()]))[:landmarks]
-    z = features(rows_of([parts[i] for i in chosen]))
+    landmark_rows = rows_of([parts[i] for i in chosen])
+    # only subsequences that a landmark has count in a kernel with one
+    codes = codes_of(landmark_rows)
+    z = features(landmark_rows, codes)
     values, vectors = np.linalg.eigh(z @ z.T)
     # the map of a part is its kernel with the landmarks, whitened: column j of this table gives coordinate j
     to_map = z.T @ (vectors / np.sqrt(np.maximum(values, 1e-3)))
@@ -248,7 +244,7 @@ def train(bags: Iterable[list[bytes]], toxic: list[bool], landmarks: int = LANDM
     for bag, is_toxic in zip(inside, toxic, strict=True):
         if len(bag) and is_toxic:
             best = surprise[bag].max()
-            for i in bag[surprise[bag] >= max(SURE, 0.3 * best)][:8].tolist():
+            for i in bag[surprise[bag] >= max(SURE, 0.3 * best)].tolist():
                 sure[i] = sure.get(i, 0) + 1
     scores, model = surprise, None
     hard: set[int] = set(usual[:2000].tolist())
@@ -262,15 +258,17 @@ def train(bags: Iterable[list[bytes]], toxic: list[bool], landmarks: int = LANDM
                 hard.update(bag[np.argsort(-scores[bag], kind="stable")[:2]].tolist())
         # a part that is mostly met in clean documents is no witness
         good = [i for i in picked if rate[i] > 0.9]
-        bad = sorted(i for i in hard if in_clean[i])[:HARD]
+        bad = sorted(i for i in hard if in_clean[i])
         if not good or not bad:
             break
         rows = rows_of([parts[i] for i in good + bad])
-        mapped = np.vstack([mapped_rows(rows[k : k + 1024], to_map) for k in range(0, len(rows), 1024)])
+        mapped = np.vstack([features(rows[k : k + 512], codes) @ to_map for k in range(0, len(rows), 512)])
         y = np.concatenate([np.ones(len(good)), -np.ones(len(bad))])
         weight = np.concatenate([np.minimum(20.0, [picked[i] for i in good]), np.minimum(5.0, in_clean[bad])])
         w = _svm(mapped, y, weight)
-        model = Model(to_map @ w[:-1], float(w[-1]), 1.0, 0.0)
+        table = np.zeros(SYMBOLS**3)
+        table[codes] = to_map @ w[:-1]
+        model = Model(table, float(w[-1]), 1.0, 0.0)
         scores = model.part_scores(parts)
     if model is None:
         return Model(np.zeros(SYMBOLS**3), 0.0, 0.0, -12.0)
@@ -303,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("toxicity")
         for batch in batches:
-            found = [b" ".join(sorted(set(words_of(text)))[:SAMPLE_WORDS]) for text in batch.column("text").to_pylist()]
+            found = [b" ".join(sorted(set(words_of(text)))) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "words": pa.array(found, pa.binary())})
 
     sample = labelled_sample(docs, labels, toxic, clean).select("doc_id", "toxic", "text")
