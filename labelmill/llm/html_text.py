@@ -3,6 +3,9 @@
 A page is cut into blocks at block-level tags. The first pass decides blocks from what they are themselves: the region
 they stand in, the share of characters in links, their length and the share of stop words. Blocks too short or too
 odd to tell stay open; the second pass gives them the label of the nearest decided blocks.
+
+Stop words are of four languages. Where a page has no block that they decide, long blocks with few links are the text. Class
+names are hints: where nothing would be left of a page, a container that holds most of its text is kept in spite of them.
 """
 
 from __future__ import annotations
@@ -46,6 +49,8 @@ HINTS = frozenset(
     sponsored subscribe tags toolbar widget contentinfo complementary alert""".split()
 )
 MAIN = frozenset(("article", "main"))
+# Words by which a class name tells what a container has, not what it is ("with-sidebar", "no-comments").
+HAVING = frozenset("with without has have had no not is hide show".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
@@ -61,39 +66,49 @@ LETTERS = re.compile(r"[^\W\d_]+")
 LONG, LINKS, STOPS = 80, 0.33, 0.12
 
 
-def hinted(attributes: str) -> bool:
+# What an element's attributes say of it.
+NOTHING, HINTED, HIDDEN = 0, 1, 2
+
+
+def told(attributes: str) -> int:
+    says = NOTHING
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "style":
             if "display:none" in value.replace(" ", "") or "visibility:hidden" in value.replace(" ", ""):
-                return True
+                return HIDDEN
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        elif name in ("class", "id", "role") and not HINTS.isdisjoint(PART.findall(value)):
-            return True
-    return False
+            return HIDDEN
+        elif name in ("class", "id", "role"):
+            for token in value.split():
+                words = PART.findall(token)
+                if not HINTS.isdisjoint(words) and HAVING.isdisjoint(words):
+                    says = HINTED
+    return says
 
 
 class Block:
-    __slots__ = ("dropped", "linked", "main", "text")
+    """``dropped``: it stands in an element that is never text, or hidden; ``hints``: the hinted containers it stands in."""
 
-    def __init__(self, text: str, linked: int, dropped: bool, main: int):
-        self.text, self.linked, self.dropped, self.main = text, linked, dropped, main
+    __slots__ = ("dropped", "hints", "linked", "main", "text")
+
+    def __init__(self, text: str, linked: int, dropped: bool, main: int, hints: tuple[int, ...] = ()):
+        self.text, self.linked, self.dropped, self.main, self.hints = text, linked, dropped, main, hints
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Blocks in page order, with their link characters and the region they stand in."""
+    """Blocks in page order, with their link characters, the article and the hinted containers they stand in."""
     out: list[Block] = []
-    open_: list[tuple[str, bool, bool]] = []  # element, drops its content, is the article
+    open_: list[tuple[str, bool, int, bool]] = []  # element, drops its content, number of the hinted container, is the article
     pieces: list[str] = []
-    linked = links = drops = mains = regions = 0
+    linked = links = drops = mains = regions = containers = 0
 
     def close_block() -> None:
         nonlocal linked
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append(Block(text, linked, drops > 0, regions if mains else 0))
+                out.append(Block(text, linked, drops > 0, regions if mains else 0, tuple(hint for _, _, hint, _ in open_ if hint)))
             pieces.clear()
         linked = 0
 
@@ -115,10 +130,12 @@ def blocks_of(page: str) -> list[Block]:
         if tag in INLINE:
             if tag in ("img", "wbr"):
                 continue
-            if not found["end"] and tag == "span" and hinted(found["attributes"]):
+            says = NOTHING if found["end"] or tag != "span" else told(found["attributes"])
+            if says:
                 close_block()
-                open_.append((tag, True, False))
-                drops += 1
+                containers += says == HINTED
+                open_.append((tag, says == HIDDEN, containers if says == HINTED else 0, False))
+                drops += says == HIDDEN
             elif found["end"] and open_ and open_[-1][0] == tag:
                 close_block()
                 drops -= open_.pop()[1]
@@ -128,22 +145,26 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if found["end"]:
-            if any(name == tag for name, _, _ in open_):
+            if any(name == tag for name, *_ in open_):
                 while True:
-                    name, drop, main = open_.pop()
+                    name, drop, _, main = open_.pop()
                     drops, mains = drops - drop, mains - main
                     if name == tag:
                         break
             continue
-        if tag in ("body", "html") or tag == "p" and not hinted(found["attributes"]):
+        says = told(found["attributes"])
+        if tag in ("body", "html") or tag == "p" and not says:
             continue
-        main = tag in MAIN and not hinted(found["attributes"])
+        if tag == "main" and says == HINTED:
+            says = NOTHING
+        main = tag in MAIN and not says
         if main and not mains:
             open_.clear()  # an article ends whatever was left open before it
             drops = 0
             regions += 1
-        drop = tag in DROPPED or not main and hinted(found["attributes"])
-        open_.append((tag, drop, main))
+        drop = tag in DROPPED or says == HIDDEN
+        containers += says == HINTED
+        open_.append((tag, drop, containers if says == HINTED else 0, main))
         drops, mains = drops + drop, mains + main
     if at < len(page):
         pieces.append(page[at:].partition("<")[0] if page[at:].lstrip().startswith("<") else page[at:])
@@ -158,19 +179,16 @@ def first_pass(block: Block) -> bool | None:
         return False
     words = LETTERS.findall(block.text.lower())
     stops = sum(word in STOP_WORDS for word in words) / len(words) if words else 0.0
-    if size >= LONG and stops >= STOPS:
-        return True
-    return None if size < LONG or block.main else False
+    return True if size >= LONG and stops >= STOPS else None
 
 
-def main_text(page: str) -> str:
-    blocks = blocks_of(page)
-    if any(block.main and not block.dropped for block in blocks):
-        blocks = [block for block in blocks if block.main]
-    labels = [first_pass(block) for block in blocks]
+def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
+    """Undecided blocks take the label of the nearest decided block of their region; dropped ones do not count.
+
+    Two that are as near and differ, or none, leave it to the region: article or not.
+    """
     decided = [i for i, (block, label) in enumerate(zip(blocks, labels, strict=True)) if label is not None and not block.dropped]
-    final = []
-    place = 0
+    final, place = [], 0
     for i, (block, label) in enumerate(zip(blocks, labels, strict=True)):
         while place < len(decided) and decided[place] < i:
             place += 1
@@ -178,19 +196,45 @@ def main_text(page: str) -> str:
             near = [j for j in (decided[place - 1] if place else None, decided[place] if place < len(decided) else None) if j is not None]
             near = [j for j in near if blocks[j].main == block.main]
             closest = min((abs(j - i) for j in near), default=0)
-            # without a decided neighbour, or between two that differ, the region decides
             votes = {labels[j] for j in near if abs(j - i) == closest}
             label = votes.pop() if len(votes) == 1 else bool(block.main)
-        if label:
-            final.append(block.text)
-    return " ".join(final)
+        final.append(label)
+    return final
+
+
+def chosen(blocks: list[Block]) -> list[str]:
+    if any(block.main and not block.dropped for block in blocks):
+        blocks = [block for block in blocks if block.main]
+    labels = [first_pass(block) for block in blocks]
+    if True not in labels:
+        # a language without known stop words: length decides, link density has
+        labels = [True if label is None and len(block.text) >= LONG else label for block, label in zip(blocks, labels, strict=True)]
+    return [block.text for block, label in zip(blocks, second_pass(blocks, labels), strict=True) if label]
+
+
+def main_text(page: str) -> str:
+    blocks = blocks_of(page)
+    sizes: dict[int, int] = {}
+    for block in blocks:
+        for hint in block.hints:
+            sizes[hint] = sizes.get(hint, 0) + len(block.text) * (not block.dropped)
+    total = sum(len(block.text) for block in blocks if not block.dropped)
+
+    def without(hints: set[int]) -> list[Block]:
+        return [Block(b.text, b.linked, b.dropped or not hints.isdisjoint(b.hints), b.main) for b in blocks]
+
+    found = chosen(without(set(sizes)))
+    if not found and sizes:
+        found = chosen(without({hint for hint, size in sizes.items() if 2 * size < total}))
+    return " ".join(found)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every page, from its whole html.
 
     A null or empty page has the empty text; so has one without article text. Unclosed elements end with the page or with
-    the next article. Repeated rows give repeated rows; an empty table gives none. Nothing is shuffled.
+    the next article. An undecided block between two that are as near and differ belongs to its region. Very long pages are
+    taken whole. Repeated rows give repeated rows; other columns stay behind; an empty table gives none. Nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
