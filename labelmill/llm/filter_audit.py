@@ -119,11 +119,13 @@ def audit(docs: DataFrame, labels: DataFrame, part: str = "lang") -> DataFrame:
     Texts stay where they are read. Rows meet by id and text together, so a text that many rows have is spread out.
     """
     rows = stored(masks(docs, part), "filter-masks")
-    firsts = rows.where("doc_id IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text_key", F.lit(0).alias("later"))
+    # as one value, so that rows are dealt by id and text together
+    place = F.struct("doc_id", "text_key").alias("place")
+    firsts = rows.where("doc_id IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("doc_id")).select(place, F.lit(0).alias("later"))
     says = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         *(F.max(F.coalesce(F.col(name) == 1, F.lit(False)).cast("int")).alias(name) for name in ("quality", "toxic"))
     )
-    named = rows.where("doc_id IS NOT NULL").join(says, "doc_id", "left").join(firsts, ["doc_id", "text_key"], "left")
+    named = rows.where("doc_id IS NOT NULL").join(says, "doc_id", "left").withColumn("place", place).join(firsts, "place", "left")
     own = named.select("part", (F.col("mask") + 16 * F.coalesce("later", F.lit(1))).alias("mask"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("quality", "toxic")))
     nameless = rows.where("doc_id IS NULL").select("part", "mask", F.lit(0).alias("quality"), F.lit(0).alias("toxic"))
     counts = own.unionByName(nameless).groupBy("part", "mask").agg(F.count("*").alias("n"), F.sum("quality").alias("good"), F.sum("toxic").alias("bad"))
