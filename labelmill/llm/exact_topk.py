@@ -45,7 +45,7 @@ def components_of(vector: Column, scale: int) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """``lists (list, vec, values)``, ``ids (vec, ids)``, ``queries (query, query_id, vec)`` as stored tables, and the shape."""
+    """``lists (list, vec, values)``, ``ids (vec, ids)``, ``queries (query_id, vec)`` as stored tables, and the shape."""
 
     lists: DataFrame
     ids: DataFrame
@@ -74,7 +74,7 @@ def build(vectors: DataFrame, is_query: Column, k: int, lists: int, scale: int)
     pieces = F.array(*[F.struct(F.lit(j).alias("list"), F.slice("values", j * width + 1, width).alias("values")) for j in range(lists)])
     cut = distinct.select("vec", F.explode(pieces).alias("piece")).select("piece.list", "vec", "piece.values")
     asking = rows.where("asks").select("h", "values", F.col("vec_id").alias("query_id"))
-    asking = asking.join(distinct.select("h", "values", "vec"), ["h", "values"]).select(F.monotonically_increasing_id().alias("query"), "query_id", "vec")
+    asking = asking.join(distinct.select("h", "values", "vec"), ["h", "values"]).select("query_id", "vec")
     return Index(
         stored(cut, "topk-lists"),
         distinct.select("vec", F.col("ids.vec_id").alias("ids")),
@@ -262,13 +262,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, lists: int = 2, sc
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     scored = reduce(DataFrame.unionByName, found).join(index.ids, "vec")
-    # the best k + 1 vectors by their smallest id hold the best k + 1 rows
-    first = Window.partitionBy("q").orderBy(F.col("score").desc(), F.get("ids", F.lit(0)).asc_nulls_last())
-    near = scored.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
-    rows = near.join(index.queries.withColumnRenamed("vec", "q"), "q")
-    own = F.when(F.col("vec") == F.col("q"), F.array_position("ids", F.col("query_id"))).otherwise(0)
-    others = F.filter("ids", lambda _, i: i + 1 != own)
-    rows = rows.select("query", "query_id", F.explode(others).alias("vec_id"), "score")
-    best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
-    ends = F.least(F.greatest(F.col("score"), F.lit(-(2**63))), F.lit(2**63 - 1)) if index.wide else F.col("score")
-    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", ends.cast("long").alias("score"))
+    # the k + 1 best rows of each query vector; one of them may be the asking row itself
+    rows = scored.select("q", "vec", "score", F.explode("ids").alias("vec_id"))
+    best = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "vec")
+    near = rows.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+    # at most k + 1 rows come together
+    lists_ = near.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("n", "vec", "vec_id", "score"))).alias("best"))
+    found_for = index.queries.withColumnRenamed("vec", "q").join(lists_, "q")
+    own = F.array_position(F.transform("best", lambda x: (x["vec"] == F.col("q")) & (x["vec_id"] == F.col("query_id"))), F.lit(True))
+    others = F.slice(F.filter("best", lambda _, i: i + 1 != F.col("own")), 1, k)
+    ranked = found_for.withColumn("own", own).select("query_id", F.posexplode(others).alias("at", "row"))
+    ends = F.least(F.greatest(F.col("row.score"), F.lit(-(2**63))), F.lit(2**63 - 1)) if index.wide else F.col("row.score")
+    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("row.vec_id").alias("vec_id"), ends.cast("long").alias("score"))
