@@ -484,8 +484,10 @@ def first_texts(docs: DataFrame, groups: int, tasks: int) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = narrow(docs).where("doc_id IS NOT NULL").withColumn("text_key", F.sha2("text", 256))
-    firsts = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
-    chosen = rows.join(firsts, ["doc_id", "text_key"], "left_semi").select(group_of(F.col("doc_id"), groups).alias("g"), "doc_id", "text")
+    # as one value, so that rows are dealt by id and text together
+    place = F.struct("doc_id", "text_key").alias("place")
+    firsts = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")).select(place)
+    chosen = rows.withColumn("place", place).join(firsts, "place", "left_semi").select(group_of(F.col("doc_id"), groups).alias("g"), "doc_id", "text")
     name = f"first_texts_{uuid.uuid4().hex}"
     writer = chosen.repartition(tasks, "g").write.format("parquet").option("compression", "zstd").option("path", f"{shared_root(spark)}/{name}")
     writer.bucketBy(tasks, "g").saveAsTable(name)
