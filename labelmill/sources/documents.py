@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelmill.schemas import DOCUMENT, DOCUMENT_KEYS
+from labelmill.sources.files import located, write_whole
 
 _PARSED = T.StructType([*DOCUMENT.fields, T.StructField("_corrupt", T.StringType())])
 
@@ -29,16 +30,26 @@ def read_documents(spark: SparkSession, folder: str, years: Iterable[int] | None
         .text(path, wholetext=True)
         .select("value", F.col("_metadata.file_path").alias("path"))
     )
-    parsed = raw.select(
+    named = raw.select(
         F.regexp_extract("path", r"([0-9]{4})/[^/]+\.json$", 1).cast("int").alias("filing_year"),
         F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("application_number"),
-        F.from_json("value", _PARSED, {"columnNameOfCorruptRecord": "_corrupt"}).alias("doc"),
-        F.json_object_keys("value").alias("keys"),
+        "value",
+    )
+    return parsed_documents(named)
+
+
+def parsed_documents(named: DataFrame) -> DataFrame:
+    """``(filing_year, application_number, value)`` as rows of documents; a null value is a document that is ``missing``."""
+    parsed = named.withColumns(
+        {
+            "doc": F.from_json("value", _PARSED, {"columnNameOfCorruptRecord": "_corrupt"}),
+            "keys": F.json_object_keys("value"),
+        }
     )
     required = F.array(*(F.lit(key) for key in DOCUMENT_KEYS))
-    problem = F.when(
-        F.col("doc").isNull() | F.col("doc._corrupt").isNotNull() | F.col("keys").isNull(), F.lit("corrupt")
-    ).when(F.size(F.array_except(required, F.col("keys"))) > 0, F.lit("absent_key"))
+    broken = F.col("doc").isNull() | F.col("doc._corrupt").isNotNull() | F.col("keys").isNull()
+    problem = F.when(F.col("value").isNull(), F.lit("missing")).when(broken, F.lit("corrupt"))
+    problem = problem.when(F.size(F.array_except(required, F.col("keys"))) > 0, F.lit("absent_key"))
     return parsed.select(
         "filing_year",
         "application_number",
@@ -86,23 +97,20 @@ def ingest_documents(documents: DataFrame, path: str, table: str | None = None,
 def write_documents(rows: DataFrame, folder: str) -> None:
     """Write ``(filing_year, application_number, body)`` rows as one file each, inside the tasks.
 
-    Writing the same row twice, as a retried task does, leaves the same file.
+    Writing the same row twice, as a retried task does, leaves the same file; a file is there whole or not at all.
     """
 
     def store(parts):
         import pyarrow as pa
-        from pyarrow import fs
 
-        uri = folder if "://" in folder else "file://" + folder.removeprefix("file:")
-        filesystem, inner = fs.FileSystem.from_uri(uri)
+        filesystem, inner = located(folder)
         made = set()
         for part in parts:
             for year, number, body in zip(*(part.column(i).to_pylist() for i in range(3))):
                 if year not in made:
                     filesystem.create_dir(f"{inner}/{year}", recursive=True)
                     made.add(year)
-                with filesystem.open_output_stream(f"{inner}/{year}/{number}.json") as out:
-                    out.write(body.encode("utf-8"))
+                write_whole(filesystem, f"{inner}/{year}/{number}.json", body.encode("utf-8"))
             yield pa.RecordBatch.from_pydict({"n": pa.array([part.num_rows], pa.int64())})
 
     wanted = rows.select(F.col("filing_year").cast("int"), "application_number", "body")

@@ -7,53 +7,78 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelmill.schemas import METADATA
-
+from labelmill.sources.arrow_index import plain
+from labelmill.sources.files import located
 
 # Columns without which a table is no metadata table; other declared ones are null where a file lacks them.
 REQUIRED = ("application_number", "filing_date", "decision")
 
 
-def _declared(df: DataFrame, schema: T.StructType, path: str) -> DataFrame:
-    """Declared columns first, found by name and cast; further columns stay as they are."""
+def _declared(df: DataFrame, schema: T.StructType, path: str, bad_values: str) -> DataFrame:
+    """Declared columns first, found by name and cast; further columns stay as they are.
+
+    ``bad_values`` names a column that gets the declared columns whose value is there but cannot be read as their type, or is empty
+    for a table without such a column; then the first such value ends the query.
+    """
     missing = [name for name in REQUIRED if name in schema.names and name not in df.columns]
     if missing:
         raise ValueError(f"no column {', '.join(missing)} in {path}")
-    declared = [
-        (F.col(f"`{field.name}`").try_cast(field.dataType) if field.name in df.columns else F.lit(None).cast(field.dataType)).alias(field.name)
-        for field in schema.fields
-    ]
-    return df.select(*declared, *(F.col(f"`{name}`") for name in df.columns if name not in schema.names))
-
-
-def read_metadata(spark: SparkSession, path: str, schema: T.StructType = METADATA, line_breaks: bool = False) -> DataFrame:
+    known = [field for field in schema.fields if field.name in df.columns]
+    cast = {field.name: F.col(f"`{field.name}`").try_cast(field.dataType) for field in known}
+    unread = {name: F.col(f"`{name}`").isNotNull() & column.isNull() for name, column in cast.items()}
+    if not bad_values:
+        for name, column in cast.items():
+            told = F.concat(F.lit(f"{path}: {name} cannot be read from "), F.col(f"`{name}`").cast("string"))
+            cast[name] = F.when(unread[name], F.raise_error(told).cast(schema[name].dataType)).otherwise(column)
+    declared = [cast.get(field.name, F.lit(None).cast(field.dataType)).alias(field.name) for field in schema.fields]
+    further = [F.col(f"`{name}`") for name in df.columns if name not in schema.names]
+    if bad_values:
+        names = F.array(*(F.when(bad, F.lit(name)) for name, bad in unread.items()))
+        further.append(F.array_compact(names).alias(bad_values))
+    return df.select(*declared, *further)
+
+
+def read_metadata(
+    spark: SparkSession, path: str, schema: T.StructType = METADATA, line_breaks: bool = False, bad_values: str = ""
+) -> DataFrame:
     """Read a metadata table; the suffix of ``path`` names the format. Columns are found by their names.
 
+    A value that cannot be read as its column's type ends the query, unless ``bad_values`` names a column for it: then the value
+    is null and its column's name stands there, and :func:`split_unreadable` sets such rows apart.
+
     Large text files are split among tasks. Pass ``line_breaks=True`` for text files with line breaks inside quoted fields;
     each of those is read by one task.
     """
     name = path.rstrip("/").lower()
     text = {"header": True, "escape": '"', "multiLine": line_breaks}
     if name.endswith(".parquet"):
-        return _declared(spark.read.parquet(path), schema, path)
+        return _declared(spark.read.parquet(path), schema, path, bad_values)
     if name.endswith(".csv"):
-        return _declared(spark.read.csv(path, **text), schema, path)
+        return _declared(spark.read.csv(path, **text), schema, path, bad_values)
     if name.endswith(".tsv"):
-        return _declared(spark.read.csv(path, sep="\t", **text), schema, path)
+        return _declared(spark.read.csv(path, sep="\t", **text), schema, path, bad_values)
     if name.endswith(".feather"):
-        return _declared(read_arrow(spark, path), schema, path)
+        return _declared(read_arrow(spark, path), schema, path, bad_values)
     if name.endswith(".pickle"):
         raise ValueError(f"Unpickling runs code, so this metadata file is not read: {path}")
     raise ValueError(f"No metadata format with this suffix: {path}")
 
 
+def split_unreadable(metadata: DataFrame, bad_values: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose values could all be read, and a quarantine of ``(application_number, reason)`` for the others.
+
+    A row without a filing date belongs to no year and no window; it is quarantined as ``no_filing_date``.
+    """
+    unread = F.size(bad_values) > 0
+    dateless = F.col("filing_date").isNull()
+    reason = F.when(unread, F.concat(F.lit("unreadable "), F.array_join(bad_values, ", "))).otherwise(F.lit("no_filing_date"))
+    return metadata.where(~unread & ~dateless).drop(bad_values), metadata.where(unread | dateless).select("application_number", reason.alias("reason"))
+
+
 def _arrow_file(location: str):
     import pyarrow as pa
-    from pyarrow import fs
 
-    # Spark reports file:/x and file:///x; the Arrow filesystem layer wants the latter.
-    if location.startswith("file:/") and not location.startswith("file://"):
-        location = "file://" + location[len("file:"):]
-    filesystem, inner = fs.FileSystem.from_uri(location)
+    filesystem, inner = located(location)
     return pa.ipc.open_file(filesystem.open_input_file(inner))
 
 
@@ -69,12 +94,6 @@ def read_arrow(spark: SparkSession, path: str) -> DataFrame:
     # a folder named like x.feather holds the files; a plain file is read alone
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
 
-    def plain(kind):
-        """A type that Spark takes: categories as their values, times in microseconds."""
-        if pa.types.is_dictionary(kind):
-            return plain(kind.value_type)
-        return pa.timestamp("us", kind.tz) if pa.types.is_timestamp(kind) else kind
-
     def schema_of(parts):
         for part in parts:
             for location in part.column(0).to_pylist():
@@ -111,27 +130,30 @@ def read_arrow(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_arrow(df: DataFrame, path: str) -> None:
-    """Write ``df`` as a folder of Arrow IPC files, one per task, named so that a retry overwrites."""
+    """Write ``df`` as a folder of Arrow IPC files, one per task; each is there whole or not at all, and a retry replaces it."""
 
     def store(parts):
+        import uuid
+
         import pyarrow as pa
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        uri = path if "://" in path else "file://" + path.removeprefix("file:")
-        filesystem, inner = fs.FileSystem.from_uri(uri)
+        filesystem, inner = located(path)
         filesystem.create_dir(inner, recursive=True)
         rows, writer = 0, None
         name = f"{inner}/part-{TaskContext.get().partitionId():06d}.feather"
+        # Spark's readers pass over names that begin like this
+        beside = f"{inner}/_{uuid.uuid4().hex}.part"
         for part in parts:
             if writer is None:
-                out = filesystem.open_output_stream(name)
+                out = filesystem.open_output_stream(beside)
                 writer = pa.ipc.new_file(out, part.schema)
             writer.write_batch(part)
             rows += part.num_rows
         if writer is not None:
             writer.close()
             out.close()
+            filesystem.move(beside, name)
         yield pa.RecordBatch.from_pydict({"n": pa.array([rows], pa.int64())})
 
     df.mapInArrow(store, "n long").agg(F.sum("n")).collect()
