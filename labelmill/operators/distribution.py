@@ -9,7 +9,7 @@ points only decide who does the work, the result is exact.
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -74,11 +74,52 @@ def cumulative(
     )
 
 
-def quantiles_from(hist: DataFrame, group: str, value: str, count: str, shares: dict[str, float], slices: int | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per group; groups are few."""
+def bracketed(df: DataFrame, group: str, value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """A histogram that is exact around the wanted quantiles only: ``(group, value, rows, own)``, written once.
+
+    A quantile sketch gives a bracket for each quantile, a few times wider than the sketch is off. Values inside a bracket keep a
+    row each; all others only count, with the upper end of the bracket before them or minus infinity. ``own`` counts
+    the rows that have the value itself. Groups are few; ``df`` is read twice.
+    """
+    margin = 3.0 / accuracy
+    points = [point for share in shares.values() for point in (max(0.0, share - margin), min(1.0, share + margin))]
+    number = F.col(value).cast("double")
+    sketches = df.groupBy(group).agg(F.percentile_approx(number, points, accuracy).alias("ends"))
+    ends = group_map(sketches, group, F.col("ends"))[F.col(group)]
+    # one lookup of the group per row, not one per comparison
+    rows = df.select(group, number.alias("_value"), ends.alias("_ends"))
+    lows, highs = ([F.get("_ends", F.lit(2 * i + side)) for i in range(len(shares))] for side in (0, 1))
+    inside = reduce(or_, (F.col("_value").between(low, high) for low, high in zip(lows, highs, strict=True)))
+    before = F.greatest(F.lit(float("-inf")), *(F.when(high < F.col("_value"), high) for high in highs))
+    cells = rows.select(group, F.when(inside, F.col("_value")).otherwise(before).alias(value), inside.alias("_own"))
+    hist = cells.groupBy(group, value).agg(F.count("*").alias("rows"), F.count_if("_own").alias("own"))
+    return materialise(hist, "brackets")
+
+
+def exact_quantiles(df: DataFrame, group: str, value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """``group``, ``n`` and the quantiles by linear interpolation, exactly; no table of all distinct values is made.
+
+    ``df`` has no null values and groups. Should a quantile lie outside its bracket, all distinct values are counted after all.
+    """
+    hist = bracketed(df, group, value, shares, accuracy)
+    found = materialise(quantiles_from(hist, group, value, "rows", shares, own="own"), "quantiles")
+    if not found.where("NOT met").isEmpty():
+        found = quantiles_from(histogram(df, [group], value, {"rows": F.lit(1)}), group, value, "rows", shares)
+    return found.drop("met")
+
+
+def quantiles_from(
+    hist: DataFrame, group: str, value: str, count: str, shares: dict[str, float], slices: int | None = None, own: str | None = None
+) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per group; groups are few.
+
+    ``own`` names how many of a value's rows come first and have the value itself; ``met`` then says whether all places that the
+    quantiles need are among those.
+    """
     totals = group_map(hist.groupBy(group).agg(F.sum(count).alias("n")), group, F.col("n"))
     placed = cumulative(hist, [group], value, [count], slices=slices).select(
         group,
+        *([(F.col(f"cum_{count}") - F.col(count) + F.col(own) - 1).alias("_last_own")] if own else []),
         F.col(value).cast("double").alias("_value"),
         (F.col(f"cum_{count}") - F.col(count)).alias("_first"),
         (F.col(f"cum_{count}") - 1).alias("_last"),
@@ -92,9 +133,16 @@ def quantiles_from(hist: DataFrame, group: str, value: str, count: str, shares:
     picked = placed.groupBy(group, "n").agg(
         *(value_at(F.floor(at)).alias(f"_low_{name}") for name, at in place.items()),
         *(value_at(F.ceil(at)).alias(f"_high_{name}") for name, at in place.items()),
+        *([F.bool_and(_met(place.values())).alias("met")] if own else []),
     )
     between = {
         name: F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * (at - F.floor(at))
         for name, at in place.items()
     }
-    return picked.select(group, "n", *(column.alias(name) for name, column in between.items()))
+    return picked.select(group, "n", *(column.alias(name) for name, column in between.items()), *(["met"] if own else []))
+
+
+def _met(places) -> Column:
+    """Of the places that fall to this value, none falls behind its own rows."""
+    both = [at for place in places for at in (F.floor(place), F.ceil(place))]
+    return ~reduce(or_, (at.between(F.col("_first"), F.col("_last")) & (at > F.col("_last_own")) for at in both))

@@ -6,28 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelmill.operators.vocabulary import BROADCAST_ENTRIES, SEP
+from labelmill.session import materialise
 
 PAD_ID, UNK_ID = 0, 1
 # Copies of each vocabulary entry when a large vocabulary is joined.
 JOIN_SALTS = 32
 
 
-def _slotted(vocabulary: DataFrame, slots: int) -> Column:
-    """The vocabulary as one value: an array of ``slots`` small maps, addressed by token hash.
+def slotted(vocabulary: DataFrame, slots: int, value: str = "token_id") -> Column:
+    """A bounded vocabulary as one value: an array of ``slots`` small maps from token to ``value``, addressed by token hash.
 
     One map over all entries would be searched from its start for every token; here a token
     meets the one or two entries of its slot.
     """
-    entries = vocabulary.select("token", "token_id").groupBy(_slot(F.col("token"), slots).alias("slot"))
-    filled = entries.agg(F.collect_list(F.struct("token", "token_id")).alias("entries"))
+    entries = vocabulary.select("token", value).groupBy(slot(F.col("token"), slots).alias("slot"))
+    filled = entries.agg(F.collect_list(F.struct("token", value)).alias("entries"))
     every = vocabulary.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
-    empty = F.array().cast("array<struct<token:string,token_id:int>>")
+    empty = F.array().cast(filled.schema["entries"].dataType)
     dense = every.join(filled, "slot", "left").select(F.struct("slot", F.coalesce("entries", empty).alias("entries")).alias("slot"))
     ordered = F.array_sort(F.collect_list("slot"))
     return dense.agg(F.transform(ordered, lambda slot: F.map_from_entries(slot["entries"]))).scalar()
 
 
-def _slot(token: Column, slots: int) -> Column:
+def slot(token: Column, slots: int) -> Column:
     return F.pmod(F.hash(token), F.lit(slots))
 
 
@@ -51,30 +52,36 @@ def encode(
     if vocab_size > BROADCAST_ENTRIES:
         return _encode_by_join(df, keys, tokens, vocabulary, carry)
     slots = 2 * vocab_size
-    known = df.select(*keys, *carry, tokens.alias("_tokens")).withColumn("_known", _slotted(vocabulary, slots))
+    known = df.select(*keys, *carry, tokens.alias("_tokens")).withColumn("_known", slotted(vocabulary, slots))
 
     def token_id(token):
-        return F.coalesce(F.get("_known", _slot(token, slots))[token], F.lit(UNK_ID))
+        return F.coalesce(F.get("_known", slot(token, slots))[token], F.lit(UNK_ID))
 
     return known.select(*keys, *carry, F.transform("_tokens", token_id).alias("input_ids"))
 
 
-def _encode_by_join(df: DataFrame, keys: list[str], tokens: Column, vocabulary: DataFrame, carry: tuple[str, ...]) -> DataFrame:
-    """Look tokens up in a vocabulary too large to hand out; ``keys`` must be unique.
+def _joined_in_place(rows: DataFrame, items: str, item: str, table: DataFrame, value: str, missing: Column | None) -> DataFrame:
+    """``(_row, _values)``: for each row of ``(_row, items)`` its items looked up in a large ``table``, in order.
 
-    A frequent token is a hot key of this join, so each entry is spread over ``JOIN_SALTS``
-    copies. A group of the final aggregation is one document.
+    Rows are told apart by a number of their own, whatever their keys. A frequent item is a hot key of this join, so each entry
+    of the table is spread over ``JOIN_SALTS`` copies. A group of the final aggregation is one row.
     """
-    salt = F.pmod(F.hash(*keys), F.lit(JOIN_SALTS)).alias("salt")
-    words = df.select(*keys, *carry, salt, F.posexplode_outer(tokens).alias("_place", "token"))
-    copies = F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))).alias("salt")
-    found = words.join(vocabulary.select("token", "token_id", copies), ["token", "salt"], "left")
-    entry = F.when(F.col("_place").isNotNull(), F.struct("_place", F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))
-    return (
-        found.groupBy(*keys)
-        .agg(*(F.first(c).alias(c) for c in carry), F.array_sort(F.collect_list(entry)).alias("_entries"))
-        .select(*keys, *carry, F.transform("_entries", lambda e: e["id"]).alias("input_ids"))
-    )
+    salt = F.pmod(F.hash("_row"), F.lit(JOIN_SALTS)).alias("_salt")
+    single = rows.select("_row", salt, F.posexplode(items).alias("_place", item))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))).alias("_salt")
+    found = single.join(table.select(item, value, copies), [item, "_salt"], "left")
+    looked_up = F.col(value) if missing is None else F.coalesce(value, missing)
+    entries = F.array_sort(F.collect_list(F.struct("_place", looked_up.alias("value"))))
+    return found.groupBy("_row").agg(F.transform(entries, lambda e: e["value"]).alias("_values"))
+
+
+def _encode_by_join(df: DataFrame, keys: list[str], tokens: Column, vocabulary: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """Look tokens up in a vocabulary too large to hand out; the rows are written once and numbered, so equal or null keys stay rows of their own."""
+    numbered = df.select(*keys, *carry, tokens.alias("_tokens"), F.monotonically_increasing_id().alias("_row"))
+    rows = materialise(numbered, "tokens")
+    ids = _joined_in_place(rows, "_tokens", "token", vocabulary, "token_id", F.lit(UNK_ID))
+    nothing = F.array().cast("array<int>")
+    return rows.join(ids, "_row", "left").select(*keys, *carry, F.coalesce("_values", nothing).alias("input_ids"))
 
 
 def pad_and_mask(df: DataFrame, length: Column | int) -> DataFrame:
@@ -96,11 +103,17 @@ def pad_longest_in_batch(df: DataFrame, batch: str = "batch_id") -> DataFrame:
     return pad_and_mask(df.withColumn("_longest", longest), F.col("_longest")).drop("_longest")
 
 
-def decode(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Add ``decoded``: the tokens of ``input_ids`` joined by blanks.
+def decode(df: DataFrame, vocabulary: DataFrame, vocab_size: int = 10_000) -> DataFrame:
+    """Add ``decoded``: the tokens of ``input_ids`` joined by blanks; an id without a token leaves nothing.
 
-    Ids are positions, so the vocabulary (bounded by its size) becomes one array to index.
+    Ids are positions, so a vocabulary within ``BROADCAST_ENTRIES`` becomes one array to index; a larger one is joined.
     """
+    if vocab_size > BROADCAST_ENTRIES:
+        rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "ids")
+        names = _joined_in_place(rows, "input_ids", "token_id", vocabulary, "token", None)
+        joined = rows.join(names, "_row", "left")
+        text = F.when(F.col("input_ids").isNotNull(), F.coalesce(F.array_join("_values", " "), F.lit("")))
+        return joined.withColumn("decoded", text).drop("_row", "_values")
     entries = F.array_sort(F.collect_list(F.struct("token_id", "token")))
     names = vocabulary.agg(F.transform(entries, lambda e: e["token"])).scalar()
     return (

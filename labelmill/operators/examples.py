@@ -75,6 +75,18 @@ def select_section(
     return df.select(identifier, *carry, "labels", text.alias("text"))
 
 
+def reshaped(df: DataFrame, rename: dict[str, str] | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Columns renamed and dropped, all others as they are. A name that is not there, or would be there twice, is an error."""
+    rename = rename or {}
+    missing = [name for name in (*rename, *drop) if name not in df.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)}")
+    kept = [(name, rename.get(name, name)) for name in df.columns if name not in drop]
+    if len({new for _, new in kept}) < len(kept):
+        raise ValueError(f"two columns of one name: {[new for _, new in kept]}")
+    return df.select(*(F.col(f"`{name}`").alias(new) for name, new in kept))
+
+
 def nested_enrichment(joined: DataFrame) -> DataFrame:
     """Each application with its document as one nested column ``comb``."""
     fields = [

@@ -27,6 +27,7 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 
 
 def with_outcome(metadata: DataFrame, predictions: DataFrame, key: str = "application_number") -> DataFrame:
-    """Metadata with its outcome in one join instead of one semi join per outcome."""
+    """Metadata with its outcome in one join instead of one semi join per outcome; a null ``correct`` is no outcome."""
+    predictions = predictions.where(F.col("correct").isNotNull())
     outcome = F.when(F.col("correct"), F.lit("Correct")).otherwise(F.lit("Incorrect"))
     return metadata.join(predictions.select(key, outcome.alias("Prediction")), key)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.config import SPLIT_SEED
+from labelmill.operators.commits import commit, committed
 from labelmill.operators.splits import ID, seeded_shuffle
 
 _METRIC = "run_id string, tag string, step long, value double"
@@ -35,11 +36,13 @@ def metrics_report(metrics: dict[str, DataFrame], run_id: str, step: int) -> Dat
 
 
 def append_metrics(report: DataFrame, path: str) -> None:
-    report.write.mode("append").parquet(path)
+    """Append in one commit; a tag of a run and step that is written again replaces what it had."""
+    commit(report, path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_METRIC).parquet(path)
+    """Committed reports only, each tag of a run and step once."""
+    return committed(spark, path, _METRIC, ["run_id", "step", "tag"])
 
 
 def export_csv(df: DataFrame, path: str) -> None:

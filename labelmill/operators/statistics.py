@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.operators.distribution import group_map, histogram, quantiles_from
+from labelmill.operators.distribution import exact_quantiles, group_map
+from labelmill.session import materialise
 
 OUTCOMES = ("Correct", "Incorrect")
 
@@ -52,23 +53,23 @@ def outcome_gap(df: DataFrame, feature: str, threshold: int = 5) -> DataFrame:
 
 def box_stats(df: DataFrame, feature: str, group: str = "Prediction") -> DataFrame:
     """Quartiles, whiskers within 1.5 interquartile ranges and outlier count of each group."""
-    clean = df.where(F.col(feature).isNotNull())
-    hist = histogram(clean, [group], feature, {"rows": F.lit(1)})
-    quartiles = quantiles_from(hist, group, feature, "rows", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    # two narrow columns, written once because the sketch, the brackets and the whiskers read them
+    clean = materialise(df.where(F.col(feature).isNotNull()).select(group, F.col(feature).cast("double").alias(feature)), "feature")
+    quartiles = exact_quantiles(clean, group, feature, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = (F.col("q3") - F.col("q1")) * 1.5
     fences = quartiles.select(group, "q1", "median", "q3", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
     boxes = group_map(fences, group, F.struct("q1", "median", "q3", "low", "high"))
-    value, box = F.col(feature).cast("double"), F.col("box")
+    box = F.col("box")
     below, above = F.col("value") < box["low"], F.col("value") > box["high"]
     # a whisker ends at the outermost value inside its fence; a box without one keeps its edge
     return (
-        hist.select(group, "rows", value.alias("value"), boxes[F.col(group)].alias("box"))
+        clean.select(group, F.col(feature).alias("value"), boxes[F.col(group)].alias("box"))
         .groupBy(group, "box")
         .agg(
-            F.sum("rows").alias("n"),
+            F.count("*").alias("n"),
             F.min(F.when(~below, F.col("value"))).alias("low"),
             F.max(F.when(~above, F.col("value"))).alias("high"),
-            F.sum(F.when(below | above, F.col("rows")).otherwise(0)).alias("outliers"),
+            F.count_if(below | above).alias("outliers"),
         )
         .select(
             group, "n", "box.q1", "box.median", "box.q3",
@@ -81,11 +82,7 @@ def box_stats(df: DataFrame, feature: str, group: str = "Prediction") -> DataFra
 
 def section_length_stats(df: DataFrame, text: str, group: str = "split") -> DataFrame:
     """Longest, mean and median section length per split, in characters."""
-    lengths = df.select(group, F.length(text).cast("long").alias("length")).where("length IS NOT NULL")
-    hist = histogram(lengths, [group], "length", {"rows": F.lit(1)})
-    medians = quantiles_from(hist, group, "length", "rows", {"median_length": 0.5})
-    ends = hist.groupBy(group).agg(
-        F.max("length").alias("max_length"),
-        (F.sum(F.col("length") * F.col("rows")) / F.sum("rows")).alias("mean_length"),
-    )
+    lengths = materialise(df.select(group, F.length(text).cast("long").alias("length")).where("length IS NOT NULL"), "lengths")
+    medians = exact_quantiles(lengths, group, "length", {"median_length": 0.5})
+    ends = lengths.groupBy(group).agg(F.max("length").alias("max_length"), F.avg("length").alias("mean_length"))
     return medians.join(ends, group)

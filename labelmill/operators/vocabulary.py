@@ -38,9 +38,14 @@ def build_vocabulary(
         .orderBy(F.desc("n"), F.asc("token"))
         .limit(size - len(specials))
     )
+    return ranked_vocabulary(kept, specials)
+
+
+def ranked_vocabulary(kept: DataFrame, specials: tuple[str, ...]) -> DataFrame:
+    """Ids for the ``(token, n)`` that were kept: specials first, then by count, ties by token."""
     rank = F.row_number().over(Window.orderBy(F.desc("n"), F.asc("token")))
     ranked = kept.select("token", (rank + (len(specials) - 1)).alias("token_id"), "n")
-    fixed = df.sparkSession.createDataFrame(
+    fixed = kept.sparkSession.createDataFrame(
         [(token, i, 0) for i, token in enumerate(specials)], "token string, token_id int, n long"
     )
     return fixed.unionByName(ranked)

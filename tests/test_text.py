@@ -142,7 +142,7 @@ def test_naive_bayes(spark, tmp_path, kind):
         assert got[number].pred == (1 if expected[1] > expected[0] + 1e-12 else 0)
     path = str(tmp_path / kind)
     model.save(path)
-    again = models.score_naive_bayes(train, models.NaiveBayes.load(spark, path, kind, 10_000), words_of("text"), ["application_number"])
+    again = models.score_naive_bayes(train, models.NaiveBayes.load(spark, path), words_of("text"), ["application_number"])
     assert {r.application_number: round(r.score_1, 9) for r in again.collect()} == {n: round(got[n].score_1, 9) for n, _, _ in TRAIN}
 
 
