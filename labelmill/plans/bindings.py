@@ -103,13 +103,14 @@ def labelled_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def application_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents in the shape of the JSON format, filed under the year of their order."""
+    """Documents in the shape of the JSON format, filed under the year of their order; those without one under 1900."""
     quality = table(spark, folder, "labels").select("doc_id", "quality")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
     joined = (
         table(spark, folder, "documents")
-        .join(orders, F.col("doc_id") == F.col("o_orderkey"))
+        .join(orders, F.col("doc_id") == F.col("o_orderkey"), "left")
         .join(quality, "doc_id", "left")
+        .withColumn("o_orderdate", F.coalesce("o_orderdate", F.lit("1900-01-01").cast("timestamp_ntz")))
     )
     decision = F.when(F.col("quality") == 1, "ACCEPTED").when(F.col("quality") == 0, "REJECTED").otherwise("PENDING")
     number = F.col("doc_id").cast("string")
@@ -125,7 +126,7 @@ def application_documents(spark: SparkSession, folder: str) -> DataFrame:
         "filing_date": F.date_format("o_orderdate", "yyyy-MM-dd"),
         "patent_issue_date": F.lit(""),
         "date_published": F.date_format("o_orderdate", "yyyyMMdd"),
-        "examiner_id": F.concat(F.col("o_custkey").cast("string"), F.lit(".0")),
+        "examiner_id": F.concat(F.coalesce(F.col("o_custkey"), F.lit(0)).cast("string"), F.lit(".0")),
         "main_ipcr_label": F.col("lang"),
     }
     return joined.select(

@@ -10,12 +10,24 @@ from pyspark.sql import functions as F
 from labelmill.config import CorpusConfig, needed_years
 from labelmill.operators import examples, filters
 from labelmill.operators import predictions as outcome
+from labelmill.operators.membership import with_listed_ids
 from labelmill.plans import bindings as b
 from labelmill.plans.registry import query
 from labelmill.plans.views import LABEL, sql
 from labelmill.schemas import DOCUMENT_KEYS, EXAMPLE_COLUMNS, METADATA
 from labelmill.session import scratch_path
-from labelmill.sources import ingest_documents, list_columns, quarantine, read_documents, read_metadata, write_arrow
+from labelmill.sources import (
+    index_batches,
+    ingest_documents,
+    list_columns,
+    looked_up,
+    quarantine,
+    read_documents,
+    read_indexed,
+    read_metadata,
+    split_unreadable,
+    write_arrow,
+)
 
 _FORMATS = ("csv", "feather", "parquet", "tsv")
 
@@ -94,6 +106,66 @@ def quarantine_documents(spark, folder):
     return quarantine(b.filings(spark, folder), read_documents(spark, b.json_corpus(spark, folder)))
 
 
+@query(
+    "documents_by_name",
+    sql(
+        """SELECT f.application_number, CASE WHEN d.application_number IS NULL OR d.background = 'src13' THEN 'missing'
+ WHEN d.background = 'src7' THEN 'corrupt' WHEN d.background = 'src3' THEN 'absent_key' ELSE 'ok' END AS state,
+ CASE WHEN d.application_number IS NULL OR d.background IN ('src3', 'src7', 'src13') THEN '' ELSE md5(claims) END AS claims_md5
+ FROM filings f LEFT JOIN docs d ON f.application_number = d.application_number AND year(f.filing_date) = d.filing_year
+ WHERE f.decision = 'ACCEPTED'""",
+        "filings",
+        "docs",
+    ),
+)
+def documents_by_name(spark, folder):
+    """The documents of accepted filings, opened one by one without a listing, and what became of the others."""
+    accepted = b.filings(spark, folder).where("decision = 'ACCEPTED'")
+    good, bad = looked_up(spark, accepted, b.json_corpus(spark, folder))
+    return good.select("application_number", F.lit("ok").alias("state"), F.md5("claims").alias("claims_md5")).unionByName(
+        bad.select("application_number", F.col("reason").alias("state"), F.lit("").alias("claims_md5"))
+    )
+
+
+@query(
+    "indexed_month",
+    sql(
+        """SELECT application_number, strftime(filing_date, '%Y-%m-%d %H:%M:%S') AS filing_date, decision, examiner_full_name FROM classified
+ WHERE filing_date >= TIMESTAMP '1996-03-01' AND filing_date < TIMESTAMP '1996-04-01'""",
+        "classified",
+    ),
+)
+def indexed_month(spark, folder):
+    """One month out of a Feather table whose index rules most batches out."""
+    path = f"{scratch_path(spark, 'metadata')}.feather"
+    metadata = b.classified_filings(spark, folder).select(*METADATA.fieldNames())
+    write_arrow(metadata.repartitionByRange("filing_date").sortWithinPartitions("filing_date"), path)
+    index_batches(spark, path)
+    columns = ("application_number", "filing_date", "decision", "examiner_full_name")
+    month = filters.matching(
+        read_indexed(spark, path, columns), "filing_date >= TIMESTAMP_NTZ'1996-03-01' AND filing_date < TIMESTAMP_NTZ'1996-04-01'"
+    )
+    return month.select("application_number", _stamp(), "decision", "examiner_full_name")
+
+
+@query(
+    "read_metadata_rows",
+    sql(
+        """SELECT application_number, strftime(filing_date, '%Y-%m-%d %H:%M:%S') AS filing_date, decision, main_cpc_label, main_ipcr_label,
+ examiner_id, examiner_full_name, uspc_class, uspc_subclass FROM classified""",
+        "classified",
+    ),
+)
+def read_metadata_rows(spark, folder):
+    """Every row of the metadata, written as text and read again."""
+    path = f"{scratch_path(spark, 'metadata')}.tsv"
+    b.classified_filings(spark, folder).select(*METADATA.fieldNames()).write.option("escape", '"').csv(path, header=True, sep="\t")
+    good, _ = split_unreadable(read_metadata(spark, path, bad_values="_bad"), "_bad")
+    return good.select(
+        "application_number", _stamp(), "decision", "main_cpc_label", "main_ipcr_label", "examiner_id", "examiner_full_name", "uspc_class", "uspc_subclass"
+    )
+
+
 _TYPES = [(field.name, field.dataType.simpleString()) for field in METADATA.fields]
 
 
@@ -350,6 +422,21 @@ def semi_join_predictions(spark, folder):
     return rows.select("application_number", "examiner_full_name", "uspc_class")
 
 
+@query(
+    "semi_join_listed",
+    sql(
+        """SELECT application_number, examiner_full_name, uspc_class FROM classified
+ WHERE application_number IN (SELECT application_number FROM predictions WHERE NOT correct)""",
+        "classified",
+        "predictions",
+    ),
+)
+def semi_join_listed(spark, folder):
+    """The incorrect list by way of a Bloom filter of its ids."""
+    wrong = b.predictions(spark, folder).where("NOT correct")
+    return with_listed_ids(b.classified_filings(spark, folder), wrong).select("application_number", "examiner_full_name", "uspc_class")
+
+
 @query("tagged_union", sql("SELECT application_number, decision, Prediction FROM outcomes", "outcomes"))
 def tagged_union(spark, folder):
     metadata = b.filings(spark, folder).select("application_number", "decision")

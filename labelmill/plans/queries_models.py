@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from labelmill.config import CorpusConfig
@@ -10,12 +11,13 @@ from labelmill.operators import metrics, models, runlog, sinks, splits, statisti
 from labelmill.operators import predictions as outcome
 from labelmill.operators.examples import split_unknown
 from labelmill.operators.filters import keep_decided
+from labelmill.operators.stages import TextBayes
 from labelmill.operators.vocabulary import build_vocabulary
 from labelmill.plans import bindings as b
 from labelmill.plans.jobs import build_examples, classify, error_breakdown
 from labelmill.plans.registry import query
-from labelmill.plans.views import key, sql, words
-from labelmill.session import materialise
+from labelmill.plans.views import hash_split, key, sql, words
+from labelmill.session import materialise, scratch_path
 
 
 
@@ -239,6 +241,36 @@ def logreg_bow(spark, folder):
     return models.score_linear(rows, model, words, ["application_number", "split", "labels"])
 
 
+@query(
+    "logreg_optimum",
+    sql(
+        f"""SELECT token, count(*) FILTER (labels = 1) AS positive, true AS met FROM seen JOIN kept USING (token) GROUP BY token
+ UNION ALL SELECT NULL, count(*) FILTER (labels = 1), true FROM labelled WHERE split = 'train'""",
+        "labelled",
+        extra=f"""seen AS (SELECT labels, unnest(list_distinct({words('text')})) AS token FROM labelled WHERE split = 'train'),
+ kept AS (SELECT token FROM seen GROUP BY token HAVING count(*) >= 3 QUALIFY row_number() OVER (ORDER BY count(*) DESC, token) <= 200)""",
+    ),
+)
+def logreg_optimum(spark, folder):
+    """The linear model, on the presence of tokens, meets the condition of first order for each of them and for its offset."""
+    rows, present = _tokenised(spark, folder), F.array_distinct("tokens")
+    train = materialise(statistics.with_row_weights(rows.where("split = 'train'")).select("labels", "weight", present.alias("tokens")), "present")
+    # at most 200 entries
+    entries = [row.token for row in build_vocabulary(train, F.col("tokens"), size=202).where("n > 0").collect()]
+    options = {"iterations": 500, "regularisation": 1e-2, "tolerance": 1e-10, "standardise": False, "vocabulary": entries}
+    model = models.train_linear(train, F.col("tokens"), weight="weight", **options)
+    found = models.first_order(train, model, F.col("tokens"), weight="weight")
+    return found.select("token", "positive", (F.abs("gradient") <= 1e-4).alias("met"))
+
+
+@query("nb_saved", _bayes_sql("bernoulli"))
+def nb_saved(spark, folder):
+    """A pipeline with a naive Bayes stage, saved, loaded and applied."""
+    rows, path = _tokenised(spark, folder), scratch_path(spark, "pipeline-model")
+    Pipeline(stages=[TextBayes(kind="bernoulli")]).fit(rows.where("split = 'train'")).save(path)
+    return _bayes_output(PipelineModel.load(path).transform(rows))
+
+
 def _letter_scores():
     """A stand-in for an external model: class scores are the counts of ``a`` and of ``e``."""
     return lambda texts: [(text.count("a"), text.count("e")) for text in texts]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from labelmill.operators import metrics, sinks, splits, statistics
 from labelmill.operators import predictions as outcome
+from labelmill.operators.commits import stage
 from labelmill.plans import bindings as b
 from labelmill.plans.registry import query
 from labelmill.plans.views import hash_split, key, sql
@@ -162,6 +163,31 @@ def metrics_report(spark, folder):
     return sinks.read_metrics(spark, path).withColumn("value", F.round("value", 6))
 
 
+@query(
+    "metrics_rewritten",
+    sql(
+        """SELECT 'price_rule' AS run_id, tag, step, round(value, 6) AS value FROM (
+ SELECT 'val/n' AS tag, s AS step, count(*)::DOUBLE AS value FROM predictions, range(1, 3) AS r(s) GROUP BY s
+ UNION ALL SELECT 'val/correct', s, (count(*) FILTER (label = pred))::DOUBLE FROM predictions, range(1, 3) AS r(s) GROUP BY s
+ UNION ALL SELECT 'val/accuracy', s, avg((label = pred)::INTEGER) FROM predictions, range(1, 3) AS r(s) GROUP BY s)""",
+        "predictions",
+    ),
+)
+def metrics_rewritten(spark, folder):
+    """A step written twice counts once, with its last values; a writer that dies before it commits is not seen."""
+    scored = b.predictions(spark, folder)
+    path = scratch_path(spark, "metrics")
+
+    def report(rows, step):
+        return sinks.metrics_report({"val/": metrics.accuracy(rows)}, "price_rule", step)
+
+    sinks.append_metrics(report(scored.where("NOT correct"), 1), path)
+    sinks.append_metrics(report(scored, 2), path)
+    sinks.append_metrics(report(scored, 1), path)
+    stage(report(scored, 3), path)
+    return sinks.read_metrics(spark, path).withColumn("value", F.round("value", 6))
+
+
 @query(
     "export_metadata",
     sql("SELECT application_number, examiner_full_name, uspc_class, uspc_subclass, decision, Prediction FROM outcomes", "outcomes"),

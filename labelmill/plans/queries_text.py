@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from labelmill.functions import normalise, words_of
 from labelmill.operators import conversations, encoding, sinks, splits, statistics
+from labelmill.operators.frequent import frequent_vocabulary
 from labelmill.operators.packing import pack_sequences
-from labelmill.operators.vocabulary import PAIR_SPECIALS, build_vocabulary
+from labelmill.operators.vocabulary import BROADCAST_ENTRIES, PAIR_SPECIALS, build_vocabulary
 from labelmill.plans import bindings as b
 from labelmill.plans.registry import query
 from labelmill.plans.views import hash_split, key, sql, words
@@ -55,6 +56,27 @@ def vocabulary(spark, folder):
     return build_vocabulary(b.texts(spark, folder), words_of("text"))
 
 
+@query(
+    "frequent_vocabulary",
+    sql(
+        "SELECT '[PAD]' AS token, 0 AS token_id, 0::BIGINT AS n UNION ALL SELECT '[UNK]', 1, 0 UNION ALL SELECT token, token_id, n FROM vocab",
+        "vocab",
+    ),
+)
+def frequent(spark, folder):
+    rows = materialise(b.texts(spark, folder).select(words_of("text").alias("tokens")), "tokens")
+    return frequent_vocabulary(rows, F.col("tokens"))
+
+
+@query("encode_large_vocabulary", sql("SELECT application_number, array_to_string(ids, ',') AS input_ids FROM encoded", "encoded"))
+def encode_large_vocabulary(spark, folder):
+    """The way of a vocabulary that is too large to hand out: rows and entries meet in a join."""
+    rows = b.texts(spark, folder).select("application_number", words_of("text").alias("tokens"))
+    entries = materialise(build_vocabulary(rows, F.col("tokens")), "vocabulary")
+    encoded = encoding.encode(rows, ID, F.col("tokens"), entries, MAX_LENGTH, vocab_size=BROADCAST_ENTRIES + 1)
+    return encoded.select("application_number", _joined_ids("input_ids").alias("input_ids"))
+
+
 @query("encode_section", sql("SELECT application_number, array_to_string(ids, ',') AS input_ids FROM encoded", "encoded"))
 def encode_section(spark, folder):
     return _encoded(spark, folder).select("application_number", _joined_ids("input_ids").alias("input_ids"))

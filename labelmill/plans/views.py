@@ -66,15 +66,15 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "docs": (
         (),
-        """SELECT CAST(year(o_orderdate) AS INTEGER) AS filing_year, CAST(d.doc_id AS VARCHAR) AS application_number,
+        """SELECT CAST(year(coalesce(o_orderdate, TIMESTAMP '1900-01-01')) AS INTEGER) AS filing_year, CAST(d.doc_id AS VARCHAR) AS application_number,
  CASE quality WHEN 1 THEN 'ACCEPTED' WHEN 0 THEN 'REJECTED' ELSE 'PENDING' END AS decision,
  concat(source, '-', d.doc_id) AS title,
  concat(lang, ' document of ', n_chars, ' characters') AS abstract, text AS claims,
  text AS full_description, source AS background, lang AS summary, source AS main_cpc_label,
- strftime(o_orderdate, '%Y-%m-%d') AS filing_date, '' AS patent_issue_date,
- strftime(o_orderdate, '%Y%m%d') AS date_published, concat(o_custkey, '.0') AS examiner_id,
+ strftime(coalesce(o_orderdate, TIMESTAMP '1900-01-01'), '%Y-%m-%d') AS filing_date, '' AS patent_issue_date,
+ strftime(coalesce(o_orderdate, TIMESTAMP '1900-01-01'), '%Y%m%d') AS date_published, concat(coalesce(o_custkey, 0), '.0') AS examiner_id,
  lang AS main_ipcr_label
- FROM documents d JOIN orders o ON d.doc_id = o.o_orderkey LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+ FROM documents d LEFT JOIN orders o ON d.doc_id = o.o_orderkey LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     ),
     "tokens": (
         ("texts",),
