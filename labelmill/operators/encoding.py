@@ -97,6 +97,16 @@ def pad_and_mask(df: DataFrame, length: Column | int) -> DataFrame:
     )
 
 
+def pad_batches(df: DataFrame, batches: DataFrame, key: str, batch: str = "batch_id") -> DataFrame:
+    """Rows of ``batches (key, batch)`` with their arrays, padded to the longest of the batch.
+
+    Lengths find the longest; the arrays move once, to meet the batch of their row. ``df`` is read twice.
+    """
+    sizes = df.select(key, F.size("input_ids").alias("_size")).join(batches.select(key, batch), key)
+    longest = sizes.withColumn("_longest", F.max("_size").over(Window.partitionBy(batch))).drop("_size")
+    return pad_and_mask(df.join(longest, key), F.col("_longest")).drop("_longest")
+
+
 def pad_longest_in_batch(df: DataFrame, batch: str = "batch_id") -> DataFrame:
     """Pad each row to the longest one of its batch; a batch has a fixed number of rows."""
     longest = F.max(F.size("input_ids")).over(Window.partitionBy(batch))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from labelmill.config import SPLIT_SEED, TRAIN_SHARE, CorpusConfig
 from labelmill.functions import hash_below, seeded_key, unit_interval
 from labelmill.operators.filters import date_literal, filed_between
-from labelmill.operators.selection import cut_keys, hex_bucket, positions, smallest
+from labelmill.operators.selection import cut_keys, hex_bucket, positions
+from labelmill.session import materialise
 
 ID = "application_number"
 
@@ -74,14 +75,15 @@ def balance_classes(
     identifier: str = ID,
     only: Column | None = None,
 ) -> DataFrame:
-    """Downsample every class at random to the smallest one; rows of no class are dropped.
+    """Downsample every class at random to the smallest one; rows of no class are dropped. ``df`` is read twice.
 
     With ``only``, rows for which it does not hold pass through as they are, in the same scan.
     """
     keyed = df.withColumn("_key", seeded_key(identifier, seed))
     member = F.col(label).isin(list(classes))
     chosen = member if only is None else only & member
-    part = keyed.where(chosen)
+    # class and key only, written once: the sizes, the buckets and the ranking read them, not the rows they come from
+    part = materialise(keyed.where(chosen).select(label, "_key"), "classes")
     take = part.agg(F.least(*(F.count_if(F.col(label) == F.lit(c)) for c in classes))).scalar()
     cuts = cut_keys(part, "_key", hex_bucket("_key"), take, F.col(label))
     kept = F.coalesce(chosen & (F.col("_key") <= cuts[F.col(label)]), F.lit(False))
@@ -129,14 +131,19 @@ def weighted_sample(
     class of their own.
     """
     name = F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("none"))
-    counts = df.groupBy(name.alias("_class")).agg(F.count("*").alias("n"))
-    frequency = counts.agg(F.map_from_entries(F.collect_list(F.struct("_class", "n")))).scalar()
-    rarest = counts.agg(F.min("n")).scalar()
-    scaled = -F.log(unit_interval(seeded_key(identifier, seed))) * frequency[name] / rarest
-    keyed = df.withColumn("sample_key", scaled)
+    drawn = unit_interval(seeded_key(identifier, seed))
+    # class and draw only, written once; the rows themselves are read for this and for the result
+    narrow = materialise(df.select(name.alias("_class"), drawn.alias("_drawn")), "draws")
+    counts = narrow.groupBy("_class").agg(F.count("*").alias("n"))
+    found = counts.agg(F.struct(F.map_from_entries(F.collect_list(F.struct("_class", "n"))).alias("n"), F.min("n").alias("rarest"))).scalar()
+
+    def key(draw: Column, class_: Column) -> Column:
+        return -F.log(draw) * found["n"][class_] / found["rarest"]
+
     # on a logarithmic scale a bucket near the k-th smallest key holds about k / steps rows, whatever the number of rows
-    bucket = F.floor(F.log(F.greatest(F.col("sample_key"), F.lit(1e-300))) * steps)
-    return smallest(keyed, "sample_key", bucket, F.lit(size))
+    bucket = F.floor(F.log(F.greatest(F.col("_sample_key"), F.lit(1e-300))) * steps)
+    cut = cut_keys(narrow.select(key(F.col("_drawn"), F.col("_class")).alias("_sample_key")), "_sample_key", bucket, F.lit(size))
+    return df.withColumn("sample_key", key(drawn, name)).where(F.col("sample_key") <= cut[F.lit("all")])
 
 
 def split_corpus(df: DataFrame, config: CorpusConfig, identifier: str = ID) -> DataFrame:

@@ -125,7 +125,7 @@ def pad_and_mask(spark, folder):
 def pad_longest_in_batch(spark, folder):
     # batches are dealt on the ids alone, so that encoding happens once
     batches = sinks.assign_batches(b.texts(spark, folder).select("application_number"), 16)
-    padded = encoding.pad_longest_in_batch(_encoded(spark, folder).join(batches, "application_number"))
+    padded = encoding.pad_batches(materialise(_encoded(spark, folder), "encoded"), batches, "application_number")
     return padded.select(
         "application_number", "batch_id", F.size("input_ids").alias("length"), _joined_ids("input_ids").alias("input_ids")
     )

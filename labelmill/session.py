@@ -34,7 +34,10 @@ def shared_root(spark: SparkSession) -> str:
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not context.master.startswith("local") and (warehouse.startswith("file:") or "://" not in warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse}/scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
