@@ -42,7 +42,12 @@ def text_key(column: str = "text") -> Column:
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors share: the session's ``spark.checkpoint.dir``, else one under the warehouse."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    return (root or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch").rstrip("/")
+    if root:
+        return root.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and (warehouse.startswith("file:") or "://" not in warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse}/scratch"
 
 
 def stored(df: DataFrame, name: str, *partitions: str) -> DataFrame:
