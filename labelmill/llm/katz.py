@@ -1,61 +1,101 @@
-"""Katz backoff language model with Good-Turing discounts.
+"""Katz backoff language model of any order with Good-Turing discounts, in stored tables.
 
-Order two: a word after a word it was seen after in training takes its discounted share; otherwise the history's backoff
-weight times the word's own discounted share; a word not seen at all takes the mass that the discounts of single words
-left. Backoff weights are exactly what makes each history's distribution sum to one.
+A word after a history it was seen after in training takes its discounted share; otherwise the history's backoff weight
+times the word's probability after the history without its first word, and so on down to the word alone. A word not seen
+at all takes the mass that the discounts of single words left. Backoff weights are exactly what makes each history's
+distribution sum to one.
 
 Texts are read once. A run of documents becomes word numbers, and only runs exchange with the count tables: distinct
-words with their counts, then distinct word pairs. The answers (totals, and sums per history) go back to the runs,
-which score their documents. The tables are stored by bucket. Histories so frequent that one bucket would hold much of all
-pairs are spread over all buckets, and only their sums are put together.
+words first, then level by level the distinct grams, whose histories are grams of the level before. A table holds
+histories, words and counts of the grams seen in training, and each history's mass below, by bucket. The answers go back
+to the runs, which evaluate their tokens level by level. Documents that come later ask the same tables. Histories so
+frequent that one bucket would hold much of all grams are spread over all buckets, and only their sums are put together.
 """
 
 from __future__ import annotations
 
-import zlib
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import WordHashes, chunked, parts, stored
-from labelmill.llm.suffix_runs import packed, unpacked
+from labelmill.llm.common import WordHashes, chunked, mix, parts, stored
 
+# Words of the longest grams.
+ORDER = 3
 # Counts up to this one are discounted.
 RELIABLE = 5
 # Bytes of text in a run.
 RUN_BYTES = 16 << 20
 
-END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds a line feed
-START = 0  # number of the history at the start of a text; words are numbered from 1
+START, UNKNOWN = 0, 1  # numbers of the history at the start of a text and of what training has not seen; others follow
+WORD_BITS = 36  # bits of a word's number beside that of its history
 
-_BLOBS = ("a", "b", "c", "d", "e")
-_KIND = {"kind": pa.int32(), "target": pa.int64(), "run": pa.int64()} | dict.fromkeys(_BLOBS, pa.binary())
-_SCHEMA = "kind int, target long, run long, " + ", ".join(f"{name} binary" for name in _BLOBS)
-_WIDE, _WIDE_SCHEMA = _KIND | {"stats": pa.list_(pa.float64())}, _SCHEMA + ", stats array<double>"
+_BLOBS = ("a", "b", "c", "d", "e", "f", "g")
+_KIND = {"level": pa.int32(), "kind": pa.int32(), "target": pa.int64(), "run": pa.int64()} | dict.fromkeys(_BLOBS, pa.binary()) | {"stats": pa.list_(pa.float64())}
+_SCHEMA = "level int, kind int, target long, run long, " + ", ".join(f"{name} binary" for name in _BLOBS) + ", stats array<double>"
+# Kinds of rows: what a run asks a table, a run's documents, a table, answers to a run, statistics, sums of hot histories.
+ASK, DOCUMENTS, TABLE, ANSWER, STATS, HOT = range(6)
+
+
+def _row(level: int, kind: int, target: int, run: int, *blobs: bytes, stats: list[float] | None = None) -> tuple:
+    return (level, kind, target, run, *blobs, *(None,) * (len(_BLOBS) - len(blobs)), stats)
 
 
 def _table(rows: list[tuple], kinds=_KIND) -> pa.Table:
-    padded = [row + (None,) * (len(kinds) - len(row)) for row in rows]
-    return pa.table([pa.array([row[i] for row in padded], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
+    return pa.table([pa.array([row[i] for row in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return zlib.compress(packed(values), 1)
+    """Whole numbers from a base, byte by byte of equal weight, compressed."""
+    if not len(values):
+        return b""
+    base = int(values.min())
+    rest = (values.astype(np.int64) - base).astype("<u8")
+    width = max(1, (int(rest.max()).bit_length() + 7) // 8)
+    planes = rest.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return base.to_bytes(8, "little", signed=True) + bytes([width]) + zstandard.compress(planes, 3)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return unpacked(zlib.decompress(data))
+    if not data:
+        return np.empty(0, np.int64)
+    base, width = int.from_bytes(data[:8], "little", signed=True), data[8]
+    planes = np.frombuffer(zstandard.decompress(data[9:]), np.uint8).reshape(width, -1)
+    rest = np.zeros((planes.shape[1], 8), np.uint8)
+    rest[:, :width] = planes.T
+    return rest.view("<u8").reshape(-1).astype(np.int64) + base
+
+
+def _pack_sorted(values: np.ndarray) -> bytes:
+    return _pack(np.diff(values, prepend=0))
+
+
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data))
+
+
+def _pack_floats(values: np.ndarray) -> bytes:
+    return zstandard.compress(values.astype("<f8").tobytes(), 3)
+
+
+def _unpack_floats(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), "<f8")
 
 
 def held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
 
 
+# -- the model -----------------------------------------------------------------------------------------------------
+
+
 def discounts(counts: list[float]) -> np.ndarray:
     """Good-Turing factors for counts 0 to ``RELIABLE`` from the number of things seen 1 to ``RELIABLE`` + 1 times.
 
@@ -71,66 +111,98 @@ def discounts(counts: list[float]) -> np.ndarray:
     return out
 
 
+def discounted(counts: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    return counts * np.where(counts <= RELIABLE, factors[np.minimum(counts, RELIABLE)], 1.0)
+
+
 @dataclass(frozen=True)
 class Model:
-    """What all histories share: totals, discounts, the mass of unknown words and the scale of known ones."""
+    """What all histories share, and the tables.
 
+    ``factors``: discounts by level, of the levels counted so far; ``hot``: by level, sorted numbers of the hot histories and
+    their sums, fewer than there are buckets. ``tables`` by level are in shared storage.
+    """
+
+    order: int
+    buckets: int
     tokens: int
     words: int
-    single: np.ndarray
-    pair: np.ndarray
+    texts: int
     unknown: float
     scale: float
+    factors: dict[int, np.ndarray]
+    hot: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    tables: dict[int, DataFrame] = field(default_factory=dict)
 
     def word(self, counts: np.ndarray) -> np.ndarray:
         """Probability of words by their training count; all unknown words are one."""
-        return np.where(counts > 0, discounted(counts, self.single) * self.scale, self.unknown)
-
+        return np.where(counts > 0, discounted(counts, self.factors[1]) * self.scale, self.unknown)
 
-def discounted(counts: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    return counts * np.where(counts <= RELIABLE, factors[np.minimum(counts, RELIABLE)], 1.0)
+    def shared(self) -> Model:
+        """Without tables: what tasks get."""
+        return replace(self, tables={})
 
 
-def make_model(tokens: int, words: int, seen: list[float], pairs: list[float] | None) -> Model:
+def make_model(order: int, buckets: int, texts: int, tokens: int, words: int, seen: list[float]) -> Model:
     """``seen[r - 1]``: words seen r times, the last entry: all occurrences of words seen more than ``RELIABLE`` times."""
     single = discounts(seen[: RELIABLE + 1])
     kept = sum(single[r] * r * seen[r - 1] for r in range(1, RELIABLE + 1)) + seen[-1]
     unknown = max(1 - kept / tokens, 1 / (tokens + 1)) if tokens else 1.0
-    return Model(tokens, words, single, discounts(pairs) if pairs else np.ones(RELIABLE + 1), unknown, (1 - unknown) / kept if kept else 0.0)
+    return Model(order, buckets, tokens, words, texts, float(unknown), float((1 - unknown) / kept) if kept else 0.0, {1: single})
 
 
-def history_weights(model: Model, total: np.ndarray, single_mass: np.ndarray, by_count: np.ndarray, large: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def history_weights(factors: np.ndarray, mass: np.ndarray, by_count: np.ndarray, large: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scale of the discounted counts and backoff weight of histories.
 
-    ``by_count[:, r - 1]``: followers seen r times; ``large``: occurrences of followers seen more often; ``single_mass``:
-    sum of the followers' own probabilities. A history without followers passes everything on.
+    ``by_count[:, r - 1]``: followers seen r times; ``large``: occurrences of followers seen more often; ``mass``: sum of the
+    followers' probabilities one level below. A history without followers passes everything on.
     """
-    kept = by_count @ (model.pair[1:] * np.arange(1, RELIABLE + 1)) + large
+    each = np.arange(1, RELIABLE + 1)
+    kept, total = by_count @ (factors[1:] * each) + large, by_count @ each + large
     safe = np.maximum(total, 1)
     left = np.maximum(1 - kept / safe, 0.5 / (safe + 1))
     scale = np.where(kept > 0, (1 - left) / np.maximum(kept, 1e-300), 0.0)
-    backoff = np.where(total > 0, left / np.maximum(1 - single_mass, 1e-300), 1.0)
+    backoff = np.where(total > 0, left / np.maximum(1 - mass, 1e-300), 1.0)
     return scale, backoff
 
 
+def _spread(numbers: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(numbers) % np.uint64(buckets)).astype(np.int64)
+
+
+def _small_counts(totals: np.ndarray) -> list[float]:
+    """How many things were seen 1 to ``RELIABLE`` + 1 times."""
+    return np.bincount(np.minimum(totals, RELIABLE + 2), minlength=RELIABLE + 3)[1 : RELIABLE + 2].astype(float).tolist()
+
+
+def _changes(sorted_values: np.ndarray) -> np.ndarray:
+    """Places where a new value begins."""
+    return np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1])))
+
+
 # -- runs ----------------------------------------------------------------------------------------------------------
 
 
 def _make_runs(buckets: int):
-    """Kind 0: a run's distinct words for a bucket, with their training counts; kind 1: its documents as word numbers."""
+    """Level 1 asks: a run's distinct words for a bucket, with their training counts; and its documents as word numbers."""
 
     def flush(run: int, ids: list, train: list, sizes: list, units: list) -> pa.RecordBatch:
         words, local = np.unique(np.concatenate(units), return_inverse=True)
+        # frequent words get small numbers, which pack well
+        order = np.argsort(-np.bincount(local), kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        words, local = words[order], rank[local]
         learned = np.repeat(np.array(train), np.array(sizes))
         counts = np.bincount(local[learned], minlength=len(words))
         bucket = (words % np.uint64(buckets)).astype(np.int64)
+        by_bucket = np.argsort(bucket, kind="stable")
         rows = []
-        for b in np.unique(bucket).tolist():
-            part = np.flatnonzero(bucket == b)
-            rows.append((0, b, run, zlib.compress(words[part].astype("<u8").tobytes(), 1), _pack(counts[part]), _pack(part)))
+        for part in np.split(by_bucket, _changes(bucket[by_bucket])[1:]):
+            rows.append(_row(1, ASK, int(bucket[part[0]]), run, words[part].astype("<u8").tobytes(), _pack(counts[part])))
         flags = np.array(train, np.int64) + 2 * np.array([key is None for key in ids], np.int64)
         documents = (_pack(np.array([key or 0 for key in ids], np.int64)), _pack(flags), _pack(np.array(sizes, np.int64)))
-        rows.append((1, run, run, *documents, _pack(local), len(words).to_bytes(8, "little")))
+        rows.append(_row(1, DOCUMENTS, run, run, *documents, _pack(local), _pack(bucket)))
         return _table(rows).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +218,7 @@ def _make_runs(buckets: int):
                 for text in texts:
                     some = text.lower().split()
                     words += some
-                    words.append(b"\n")
+                    words.append(b"\n")  # the end: no word holds a line feed
                     held[2].append(len(some) + 1)
                 held[0].extend(ids)
                 held[1].extend(next(flags) for _ in ids)
@@ -161,224 +233,365 @@ def _make_runs(buckets: int):
     return run
 
 
-def _count_words(buckets: int):
-    """Kind 0: numbers and totals of a run's words; kind 1: how many words were seen how often; kind 2: the table itself."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
-        asked = []
-        for r, a, b in zip(*(table.column(name).to_pylist() for name in ("run", "a", "b")), strict=True):
-            asked.append((r, np.frombuffer(zlib.decompress(a), "<u8"), _unpack(b)))
-        words, inverse = np.unique(np.concatenate([w for _, w, _ in asked]), return_inverse=True)
-        totals = np.bincount(inverse, weights=np.concatenate([c for _, _, c in asked]), minlength=len(words)).astype(np.int64)
-        rows, at = [], 0
-        for r, w, _ in asked:
-            mine = inverse[at : at + len(w)]
-            at += len(w)
-            rows.append((0, r, bucket, _pack(mine * buckets + bucket + 1), _pack(totals[mine])))
-        small = np.bincount(np.minimum(totals, RELIABLE + 2), minlength=RELIABLE + 3)[1 : RELIABLE + 2].astype(float)
-        stats = [*small, float(totals[totals > RELIABLE].sum()), float(totals.sum()), float((totals > 0).sum())]
-        rows.append((1, bucket, 0, None, None, None, None, None, stats))
-        rows.append((2, bucket, 0, zlib.compress(words.astype("<u8").tobytes(), 1), _pack(totals)))
-        return _table(rows, _WIDE)
-
-    return run
-
-
 class _Run:
-    """A run's documents with the answers about its words."""
-
-    def __init__(self, own: pa.Table, answers: list[dict]):
-        row = own.to_pylist()[0]
-        self.ids, flags, self.sizes, self.local = (_unpack(row[name]) for name in "abcd")
-        self.train, self.unnamed = flags & 1, flags > 1
-        self.numbers = np.zeros(int.from_bytes(row["e"], "little"), np.int64)
-        self.counts = np.zeros_like(self.numbers)
-        # the places of a bucket's words are found again by their remainder, in the order they were asked
-        self.places = {answer["run"]: answer for answer in answers}
-
-    def fill(self, asked: dict[int, np.ndarray]) -> None:
-        for bucket, places in asked.items():
-            answer = self.places[bucket]
-            self.numbers[places], self.counts[places] = _unpack(answer["a"]), _unpack(answer["b"])
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs as (history, word) places, the pair of each token, and training occurrences of each pair."""
-        starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
-        history = np.concatenate(([0], self.local[:-1] + 1))  # 0: start of a text
-        history[starts] = 0
-        keys, inverse = np.unique(history << 32 | self.local, return_inverse=True)
-        learned = np.repeat(self.train, self.sizes) > 0
-        return keys >> 32, keys & 0xFFFFFFFF, inverse, np.bincount(inverse[learned], minlength=len(keys))
+    """A run's documents, evaluated up to the last level that has been counted.
 
+    For the next level, ``history`` is each token's place among the grams that may be its history (-1: none), ``numbers`` and
+    ``counts`` are theirs; ``own`` and ``scale`` are count and scale of the token's gram of the last level.
+    """
 
-def _load(key: tuple, own: pa.Table, answers: pa.Table) -> tuple[_Run, list[dict]] | None:
-    if not own.num_rows:
-        return None
-    rows = answers.to_pylist()
-    run = _Run(own, [row for row in rows if row["kind"] == 0])
-    run.fill({row["run"]: _unpack(row["c"]) for row in rows if row["kind"] == 3})
-    return run, rows
+    def __init__(self, documents: pa.Table, answers: pa.Table, model: Model):
+        row = documents.to_pylist()[0]
+        self.model = model
+        self.ids, flags, self.sizes, self.local, bucket = (_unpack(row[name]) for name in "abcde")
+        self.train, self.unnamed = flags & 1, flags > 1
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
+        self.learned = np.repeat(self.train, self.sizes) > 0
+        by_level: dict[int, list[dict]] = {}
+        for answer in answers.to_pylist():
+            by_level.setdefault(answer["level"], []).append(answer)
+        self.word_numbers = np.full(len(bucket), UNKNOWN, np.int64)
+        self.word_counts = np.zeros(len(bucket), np.int64)
+        by_bucket = np.argsort(bucket, kind="stable")
+        in_order = bucket[by_bucket]
+        for answer in by_level.get(1, []):
+            b = answer["run"]
+            part = by_bucket[np.searchsorted(in_order, b) : np.searchsorted(in_order, b, "right")]
+            self.word_numbers[part], self.word_counts[part] = _numbers(_unpack(answer["a"]), b, model.buckets), _unpack(answer["b"])
+        self.own = self.word_counts[self.local]
+        self.probability = model.word(self.own)
+        self.scale = np.full(len(self.local), model.scale)
+        self._precede(self.local + 1, 0)
+        self.numbers = np.concatenate(([START], self.word_numbers))
+        self.counts = np.concatenate(([model.texts], self.word_counts))
+        for level in range(2, max(model.factors) + 1):
+            self._take(level, by_level.get(level, []))
+
+    def _precede(self, grams: np.ndarray, at_start: int) -> None:
+        self.history = np.concatenate(([at_start], grams[:-1]))
+        self.history[self.starts] = at_start
+
+    def grams(self) -> _Grams:
+        return _Grams(self)
+
+    def _take(self, level: int, answers: list[dict]) -> None:
+        grams, model = self.grams(), self.model
+        n = len(grams.h)
+        totals, numbers, scale, backoff = np.zeros(n, np.int64), np.full(n, UNKNOWN, np.int64), np.zeros(n), np.ones(n)
+        hot_numbers, hot_sums = model.hot[level]
+        for answer in answers:
+            b = answer["run"]
+            part = grams.part(b)
+            first = _changes(grams.h[part])
+            sums = np.column_stack((_unpack_floats(answer["c"]), _unpack(answer["d"]).reshape(-1, RELIABLE), _unpack(answer["e"])))
+            hot = np.flatnonzero(grams.hot[part][first])
+            if len(hot):
+                # a hot history without followers is in no table
+                wanted = grams.h[part][first][hot]
+                places = np.searchsorted(hot_numbers, wanted)
+                found = places < len(hot_numbers)
+                found[found] = hot_numbers[places[found]] == wanted[found]
+                sums[hot[found]] = hot_sums[places[found]]
+            own_scale, own_backoff = history_weights(model.factors[level], sums[:, 0], sums[:, 1:-1], sums[:, -1])
+            lengths = np.diff(first, append=len(part))
+            totals[part], scale[part], backoff[part] = _unpack(answer["a"]), np.repeat(own_scale, lengths), np.repeat(own_backoff, lengths)
+            numbers[part] = _numbers(_unpack(answer["b"]), b, model.buckets) if answer["b"] else UNKNOWN
+        seen = discounted(totals, model.factors[level]) * scale
+        self.probability[grams.at] = np.where(totals > 0, seen, backoff * self.probability[grams.some])[grams.inverse]
+        self.own, self.scale = np.zeros(len(self.local), np.int64), np.zeros(len(self.local))
+        self.own[grams.at], self.scale[grams.at] = totals[grams.inverse], scale[grams.inverse]
+        each = np.full(len(self.local), -1, np.int64)
+        each[grams.at] = grams.inverse
+        self._precede(each, -1)
+        self.numbers, self.counts = numbers, totals
+
+
+class _Grams:
+    """A run's distinct grams of the next level whose histories training has seen; others back off with weight one.
+
+    ``at``: tokens that end a gram, ``inverse`` which, ``some``: one token of each. Grams go to a bucket by their history, those
+    of a hot one, with more than a bucket's share of all tokens, by their word.
+    """
 
+    def __init__(self, run: _Run):
+        buckets = run.model.buckets
+        usable = run.history >= 0
+        usable[usable] = run.counts[run.history[usable]] > 0
+        self.at = np.flatnonzero(usable)
+        keys, self.inverse = np.unique(run.history[self.at] << 32 | run.local[self.at], return_inverse=True)
+        self.some = np.empty(len(keys), np.int64)
+        self.some[self.inverse] = self.at
+        self.h, self.w = run.numbers[keys >> 32], run.word_numbers[keys & 0xFFFFFFFF]
+        self.hot = run.counts[keys >> 32] * buckets > run.model.tokens
+        bucket = _spread(np.where(self.hot, self.w, self.h), buckets)
+        self.order = np.lexsort((self.w, self.h, bucket))
+        self.in_order = bucket[self.order]
+
+    def part(self, bucket: int) -> np.ndarray:
+        """Grams of a bucket by history and word."""
+        return self.order[np.searchsorted(self.in_order, bucket) : np.searchsorted(self.in_order, bucket, "right")]
+
+
+def _numbers(index: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    """Numbers of things by their index in a bucket's table."""
+    return np.where(index < 0, UNKNOWN, index * buckets + bucket + 2)
+
+
+def _find(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places in a sorted table, -1 where absent."""
+    if not len(table):
+        return np.full(len(wanted), -1, np.int64)
+    places = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+    return np.where(table[places] == wanted, places, -1)
+
+
+def _ask_grams(level: int, model: Model):
+    def run(key: tuple, documents: pa.Table, answers: pa.Table) -> pa.Table:
+        if not documents.num_rows:
+            return _table([])
+        mine = _Run(documents, answers, model)
+        grams = mine.grams()
+        seen = np.bincount(grams.inverse[mine.learned[grams.at]], minlength=len(grams.h))
+        rows = []
+        for b in np.unique(grams.in_order).tolist():
+            part = grams.part(b)
+            h, some = grams.h[part], grams.some[part]
+            first = _changes(h)
+            scales, scale = np.unique(mine.scale[some[first]], return_inverse=True)
+            rows.append(_row(
+                level, ASK, b, key[0].as_py(), _pack_sorted(h[first] * 2 + grams.hot[part][first]), _pack(np.diff(first, append=len(part))),
+                _pack(grams.w[part]), _pack(seen[part]), _pack(mine.own[some]), _pack_floats(scales), _pack(scale),
+            ))
+        return _table(rows)
 
-def _histories(run: _Run, history: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number and training count of histories given by place; the start counts once per training text."""
-    return np.concatenate(([START], run.numbers))[history], np.concatenate(([texts], run.counts))[history]
+    return run
 
 
-def _pair_buckets(history: np.ndarray, counts: np.ndarray, word: np.ndarray, buckets: int, tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which histories are hot, with more than a bucket's share of all tokens, and the buckets of the pairs.
+# -- tables --------------------------------------------------------------------------------------------------------
 
-    Pairs go by their history; those of a hot one go by their word.
-    """
-    hot = counts * buckets > tokens
-    return hot, np.where(hot, word % buckets, history % buckets)
 
+def _words(count: bool):
+    """Answers about words: index in the bucket's table and total, the table being counted from all that is asked or given."""
 
-def _ask_pairs(buckets: int, tokens: int, texts: int):
-    def run(key: tuple, own: pa.Table, answers: pa.Table) -> pa.Table:
-        loaded = _load(key, own, answers)
-        if loaded is None:
+    def run(key: tuple, asked: pa.Table, kept: pa.Table | None) -> pa.Table:
+        bucket = key[0].as_py()
+        asks = [(r, np.frombuffer(a, "<u8"), b) for r, a, b in zip(*(asked.column(name).to_pylist() for name in ("run", "a", "b")), strict=True)]
+        if not asks:
             return _table([])
-        mine, number = loaded[0], key[0].as_py()
-        history, word, _, seen = mine.pairs()
-        h, count = _histories(mine, history, texts)
-        w, own_count = mine.numbers[word], mine.counts[word]
-        hot, bucket = _pair_buckets(h, count, w, buckets, tokens)
-        order = np.lexsort((w, h, bucket))
-        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
         rows = []
-        for b in range(buckets):
-            part = order[ends[b] : ends[b + 1]]
-            if len(part):
-                first = np.flatnonzero(np.concatenate(([True], h[part][1:] != h[part][:-1])))
-                lengths = np.diff(np.concatenate((first, [len(part)])))
-                rows.append((0, b, number, _pack(h[part][first] * 2 + hot[part][first]), _pack(lengths), _pack(w[part]), _pack(seen[part]), _pack(own_count[part])))
+        if count:
+            words, inverse = np.unique(np.concatenate([w for _, w, _ in asks]), return_inverse=True)
+            totals = np.bincount(inverse, weights=np.concatenate([_unpack(c) for _, _, c in asks]), minlength=len(words)).astype(np.int64)
+            words, totals = words[totals > 0], totals[totals > 0]
+            order = np.argsort(-totals, kind="stable")  # frequent words get small numbers
+            words, totals = words[order], totals[order]
+            rows.append(_row(1, STATS, bucket, 0, stats=[*_small_counts(totals), float(totals[totals > RELIABLE].sum()), float(totals.sum()), float(len(totals))]))
+            rows.append(_row(1, TABLE, bucket, 0, words.astype("<u8").tobytes(), _pack(totals)))
+        else:
+            table = kept.to_pylist()
+            words = np.frombuffer(table[0]["a"], "<u8") if table else np.empty(0, "<u8")
+            totals = _unpack(table[0]["b"]) if table else np.empty(0, np.int64)
+        order = np.argsort(words)
+        in_order = words[order]
+        for r, mine, _ in asks:
+            places = _find(in_order, mine)
+            index = np.where(places < 0, -1, order[places]) if len(order) else places
+            rows.append(_row(1, ANSWER, r, bucket, _pack(index), _pack(np.where(index < 0, 0, totals[index]) if len(order) else index + 1)))
         return _table(rows)
 
     return run
 
 
-def _count_pairs(buckets: int, model: Model):
-    """Kind 4: totals of a run's pairs and sums of its histories; kind 1: pairs seen how often; kind 5: sums of hot histories."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
-        asked = []
-        for r, a, b, c, d, e in zip(*(table.column(name).to_pylist() for name in ("run", *_BLOBS)), strict=True):
-            heads, lengths = _unpack(a), _unpack(b)
-            asked.append((r, np.repeat(heads, lengths), _unpack(c), _unpack(d), _unpack(e), heads))
-        h, w, seen, own = (np.concatenate([row[k] for row in asked]) for k in (1, 2, 3, 4))
-        heads, head = np.unique(h, return_inverse=True)
-        keys, first, inverse = np.unique(head << 40 | w, return_index=True, return_inverse=True)
-        totals = np.bincount(inverse, weights=seen, minlength=len(keys)).astype(np.int64)
-        owner, used = head[first], totals > 0
-        mass = np.bincount(owner[used], weights=model.word(own[first])[used], minlength=len(heads))
-        by_count = np.stack([np.bincount(owner[totals == r], minlength=len(heads)) for r in range(1, RELIABLE + 1)], axis=1)
-        large = np.bincount(owner, weights=np.where(totals > RELIABLE, totals, 0), minlength=len(heads)).astype(np.int64)
-        all_ = np.bincount(owner, weights=totals, minlength=len(heads)).astype(np.int64)
-        rows, at = [], 0
-        for r, mine_h, _, _, _, mine_heads in asked:
-            mine = inverse[at : at + len(mine_h)]
-            at += len(mine_h)
-            places = np.searchsorted(heads, mine_heads)
-            sums = zlib.compress(mass[places].tobytes(), 1)
-            rows.append((4, r, bucket, _pack(totals[mine]), _pack(all_[places]), sums, _pack(by_count[places].reshape(-1)), _pack(large[places])))
-        small = np.bincount(np.minimum(totals, RELIABLE + 2), minlength=RELIABLE + 3)[1 : RELIABLE + 2].astype(float)
-        rows.append((1, bucket, 0, None, None, None, None, None, small.tolist()))
-        for i in np.flatnonzero(heads & 1).tolist():
-            rows.append((5, int(heads[i]) >> 1, 0, None, None, None, None, None, [float(all_[i]), float(mass[i]), *by_count[i].astype(float), float(large[i])]))
-        return _table(rows, _WIDE)
+class _Counts:
+    """A bucket's grams as sorted keys of a history's place and a word, with the histories' sums."""
+
+    def __init__(self, heads: np.ndarray, keys: np.ndarray, totals: np.ndarray, mass: np.ndarray):
+        self.heads, self.keys, self.totals, self.mass = heads, keys, totals, mass
+        owner, n = keys >> WORD_BITS, len(heads)
+        self.by_count = np.stack([np.bincount(owner[totals == r], minlength=n) for r in range(1, RELIABLE + 1)], axis=1)
+        self.large = np.bincount(owner, weights=np.where(totals > RELIABLE, totals, 0), minlength=n).astype(np.int64)
+
+    @classmethod
+    def counted(cls, asks: list[dict], factors: np.ndarray) -> _Counts:
+        """From what all runs saw in training; a follower's probability one level below is its discounted count there, scaled."""
+        h, w, seen, own, scale = [], [], [], [], []
+        for ask in asks:
+            lengths, some = _unpack(ask["b"]), _unpack(ask["d"])
+            use = some > 0
+            h.append(np.repeat(_unpack_sorted(ask["a"]), lengths)[use])
+            scale.append(np.repeat(_unpack_floats(ask["f"])[_unpack(ask["g"])], lengths)[use])
+            w.append(_unpack(ask["c"])[use])
+            seen.append(some[use])
+            own.append(_unpack(ask["e"])[use])
+        heads, head = np.unique(np.concatenate(h), return_inverse=True)
+        keys, inverse = np.unique(head << WORD_BITS | np.concatenate(w), return_inverse=True)
+        totals = np.bincount(inverse, weights=np.concatenate(seen), minlength=len(keys)).astype(np.int64)
+        below = np.empty(len(keys))
+        below[inverse] = discounted(np.concatenate(own), factors) * np.concatenate(scale)
+        return cls(heads, keys, totals, np.bincount(keys >> WORD_BITS, weights=below, minlength=len(heads)))
+
+    @classmethod
+    def kept(cls, table: dict | None) -> _Counts:
+        if table is None:
+            return cls(*(np.empty(0, np.int64) for _ in range(3)), np.empty(0))
+        heads, lengths = _unpack_sorted(table["a"]), _unpack(table["b"])
+        return cls(heads, np.repeat(np.arange(len(heads)), lengths) << WORD_BITS | _unpack(table["c"]), _unpack(table["d"]), _unpack_floats(table["e"]))
+
+    def row(self, level: int, bucket: int) -> tuple:
+        lengths = np.bincount(self.keys >> WORD_BITS, minlength=len(self.heads))
+        words = self.keys & ((1 << WORD_BITS) - 1)
+        return _row(level, TABLE, bucket, 0, _pack_sorted(self.heads), _pack(lengths), _pack(words), _pack(self.totals), _pack_floats(self.mass))
+
+    def answer(self, level: int, bucket: int, ask: dict, last: bool) -> tuple:
+        """Totals and, but for the last level, indices of a run's grams; sums of its histories."""
+        heads, lengths = _find(self.heads, _unpack_sorted(ask["a"])), _unpack(ask["b"])
+        absent = heads < 0
+        index = np.where(np.repeat(absent, lengths), -1, _find(self.keys, np.repeat(heads, lengths) << WORD_BITS | _unpack(ask["c"])))
+        if len(self.keys):
+            totals = np.where(index < 0, 0, self.totals[index])
+            mass, large = np.where(absent, 0.0, self.mass[heads]), np.where(absent, 0, self.large[heads])
+            by_count = np.where(absent[:, None], 0, self.by_count[heads])
+        else:
+            totals, mass, large, by_count = index + 1, np.zeros(len(heads)), heads + 1, np.zeros((len(heads), RELIABLE), np.int64)
+        return _row(level, ANSWER, ask["run"], bucket, _pack(totals), b"" if last else _pack(index), _pack_floats(mass), _pack(by_count.reshape(-1)), _pack(large))
+
+
+def _count_grams(level: int, model: Model, count: bool):
+    """Answers about grams, from a table that is counted or given; with a counted one its statistics and its hot histories."""
+
+    def run(key: tuple, asked: pa.Table, kept: pa.Table | None) -> pa.Table:
+        bucket, asks = key[0].as_py(), asked.to_pylist()
+        if not asks:
+            return _table([])
+        if count:
+            table = _Counts.counted(asks, model.factors[level - 1])
+            rows = [_row(level, STATS, bucket, 0, stats=_small_counts(table.totals))]
+            for i in np.flatnonzero(table.heads & 1).tolist():
+                sums = [float(table.mass[i]), *table.by_count[i].astype(float).tolist(), float(table.large[i])]
+                rows.append(_row(level, HOT, int(table.heads[i]) >> 1, 0, stats=sums))
+            rows.append(table.row(level, bucket))
+        else:
+            rows, table = [], _Counts.kept(next(iter(kept.to_pylist()), None))
+        rows += [table.answer(level, bucket, ask, level == model.order) for ask in asks]
+        return _table(rows)
 
     return run
 
 
-def _score(buckets: int, model: Model, texts: int, hot: dict[int, list[float]]):
-    schema = {"doc_id": pa.int64(), "train": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-
-    def run(key: tuple, own: pa.Table, answers: pa.Table) -> pa.Table:
-        loaded = _load(key, own, answers)
-        if loaded is None:
-            return _table([], schema)
-        mine, rows = loaded
-        history, word, inverse, _ = mine.pairs()
-        h, count = _histories(mine, history, texts)
-        w, single = mine.numbers[word], mine.counts[word]
-        _, bucket = _pair_buckets(h, count, w, buckets, model.tokens)
-        order = np.lexsort((w, h, bucket))
-        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        probability = np.empty(len(h))
-        own_word = model.word(single)
-        for row in rows:
-            if row["kind"] != 4:
-                continue
-            b = row["run"]
-            part = order[ends[b] : ends[b + 1]]
-            heads, at = np.unique(h[part], return_inverse=True)
-            total, large = _unpack(row["b"]), _unpack(row["e"])
-            mass = np.frombuffer(zlib.decompress(row["c"]))
-            by_count = _unpack(row["d"]).reshape(-1, RELIABLE)
-            sums = np.column_stack((total, mass, by_count, large)).astype(float)
-            for i, number in enumerate(heads.tolist()):
-                if number in hot:
-                    sums[i] = hot[number]
-            scale, backoff = history_weights(model, sums[:, 0], sums[:, 1], sums[:, 2:-1], sums[:, -1])
-            pairs = _unpack(row["a"])
-            probability[part] = np.where(pairs > 0, discounted(pairs, model.pair) * scale[at], backoff[at] * own_word[part])
-        doc = np.repeat(np.arange(len(mine.ids)), mine.sizes)
-        counts = mine.counts[mine.local]
-        base = np.log10((counts + 1) / (model.tokens + model.words + 1))
-        known = np.bincount(doc, weights=counts > 0).astype(np.int64)
-        scores = (np.bincount(doc, weights=some) for some in (base, np.log10(probability)[inverse]))
-        columns = [np.ma.array(mine.ids, mask=mine.unnamed), mine.train, mine.sizes, known, *scores]
-        return pa.table([pa.array(column, kind) for column, kind in zip(columns, schema.values(), strict=True)], names=list(schema))
+# -- whole tables --------------------------------------------------------------------------------------------------
 
-    return run
 
+def _sums(rows: DataFrame, count: int) -> list[float]:
+    """Sums over the buckets of their statistics."""
+    row = rows.where(F.col("kind") == STATS).agg(*(F.sum(F.col("stats")[i]) for i in range(count))).first()
+    return [float(x or 0) for x in row]
 
-def score(docs: DataFrame, train: Column | None = None) -> DataFrame:
-    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every document.
 
-    ``train`` says which documents are learned from; by default those whose crc32(doc_id as text) mod 7 is not 2. A null or
-    empty text is one token, the end. A null id is kept and dealt like an empty text of it. Rows that are repeated or share
-    an id count and are scored each by its own text, as often as they occur; an empty table
-    gives no rows; without training documents every word is unknown, with probability one. Words are told apart by
-    64-bit hashes.
-    """
+def _hot(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and sums of the hot histories, fewer than there are buckets."""
+    grouped = rows.where(F.col("kind") == HOT).groupBy("target").agg(*(F.sum(F.col("stats")[i]) for i in range(RELIABLE + 2)))
+    found = sorted(tuple(row) for row in grouped.collect())
+    return np.array([row[0] for row in found], np.int64), np.array([row[1:] for row in found], float).reshape(-1, RELIABLE + 2)
+
+
+def _evaluate(docs: DataFrame, train: Column, order: int, model: Model | None) -> tuple[Model, DataFrame]:
+    """Scores of the documents, and the model: the given one, or one that is learned from them on the way."""
     spark = docs.sparkSession
-    buckets = parts(spark)
-    train = ~held_out() if train is None else train
+    count, buckets = model is None, parts(spark) if model is None else model.buckets
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary")).alias("text"),
         F.coalesce(train, F.lit(False)).alias("train"),
     )
     runs = stored(rows.mapInArrow(_make_runs(buckets), _SCHEMA), "katz-runs", "kind")
-    own = runs.where("kind = 1")
-    asked = runs.where("kind = 0")
-    words = stored(asked.groupBy("target").applyInArrow(_count_words(buckets), _WIDE_SCHEMA), "katz-words", "kind")
-    totals = _sums(words, RELIABLE + 4)
-    texts = int(rows.where("train").count())
-    tokens, vocabulary = int(totals[-2]), int(totals[-1])
-    first = make_model(tokens, vocabulary, totals[:-2], None)
-    # a run's words come back in the order it asked in: kind 3 says which they were
-    answers = words.where("kind = 0").drop("stats").unionByName(
-        asked.select(F.lit(3).alias("kind"), F.col("run").alias("target"), F.col("target").alias("run"), *(F.col(x) if x == "c" else F.lit(None).cast("binary").alias(x) for x in _BLOBS))
-    )
-    pair_rows = own.groupBy("target").cogroup(answers.groupBy("target")).applyInArrow(_ask_pairs(buckets, tokens, texts), _SCHEMA)
-    pairs = stored(pair_rows.groupBy("target").applyInArrow(_count_pairs(buckets, first), _WIDE_SCHEMA), "katz-pairs", "kind")
-    seen = _sums(pairs, RELIABLE + 1)
-    model = make_model(tokens, vocabulary, totals[:-2], seen)
-    hot_rows = pairs.where("kind = 5").groupBy("target").agg(*(F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(RELIABLE + 3)))
-    hot = {row[0]: [float(x) for x in row[1:]] for row in hot_rows.collect()}
-    answers = answers.unionByName(pairs.where("kind = 4").drop("stats"))
-    scored = own.groupBy("target").cogroup(answers.groupBy("target")).applyInArrow(
-        _score(buckets, model, texts, hot), "doc_id long, train long, n_tokens long, n_known long, base_score double, score double"
+    documents, asked = runs.where(F.col("kind") == DOCUMENTS), runs.where(F.col("kind") == ASK)
+
+    def exchange(level: int, asked: DataFrame, work) -> DataFrame:
+        grouped = asked.groupBy("target")
+        if count:
+            rows = grouped.applyInArrow(lambda key, table: work(key, table, None), _SCHEMA)
+        else:
+            rows = grouped.cogroup(model.tables[level].groupBy("target")).applyInArrow(work, _SCHEMA)
+        return stored(rows, f"katz-{level}", "kind")
+
+    found = exchange(1, asked, _words(count))
+    if count:
+        totals = _sums(found, RELIABLE + 4)
+        texts = int(rows.where("train").count())
+        model = make_model(order, buckets, texts, int(totals[-2]), int(totals[-1]), totals[:-2])
+        model.tables[1] = found.where(F.col("kind") == TABLE)
+    answers = found.where(F.col("kind") == ANSWER)
+    known = model if count else replace(model, factors={1: model.factors[1]})
+    for level in range(2, model.order + 1):
+        shared = known.shared()
+        asked = documents.groupBy("target").cogroup(answers.groupBy("target")).applyInArrow(_ask_grams(level, shared), _SCHEMA)
+        found = exchange(level, asked, _count_grams(level, shared, count))
+        factors = discounts(_sums(found, RELIABLE + 1)) if count else model.factors[level]
+        hot = _hot(found) if count else model.hot[level]
+        known = replace(known, factors=known.factors | {level: factors}, hot=known.hot | {level: hot})
+        if count:
+            known = replace(known, tables=known.tables | {level: found.where(F.col("kind") == TABLE)})
+        answers = answers.unionByName(found.where(F.col("kind") == ANSWER))
+    shared = known.shared()
+    kinds = {"doc_id": pa.int64(), "train": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+
+    def finish(key: tuple, documents: pa.Table, answers: pa.Table) -> pa.Table:
+        if not documents.num_rows:
+            return _table([], kinds)
+        mine = _Run(documents, answers, shared)
+        doc = np.repeat(np.arange(len(mine.ids)), mine.sizes)
+        counts = mine.word_counts[mine.local]
+        base = np.log10((counts + 1) / (shared.tokens + shared.words + 1))
+        sums = [np.bincount(doc, weights=some) for some in (base, np.log10(mine.probability))]
+        columns = [np.ma.array(mine.ids, mask=mine.unnamed), mine.train, mine.sizes, np.bincount(doc, weights=counts > 0).astype(np.int64), *sums]
+        return pa.table([pa.array(column, kind) for column, kind in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+    scored = documents.groupBy("target").cogroup(answers.groupBy("target")).applyInArrow(
+        finish, "doc_id long, train long, n_tokens long, n_known long, base_score double, score double"
     )
-    return scored.select("doc_id", (F.col("train") == 0).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    tokens = F.lit(shared.tokens).cast("long").alias("train_tokens")
+    return known, scored.select("doc_id", (F.col("train") == 0).alias("held_out"), "n_tokens", "n_known", tokens, "base_score", "score")
 
 
-def _sums(rows: DataFrame, count: int) -> list[float]:
-    """Sums over the buckets of their statistics."""
-    row = rows.where("kind = 1").agg(*(F.sum(F.col("stats")[i]) for i in range(count))).first()
-    return [float(x or 0) for x in row]
+def score(docs: DataFrame, train: Column | None = None, order: int = ORDER) -> DataFrame:
+    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every document.
+
+    ``train`` says which documents are learned from; by default those whose crc32(doc_id as text) mod 7 is not 2. A null or
+    empty text is one token, the end. A null id is kept and dealt like an empty text of it. Rows that are repeated or share
+    an id count and are scored each by its own text, as often as they occur; columns of other names are not read; an empty
+    table gives no rows; without training documents every word is unknown, with probability one. Words are told apart by
+    64-bit hashes.
+    """
+    return _evaluate(docs, ~held_out() if train is None else train, order, None)[1]
+
+
+def fit(docs: DataFrame, train: Column | None = None, order: int = ORDER) -> Model:
+    """The model of the training documents; its tables are in shared storage."""
+    return _evaluate(docs, ~held_out() if train is None else train, order, None)[0]
+
+
+def score_with(model: Model, docs: DataFrame) -> DataFrame:
+    """Rows as ``score`` gives them, for documents that the model's tables were not counted with; nothing is learned, so all
+    are ``held_out``. Only the buckets' grams that the documents ask for come back."""
+    return _evaluate(docs, F.lit(False), model.order, model)[1]
+
+
+def save(model: Model, path: str) -> None:
+    """Tables as Parquet by level, one row per bucket; what all histories share as one row of JSON, written last."""
+    tables = list(model.tables.values())
+    merged = tables[0]
+    for table in tables[1:]:
+        merged = merged.unionByName(table)
+    merged.write.partitionBy("level").parquet(f"{path}/tables")
+    plain = {name: getattr(model, name) for name in ("order", "buckets", "tokens", "words", "texts", "unknown", "scale")}
+    plain["factors"] = {level: values.tolist() for level, values in model.factors.items()}
+    plain["hot"] = {level: [numbers.tolist(), sums.tolist()] for level, (numbers, sums) in model.hot.items()}
+    merged.sparkSession.createDataFrame([(json.dumps(plain),)], "model string").coalesce(1).write.parquet(f"{path}/model")
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    plain = json.loads(spark.read.parquet(f"{path}/model").first()[0])
+    plain["factors"] = {int(level): np.array(values) for level, values in plain["factors"].items()}
+    plain["hot"] = {int(level): (np.array(n, np.int64), np.array(sums, float).reshape(-1, RELIABLE + 2)) for level, (n, sums) in plain["hot"].items()}
+    tables = spark.read.schema(_SCHEMA).parquet(f"{path}/tables")
+    return Model(**plain, tables={level: tables.where(F.col("level") == level) for level in plain["factors"]})

@@ -12,54 +12,52 @@ from labelmill.llm import katz
 from labelmill.llm.katz import RELIABLE
 
 
-def brute(docs):
-    """Scores from the definition, one token at a time."""
+def brute(docs, order=2):
+    """Scores from the definition, one token at a time; a gram is a tuple, "<s>" the start of a text, None its end."""
     texts = {i: [*(t or "").encode().lower().split(), None] for i, t in docs}
     train = {i: zlib.crc32(str(i).encode()) % 7 != 2 for i in texts}
-    one, two, contexts = Counter(), Counter(), Counter()
-    for i, words in texts.items():
-        if train[i]:
-            one.update(words)
-            pairs = list(zip(["<s>", *words], words))
-            two.update(pairs)
-            contexts.update(h for h, _ in pairs)
-    n = sum(one.values())
-
-    def factors(table):
-        seen = Counter(table.values())
-        return katz.discounts([float(seen[r]) for r in range(1, RELIABLE + 2)])
 
-    single, pair = factors(one), factors(two)
+    def grams(words, n):
+        padded = words if n == 1 else ["<s>", *words]
+        return [tuple(padded[k : k + n]) for k in range(len(padded) - n + 1)]
 
-    def cut(c, d):
-        return c * (d[c] if c <= RELIABLE else 1.0)
-
-    kept = sum(cut(c, single) for c in one.values())
-    unknown = max(1 - kept / n, 1 / (n + 1)) if n else 1.0
+    tables = {n: Counter(g for i, words in texts.items() if train[i] for g in grams(words, n)) for n in range(1, order + 1)}
+    total = sum(tables[1].values())
+    factors = {}
+    for n, table in tables.items():
+        seen = Counter(table.values())
+        factors[n] = katz.discounts([float(seen[r]) for r in range(1, RELIABLE + 2)])
 
-    def word(w):
-        return cut(one[w], single) * (1 - unknown) / kept if one[w] else unknown
+    def cut(gram):
+        c, d = tables[len(gram)][gram], factors[len(gram)]
+        return c * (d[c] if c <= RELIABLE else 1.0)
 
-    followers = {}
-    for (h, w), c in two.items():
-        followers.setdefault(h, []).append((w, c))
-    weights = {}
-    for h, seen in followers.items():
-        own = sum(cut(c, pair) for _, c in seen)
-        left = max(1 - own / contexts[h], 0.5 / (contexts[h] + 1))
-        weights[h] = ((1 - left) / own, left / (1 - sum(word(w) for w, _ in seen)))
+    kept = sum(map(cut, tables[1]))
+    unknown = max(1 - kept / total, 1 / (total + 1)) if total else 1.0
+    followers, weights = {}, {}
+    for n in range(2, order + 1):
+        for gram in tables[n]:
+            followers.setdefault(gram[:-1], []).append(gram[-1])
 
     def conditional(h, w):
+        if not h:
+            return cut((w,)) * (1 - unknown) / kept if tables[1][w,] else unknown
         if h not in weights:
-            return word(w)
-        return cut(two[h, w], pair) * weights[h][0] if two[h, w] else weights[h][1] * word(w)
+            return conditional(h[1:], w)
+        return cut((*h, w)) * weights[h][0] if tables[len(h) + 1][(*h, w)] else weights[h][1] * conditional(h[1:], w)
+
+    for h in sorted(followers, key=len):
+        count, own = (sum(f((*h, w)) for w in followers[h]) for f in (tables[len(h) + 1].get, cut))
+        left = max(1 - own / count, 0.5 / (count + 1))
+        weights[h] = ((1 - left) / own, left / (1 - sum(conditional(h[1:], w) for w in followers[h])))
 
     out = {}
     for i, words in texts.items():
-        base = sum(math.log10((one[w] + 1) / (n + 1 * (len(one) + 1))) for w in words)
-        score = sum(math.log10(conditional(h, w)) for h, w in zip(["<s>", *words], words))
-        out[i] = (not train[i], len(words), sum(one[w] > 0 for w in words), n, base, score)
-    return out, weights, conditional, one
+        base = sum(math.log10((tables[1][w,] + 1) / (total + 1 * (len(tables[1]) + 1))) for w in words)
+        padded = ["<s>", *words]
+        score = sum(math.log10(conditional(tuple(padded[max(0, k - order + 2) : k + 1]), w)) for k, w in enumerate(words))
+        out[i] = (not train[i], len(words), sum(tables[1][w,] > 0 for w in words), total, base, score)
+    return out, weights, conditional, [w for (w,) in tables[1]]
 
 
 def random_docs(seed, n=60, vocabulary=40):
@@ -69,16 +67,16 @@ def random_docs(seed, n=60, vocabulary=40):
     return [(i, " ".join(rng.choice(words, int(rng.integers(0, 40)), p=shares / shares.sum()))) for i in range(n)]
 
 
-@pytest.mark.parametrize("partitions", [1, 3, 16])
-def test_like_brute_force(spark, partitions):
+@pytest.mark.parametrize(("partitions", "order"), [(1, 2), (3, 2), (16, 2), (1, 3), (16, 3), (5, 1), (4, 4)])
+def test_like_brute_force(spark, partitions, order):
     docs = [*random_docs(7), (60, None), (61, ""), (62, "Only Once é"), (63, "a " * 500)]
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
-        rows = katz.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+        rows = katz.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), order=order).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    expected = brute(docs)[0]
+    expected = brute(docs, order)[0]
     assert len(rows) == len(docs)
     for row in rows:
         assert tuple(row)[1:5] == expected[row.doc_id][:4]
@@ -92,13 +90,14 @@ def test_null_and_shared_ids(spark):
     texts = [text for _, text in random_docs(5, 24)]
     ids = [None, 0, 7, 7, None, None, *range(10, 28)]
     rows = katz.score(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3), F.lit(True)).collect()
-    scores = brute(list(zip(own, texts)))[0]
+    scores = brute(list(zip(own, texts)), katz.ORDER)[0]
     expected = [(i, *scores[k][:4], round(scores[k][5], 6)) for i, k in zip(ids, own)]
     assert sorted(map(repr, ((*tuple(r)[:5], round(r.score, 6)) for r in rows))) == sorted(map(repr, expected))
 
 
-def test_distributions_sum_to_one():
-    _, weights, conditional, one = brute(random_docs(3))
+@pytest.mark.parametrize("order", [2, 3])
+def test_distributions_sum_to_one(order):
+    _, weights, conditional, one = brute(random_docs(3), order)
     for history in weights:
         assert sum(conditional(history, w) for w in one) + conditional(history, "never seen") == pytest.approx(1)
 
@@ -108,3 +107,46 @@ def test_empty_and_untrained(spark):
     held = [(i, "a b c") for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
     rows = katz.score(spark.createDataFrame(held, "doc_id long, text string")).collect()
     assert len(rows) == len(held) and all(r.held_out and r.n_known == 0 and r.score == 0 for r in rows)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_stored_tables_score_other_documents(spark, tmp_path, order):
+    """A model that was saved and loaded scores documents it was not counted with, as if they had been held out."""
+    everything = [*random_docs(11, 90), (90, None), (91, "never seen words"), (92, "w0 w1 never w0 w1 w2")]
+    held = {i for i, _ in everything if zlib.crc32(str(i).encode()) % 7 == 2}
+    learned = [(i, t) for i, t in everything if i not in held]
+    others = [(i, t) for i, t in everything if i in held]
+    schema = "doc_id long, text string"
+    katz.save(katz.fit(spark.createDataFrame(learned, schema).repartition(3), order=order), str(tmp_path / "model"))
+    model = katz.load(spark, str(tmp_path / "model"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 3)  # a model keeps its own buckets
+    try:
+        rows = katz.score_with(model, spark.createDataFrame(others, schema)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    expected = brute(everything, order)[0]
+    assert sorted(r.doc_id for r in rows) == sorted(held)
+    for row in rows:
+        assert tuple(row)[1:4] == expected[row.doc_id][:3] and row.train_tokens == expected[row.doc_id][3]
+        assert row.score == pytest.approx(expected[row.doc_id][5], rel=1e-9)
+
+
+def test_tables_hold_training_grams_once(spark):
+    """Histories, words and counts in the stored tables are those of a plain count."""
+    docs = random_docs(13)
+    model = katz.fit(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), F.lit(True), order=3)
+    for level in (2, 3):
+        kept = [katz._Counts.kept(row.asDict()) for row in model.tables[level].collect()]
+        words = [["<s>", *(t or "").split(), None] for _, t in docs]
+        plain = Counter(tuple(some[k : k + level]) for some in words for k in range(len(some) - level + 1))
+        assert sorted(int(c) for table in kept for c in table.totals) == sorted(plain.values())
+    assert {row["kind"] for row in model.tables[3].collect()} == {katz.TABLE}
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    text = "one two three one two"
+    docs = spark.createDataFrame([(0, text, 1, b"x"), (0, text, 2, b"y"), (8, None, None, None)], "doc_id long, text string, run int, train binary")
+    rows = katz.score(docs, F.lit(True)).collect()
+    assert len(rows) == 3 and rows[0].train_tokens == 13
+    assert len({round(r.score, 9) for r in rows if r.doc_id == 0}) == 1
