@@ -55,7 +55,15 @@ def stored(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+    # nothing reads the shuffle files of a finished write again; without this they fill the executors' disks until the
+    # driver happens to collect its garbage
+    release = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(release, "false")
+    spark.conf.set(release, "true")
+    try:
+        (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+    finally:
+        spark.conf.set(release, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
