@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import WordHashes, chunked, mix, parts, stored
+from labelmill.llm.common import WordHashes, chunked, parts, stored
 
 # Words of the longest grams.
 ORDER = 3
@@ -36,6 +36,7 @@ RUN_BYTES = 16 << 20
 
 START, UNKNOWN = 0, 1  # numbers of the history at the start of a text and of what training has not seen; others follow
 WORD_BITS = 36  # bits of a word's number beside that of its history
+HOT_BIT = 1 << 62  # marks a hot history, of which a bucket has a part
 
 _BLOBS = ("a", "b", "c", "d", "e", "f", "g")
 _KIND = {"level": pa.int32(), "kind": pa.int32(), "target": pa.int64(), "run": pa.int64()} | dict.fromkeys(_BLOBS, pa.binary()) | {"stats": pa.list_(pa.float64())}
@@ -82,11 +83,24 @@ def _unpack_sorted(data: bytes) -> np.ndarray:
 
 
 def _pack_floats(values: np.ndarray) -> bytes:
-    return zstandard.compress(values.astype("<f8").tobytes(), 3)
+    """Distinct values and which of them each one is."""
+    distinct, which = np.unique(values, return_inverse=True)
+    return len(distinct).to_bytes(8, "little") + distinct.astype("<f8").tobytes() + _pack(which)
 
 
 def _unpack_floats(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), "<f8")
+    end = 8 + 8 * int.from_bytes(data[:8], "little")
+    return np.frombuffer(data[8:end], "<f8")[_unpack(data[end:])]
+
+
+def _pack_heads(heads: np.ndarray, bucket: int, buckets: int) -> tuple[bytes, bytes]:
+    """A bucket's sorted histories: the others, which have its remainder in common, and the hot ones."""
+    hot = heads >= HOT_BIT
+    return _pack_sorted((heads[~hot] - bucket) // buckets), _pack_sorted(heads[hot] - HOT_BIT)
+
+
+def _unpack_heads(cold: bytes, hot: bytes, bucket: int, buckets: int) -> np.ndarray:
+    return np.concatenate((_unpack_sorted(cold) * buckets + bucket, _unpack_sorted(hot) + HOT_BIT))
 
 
 def held_out() -> Column:
@@ -166,10 +180,6 @@ def history_weights(factors: np.ndarray, mass: np.ndarray, by_count: np.ndarray,
     return scale, backoff
 
 
-def _spread(numbers: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(numbers) % np.uint64(buckets)).astype(np.int64)
-
-
 def _small_counts(totals: np.ndarray) -> list[float]:
     """How many things were seen 1 to ``RELIABLE`` + 1 times."""
     return np.bincount(np.minimum(totals, RELIABLE + 2), minlength=RELIABLE + 3)[1 : RELIABLE + 2].astype(float).tolist()
@@ -284,18 +294,21 @@ class _Run:
             part = grams.part(b)
             first = _changes(grams.h[part])
             sums = np.column_stack((_unpack_floats(answer["c"]), _unpack(answer["d"]).reshape(-1, RELIABLE), _unpack(answer["e"])))
-            hot = np.flatnonzero(grams.hot[part][first])
+            hot = np.flatnonzero(grams.h[part][first] >= HOT_BIT)
             if len(hot):
                 # a hot history without followers is in no table
-                wanted = grams.h[part][first][hot]
+                wanted = grams.h[part][first][hot] - HOT_BIT
                 places = np.searchsorted(hot_numbers, wanted)
                 found = places < len(hot_numbers)
                 found[found] = hot_numbers[places[found]] == wanted[found]
                 sums[hot[found]] = hot_sums[places[found]]
+            # all followers of a history have one scale a level below
+            sums[:, 0] *= self.scale[grams.some[part][first]]
             own_scale, own_backoff = history_weights(model.factors[level], sums[:, 0], sums[:, 1:-1], sums[:, -1])
             lengths = np.diff(first, append=len(part))
             totals[part], scale[part], backoff[part] = _unpack(answer["a"]), np.repeat(own_scale, lengths), np.repeat(own_backoff, lengths)
-            numbers[part] = _numbers(_unpack(answer["b"]), b, model.buckets) if answer["b"] else UNKNOWN
+            if answer["b"]:
+                numbers[part] = _numbers(np.where(totals[part] > 0, _unpack_sorted(answer["b"]), -1), b, model.buckets)
         seen = discounted(totals, model.factors[level]) * scale
         self.probability[grams.at] = np.where(totals > 0, seen, backoff * self.probability[grams.some])[grams.inverse]
         self.own, self.scale = np.zeros(len(self.local), np.int64), np.zeros(len(self.local))
@@ -309,8 +322,8 @@ class _Run:
 class _Grams:
     """A run's distinct grams of the next level whose histories training has seen; others back off with weight one.
 
-    ``at``: tokens that end a gram, ``inverse`` which, ``some``: one token of each. Grams go to a bucket by their history, those
-    of a hot one, with more than a bucket's share of all tokens, by their word.
+    ``at``: tokens that end a gram, ``inverse`` which, ``some``: one token of each. Grams go to a bucket by their history ``h``,
+    those of a hot one, with more than a bucket's share of all tokens, by their word.
     """
 
     def __init__(self, run: _Run):
@@ -322,8 +335,9 @@ class _Grams:
         self.some = np.empty(len(keys), np.int64)
         self.some[self.inverse] = self.at
         self.h, self.w = run.numbers[keys >> 32], run.word_numbers[keys & 0xFFFFFFFF]
-        self.hot = run.counts[keys >> 32] * buckets > run.model.tokens
-        bucket = _spread(np.where(self.hot, self.w, self.h), buckets)
+        hot = run.counts[keys >> 32] * buckets > run.model.tokens
+        bucket = np.where(hot, self.w, self.h) % buckets
+        self.h = np.where(hot, self.h + HOT_BIT, self.h)
         self.order = np.lexsort((self.w, self.h, bucket))
         self.in_order = bucket[self.order]
 
@@ -355,13 +369,13 @@ def _ask_grams(level: int, model: Model):
         rows = []
         for b in np.unique(grams.in_order).tolist():
             part = grams.part(b)
-            h, some = grams.h[part], grams.some[part]
+            h = grams.h[part]
             first = _changes(h)
-            scales, scale = np.unique(mine.scale[some[first]], return_inverse=True)
-            rows.append(_row(
-                level, ASK, b, key[0].as_py(), _pack_sorted(h[first] * 2 + grams.hot[part][first]), _pack(np.diff(first, append=len(part))),
-                _pack(grams.w[part]), _pack(seen[part]), _pack(mine.own[some]), _pack_floats(scales), _pack(scale),
-            ))
+            cold, hot = _pack_heads(h[first], b, model.buckets)
+            lengths = np.diff(first, append=len(part))
+            # only grams of training are counted, so only their counts a level below are needed
+            own = np.where(seen[part] > 0, mine.own[grams.some[part]], 0)
+            rows.append(_row(level, ASK, b, key[0].as_py(), cold, hot, _pack(lengths), _pack(grams.w[part]), _pack(seen[part]), _pack(own)))
         return _table(rows)
 
     return run
@@ -412,48 +426,55 @@ class _Counts:
         self.large = np.bincount(owner, weights=np.where(totals > RELIABLE, totals, 0), minlength=n).astype(np.int64)
 
     @classmethod
-    def counted(cls, asks: list[dict], factors: np.ndarray) -> _Counts:
-        """From what all runs saw in training; a follower's probability one level below is its discounted count there, scaled."""
-        h, w, seen, own, scale = [], [], [], [], []
+    def counted(cls, asks: list[dict], model: Model, factors: np.ndarray) -> _Counts:
+        """From what all runs saw in training. A history's mass is the sum of its followers' discounted counts one level below,
+        which runs scale."""
+        h, w, seen, own = [], [], [], []
         for ask in asks:
-            lengths, some = _unpack(ask["b"]), _unpack(ask["d"])
+            some = _unpack(ask["e"])
             use = some > 0
-            h.append(np.repeat(_unpack_sorted(ask["a"]), lengths)[use])
-            scale.append(np.repeat(_unpack_floats(ask["f"])[_unpack(ask["g"])], lengths)[use])
-            w.append(_unpack(ask["c"])[use])
+            h.append(np.repeat(_heads(ask, model), _unpack(ask["c"]))[use])
+            w.append(_unpack(ask["d"])[use])
             seen.append(some[use])
-            own.append(_unpack(ask["e"])[use])
+            own.append(_unpack(ask["f"])[use])
         heads, head = np.unique(np.concatenate(h), return_inverse=True)
         keys, inverse = np.unique(head << WORD_BITS | np.concatenate(w), return_inverse=True)
         totals = np.bincount(inverse, weights=np.concatenate(seen), minlength=len(keys)).astype(np.int64)
         below = np.empty(len(keys))
-        below[inverse] = discounted(np.concatenate(own), factors) * np.concatenate(scale)
+        below[inverse] = discounted(np.concatenate(own), factors)
         return cls(heads, keys, totals, np.bincount(keys >> WORD_BITS, weights=below, minlength=len(heads)))
 
     @classmethod
-    def kept(cls, table: dict | None) -> _Counts:
+    def kept(cls, table: dict | None, model: Model) -> _Counts:
         if table is None:
             return cls(*(np.empty(0, np.int64) for _ in range(3)), np.empty(0))
-        heads, lengths = _unpack_sorted(table["a"]), _unpack(table["b"])
-        return cls(heads, np.repeat(np.arange(len(heads)), lengths) << WORD_BITS | _unpack(table["c"]), _unpack(table["d"]), _unpack_floats(table["e"]))
+        heads, lengths = _heads(table, model), _unpack(table["c"])
+        return cls(heads, np.repeat(np.arange(len(heads)), lengths) << WORD_BITS | _unpack(table["d"]), _unpack(table["e"]), _unpack_floats(table["f"]))
 
-    def row(self, level: int, bucket: int) -> tuple:
+    def row(self, level: int, bucket: int, model: Model) -> tuple:
         lengths = np.bincount(self.keys >> WORD_BITS, minlength=len(self.heads))
         words = self.keys & ((1 << WORD_BITS) - 1)
-        return _row(level, TABLE, bucket, 0, _pack_sorted(self.heads), _pack(lengths), _pack(words), _pack(self.totals), _pack_floats(self.mass))
+        heads = _pack_heads(self.heads, bucket, model.buckets)
+        return _row(level, TABLE, bucket, 0, *heads, _pack(lengths), _pack(words), _pack(self.totals), _pack_floats(self.mass))
 
-    def answer(self, level: int, bucket: int, ask: dict, last: bool) -> tuple:
-        """Totals and, but for the last level, indices of a run's grams; sums of its histories."""
-        heads, lengths = _find(self.heads, _unpack_sorted(ask["a"])), _unpack(ask["b"])
+    def answer(self, level: int, bucket: int, ask: dict, model: Model) -> tuple:
+        """Totals of a run's grams, the indices of those that have one, but for the last level, and sums of its histories."""
+        heads, lengths = _find(self.heads, _heads(ask, model)), _unpack(ask["c"])
         absent = heads < 0
-        index = np.where(np.repeat(absent, lengths), -1, _find(self.keys, np.repeat(heads, lengths) << WORD_BITS | _unpack(ask["c"])))
+        index = np.where(np.repeat(absent, lengths), -1, _find(self.keys, np.repeat(heads, lengths) << WORD_BITS | _unpack(ask["d"])))
         if len(self.keys):
             totals = np.where(index < 0, 0, self.totals[index])
             mass, large = np.where(absent, 0.0, self.mass[heads]), np.where(absent, 0, self.large[heads])
             by_count = np.where(absent[:, None], 0, self.by_count[heads])
         else:
             totals, mass, large, by_count = index + 1, np.zeros(len(heads)), heads + 1, np.zeros((len(heads), RELIABLE), np.int64)
-        return _row(level, ANSWER, ask["run"], bucket, _pack(totals), b"" if last else _pack(index), _pack_floats(mass), _pack(by_count.reshape(-1)), _pack(large))
+        # asks are in the order of the table, so indices ascend
+        indices = b"" if level == model.order else _pack_sorted(np.maximum.accumulate(index))
+        return _row(level, ANSWER, ask["run"], bucket, _pack(totals), indices, _pack_floats(mass), _pack(by_count.reshape(-1)), _pack(large))
+
+
+def _heads(row: dict, model: Model) -> np.ndarray:
+    return _unpack_heads(row["a"], row["b"], row["target"], model.buckets)
 
 
 def _count_grams(level: int, model: Model, count: bool):
@@ -464,15 +485,15 @@ def _count_grams(level: int, model: Model, count: bool):
         if not asks:
             return _table([])
         if count:
-            table = _Counts.counted(asks, model.factors[level - 1])
+            table = _Counts.counted(asks, model, model.factors[level - 1])
             rows = [_row(level, STATS, bucket, 0, stats=_small_counts(table.totals))]
-            for i in np.flatnonzero(table.heads & 1).tolist():
+            for i in np.flatnonzero(table.heads >= HOT_BIT).tolist():
                 sums = [float(table.mass[i]), *table.by_count[i].astype(float).tolist(), float(table.large[i])]
-                rows.append(_row(level, HOT, int(table.heads[i]) >> 1, 0, stats=sums))
-            rows.append(table.row(level, bucket))
+                rows.append(_row(level, HOT, int(table.heads[i]) - HOT_BIT, 0, stats=sums))
+            rows.append(table.row(level, bucket, model))
         else:
-            rows, table = [], _Counts.kept(next(iter(kept.to_pylist()), None))
-        rows += [table.answer(level, bucket, ask, level == model.order) for ask in asks]
+            rows, table = [], _Counts.kept(next(iter(kept.to_pylist()), None), model)
+        rows += [table.answer(level, bucket, ask, model) for ask in asks]
         return _table(rows)
 
     return run

@@ -137,7 +137,7 @@ def test_tables_hold_training_grams_once(spark):
     docs = random_docs(13)
     model = katz.fit(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), F.lit(True), order=3)
     for level in (2, 3):
-        kept = [katz._Counts.kept(row.asDict()) for row in model.tables[level].collect()]
+        kept = [katz._Counts.kept(row.asDict(), model) for row in model.tables[level].collect()]
         words = [["<s>", *(t or "").split(), None] for _, t in docs]
         plain = Counter(tuple(some[k : k + level]) for some in words for k in range(len(some) - level + 1))
         assert sorted(int(c) for table in kept for c in table.totals) == sorted(plain.values())
