@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from labelmill.llm.common import WordHashes, chunked, parts, stored
 
-# Words of the longest grams.
-ORDER = 3
+# Words of the longest grams, unless asked for: three need more than four times the input of disk.
+ORDER = 2
 # Counts up to this one are discounted.
 RELIABLE = 5
 # Bytes of text in a run.
