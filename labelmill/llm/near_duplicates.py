@@ -1,38 +1,50 @@
 """MinHash near-duplicates with an LSH forest.
 
-A document is its set of word shingles, sketched by minimum hashes. Each tree of the forest orders the sketches by other
-hashes; a node holds the documents that agree on a prefix of that order. Candidates are linked to the first document of
-their node, at greater depth too where a node is crowded. Where candidates of one node stay apart after their links were
-confirmed, the sketches of all that are apart are compared, in blocks of bounded size. Links count only when the full
-shingle sets confirm them.
+A document is its set of word shingles, sketched by minimum hashes. Each tree of the forest is an order of all documents by
+hashes of its own: rows are sorted by them in ranges, over as many tasks as there are, and a document's candidates are its
+neighbours in the order, which share the longest prefix with it. Documents that agree on the first hashes of an order are a
+region. Where a region's documents stay apart after the links of neighbours were confirmed, their sketches are compared, in
+blocks of bounded size; a region that would take too many blocks is searched deeper instead: its documents alone go to the
+next level, with longer prefixes and as many more trees as keep the chance to meet. Links count only when the full shingle
+sets confirm them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelmill.llm.common import WordHashes, chunked, gram_hash, joined_hash, mix, narrow, parts, stored, text_key
 from labelmill.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 75
-# Trees, hashes in a tree's order, and the depth from which two documents are candidates: a pair with similarity 0.75
-# shares no node with probability (1 - 0.75**2)**16 = 2e-6.
-TREES, DEPTH, FIRST_DEPTH = 16, 4, 2
-# Documents from which a node is searched deeper, sketches compared at once, and the share of equal hashes (in 64) below
-# which a pair is not confirmed: 4.6 standard deviations below 0.75.
-CROWDED, BLOCK, LIKELY = 8, 2048, 32
+# Common prefixes that make a region, level by level, the hashes behind them that order a region, and the chance at most that
+# two documents of the least similarity share no region of a level.
+DEPTHS, TAIL, MISSED = (2, 4, 8, 16), 2, 2e-6
+# Sketches of one block, and by how many standard deviations a pair's equal hashes may fall short of the similarity.
+BLOCK, SHORT = 1024, 4.6
 # Classes that may be broadcast, about 100 bytes each; more are joined.
 BROADCAST_IDS = 250_000
+# Rows of orders that are made at once.
+ROWS = 100_000
 
-_HASHES = TREES * DEPTH
-_FACTORS = mix(np.arange(1, _HASHES + 1, dtype=np.uint64)) | np.uint64(1)
-_ADDED = mix(np.arange(1001, _HASHES + 1001, dtype=np.uint64))
+
+def trees_of(depth: int, similarity: int) -> int:
+    """Orders that a level needs: 16 for a prefix of two at a similarity of 0.75."""
+    share = min(similarity / 100, 1 - 1e-6) ** depth
+    return math.ceil(math.log(MISSED) / math.log1p(-share))
+
+
+def least_equal(hashes: int, similarity: int) -> int:
+    """Equal hashes below which a pair is not confirmed: 32 of 64 at a similarity of 0.75."""
+    share = similarity / 100
+    return max(0, math.floor(hashes * share - SHORT * math.sqrt(hashes * share * (1 - share))))
 
 
 def shingle_sets(texts: list[bytes], size: int, hashes: WordHashes) -> list[np.ndarray]:
@@ -53,13 +65,15 @@ def shingle_sets(texts: list[bytes], size: int, hashes: WordHashes) -> list[np.n
     return out
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Minimum hashes of non-empty sets."""
+def sketches(sets: list[np.ndarray], count: int, level: int = 0) -> np.ndarray:
+    """Minimum hashes of non-empty sets, by functions that differ from level to level."""
     starts = np.cumsum([0] + [len(some) for some in sets[:-1]])
     values = np.concatenate(sets)
-    out = np.empty((len(sets), _HASHES), np.uint32)
-    for i in range(_HASHES):
-        out[:, i] = np.minimum.reduceat(((values * _FACTORS[i] + _ADDED[i]) >> np.uint64(32)).astype(np.uint32), starts)
+    seeds = np.arange(1, count + 1, dtype=np.uint64) + np.uint64(level << 32)
+    factors, added = mix(seeds) | np.uint64(1), mix(seeds + np.uint64(1 << 31))
+    out = np.empty((len(sets), count), np.uint32)
+    for i in range(count):
+        out[:, i] = np.minimum.reduceat(((values * factors[i] + added[i]) >> np.uint64(32)).astype(np.uint32), starts)
     return out
 
 
@@ -68,7 +82,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return narrow(docs).withColumn("text_key", text_key())
 
 
-def sketch_table(docs: DataFrame, size: int) -> DataFrame:
+def sketch_table(docs: DataFrame, size: int, count: int) -> DataFrame:
     """``(doc_id, text_key, n_shingles, set_key, sketch)``; the keys digest text and set, those of an empty set are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +94,7 @@ def sketch_table(docs: DataFrame, size: int) -> DataFrame:
                 full = [i for i, some in enumerate(sets) if len(some)]
                 found: list[bytes | None] = [None] * len(sets)
                 if full:
-                    for i, row in zip(full, sketches([sets[i] for i in full]), strict=True):
+                    for i, row in zip(full, sketches([sets[i] for i in full], count), strict=True):
                         found[i] = row.tobytes()
                 keys = [hashlib.blake2b(some.tobytes(), digest_size=16).digest() if len(some) else None for some in sets]
                 yield pa.RecordBatch.from_pydict(
@@ -96,36 +110,97 @@ def sketch_table(docs: DataFrame, size: int) -> DataFrame:
     return keyed(docs).mapInArrow(run, "doc_id long, text_key binary, n_shingles long, set_key binary, sketch binary")
 
 
-def forest(classes: DataFrame) -> DataFrame:
-    """``(class_id, k2, k3, k4)`` per tree: hashes of the prefixes of its order, by growing depth."""
-    names = [f"k{depth}" for depth in range(FIRST_DEPTH, DEPTH + 1)]
+def _ordered(ids: np.ndarray, sketch: np.ndarray, depth: int, level: int) -> pa.RecordBatch:
+    """A row for each document and tree: the region, by the first hashes of the tree's order, and the hashes behind them."""
+    trees = sketch.shape[1] // (depth + TAIL)
+    rows = sketch.reshape(len(ids), trees, depth + TAIL).astype(np.uint64)
+    keys = np.broadcast_to(mix(np.arange(1, trees + 1, dtype=np.uint64) + np.uint64(level << 32)), (len(ids), trees))
+    for place in range(depth):
+        keys = joined_hash(keys, rows[:, :, place])
+    tail = rows[:, :, depth] << np.uint64(32) | rows[:, :, depth + 1]
+    columns = {"region": keys.reshape(-1).view(np.int64), "tail": tail.reshape(-1).view(np.int64), "class_id": np.repeat(ids, trees)}
+    return pa.RecordBatch.from_pydict({name: pa.array(values, pa.int64()) for name, values in columns.items()})
+
+
+ORDERS = "region long, tail long, class_id long"
+
+
+def first_orders(classes: DataFrame) -> DataFrame:
+    """The orders of the first level, ``(region, tail, class_id)``, from the sketches of all classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.array(batch.column("class_id").to_pylist(), np.int64)
-            if not len(ids):
-                continue
-            rows = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(len(ids), TREES, DEPTH).astype(np.uint64)
-            keys = np.broadcast_to(mix(np.arange(1, TREES + 1, dtype=np.uint64)), (len(ids), TREES))
-            columns = {"class_id": np.repeat(ids, TREES)}
-            for depth in range(DEPTH):
-                keys = joined_hash(keys, rows[:, :, depth])
-                if depth + 1 >= FIRST_DEPTH:
-                    columns[names[depth + 1 - FIRST_DEPTH]] = keys.reshape(-1).view(np.int64)
-            yield pa.RecordBatch.from_pydict({name: pa.array(values, pa.int64()) for name, values in columns.items()})
+            if len(ids):
+                yield _ordered(ids, np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(len(ids), -1), DEPTHS[0], 0)
 
-    return classes.select("class_id", "sketch").mapInArrow(run, "class_id long, " + ", ".join(f"{name} long" for name in names))
+    return classes.select("class_id", "sketch").mapInArrow(run, ORDERS)
 
 
-def _equal_hashes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def deeper_orders(sets: DataFrame, level: int, similarity: int) -> DataFrame:
+    """The orders of a further level for the documents of ``sets (class_id, set)``, by hashes made for it."""
+    depth = DEPTHS[level]
+    trees = trees_of(depth, similarity)
+    at_once = max(1, ROWS // trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, some = batch.column("class_id").to_pylist(), batch.column("set").to_pylist()
+            for keys, values in chunked(ids, some):
+                for start in range(0, len(keys), at_once):
+                    own = [np.frombuffer(value, np.uint64) for value in values[start : start + at_once]]
+                    yield _ordered(np.array(keys[start : start + at_once], np.int64), sketches(own, trees * (depth + TAIL), level), depth, level)
+
+    return sets.mapInArrow(run, ORDERS)
+
+
+def neighbours(orders: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` that follow each other in an order, inside one region.
+
+    A region may lie in several ranges of the sorted rows. Each range tells its first and its last row, and pairs across
+    a border come from those: two rows a range, whatever the size of a region.
+    """
+    n = parts(orders.sparkSession)
+    order = ("region", "tail", "class_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = np.stack([batch.column(name).to_numpy() for name in order], axis=1)
+            ends = ends or [table[0], table[0]]
+            joined = np.vstack([ends[1], table])
+            ends[1] = table[-1]
+            at = np.flatnonzero((joined[1:, 0] == joined[:-1, 0]) & (joined[1:, 2] != joined[:-1, 2]))
+            yield rows(a=joined[at, 2], b=joined[at + 1, 2])
+        if ends:
+            region, tail, a = np.stack(ends).T
+            yield rows(a=a, region=region, tail=tail, last=np.array([False, True]))
+
+    schema = pa.schema([*((name, pa.int64()) for name in ("a", "b", "region", "tail")), ("last", pa.bool_())])
+
+    def rows(a: np.ndarray, **others: np.ndarray) -> pa.RecordBatch:
+        columns = {"a": a, **others}
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(a), f.type) for f in schema], schema=schema)
+
+    ranged = orders.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    found = stored(ranged.mapInArrow(run, "a long, b long, region long, tail long, last boolean"), "neighbours")
+    following = F.lead("a").over(Window.partitionBy("region").orderBy("tail", "a", "last"))
+    across = found.where("b IS NULL").withColumn("b", following).where("last AND b IS NOT NULL")
+    pairs = found.where("b IS NOT NULL").select("a", "b").unionByName(across.select("a", "b")).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _equal_hashes(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     """Keep the pairs whose sketches make the similarity likely."""
     sides = [classes.select(F.col("class_id").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(f"s{side}").to_pylist()), np.uint32).reshape(-1, _HASHES) for side in "ab")
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= LIKELY))
+                x, y = (np.frombuffer(b"".join(batch.column(f"s{side}").to_pylist()), np.uint32).reshape(batch.num_rows, -1) for side in "ab")
+                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
 
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
@@ -171,21 +246,6 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
 
-def _stars(rows: DataFrame) -> DataFrame:
-    """Pairs of each class with the first one of its node, and with the first of its deeper nodes where it is crowded."""
-
-    def star(table: DataFrame, key: str) -> DataFrame:
-        nodes = table.groupBy(key).agg(F.min("class_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-        return table.join(nodes, key)
-
-    first = star(rows, f"k{FIRST_DEPTH}")
-    found = first.select("a", F.col("class_id").alias("b"))
-    crowded = first.where(F.col("n") > CROWDED).drop("a", "n")
-    for depth in range(FIRST_DEPTH + 1, DEPTH + 1):
-        found = found.unionByName(star(crowded, f"k{depth}").select("a", F.col("class_id").alias("b")))
-    return found.where("a <> b").distinct()
-
-
 def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
     """Rows that follow each other with the same node and pair of blocks."""
     group, held = None, []
@@ -200,45 +260,54 @@ def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
         yield group, held
 
 
-def _likely(group: tuple, rows: list[tuple]) -> list[tuple[int, int, int]]:
+def _likely(group: tuple, rows: list[tuple], least: int) -> list[tuple[int, int, int]]:
     """Pairs across a group's two blocks that are in different components and likely: equal hashes and both places."""
     own, comps = (np.array([row[k] for row in rows], np.int64) for k in (0, 2))
-    table = np.frombuffer(b"".join(row[3] for row in rows), np.uint32).reshape(-1, _HASHES)
+    table = np.frombuffer(b"".join(row[3] for row in rows), np.uint32).reshape(len(rows), -1)
     left, right = np.flatnonzero(own == group[1]), np.flatnonzero(own == group[2])
     out = []
     for at, x in enumerate(left.tolist()):
         others = left[at + 1 :] if group[1] == group[2] else right
         others = others[comps[others] != comps[x]]
         equal = (table[others] == table[x]).sum(1)
-        out += [(int(n), x, int(y)) for n, y in zip(equal[equal >= LIKELY], others[equal >= LIKELY], strict=True)]
+        out += [(int(n), x, int(y)) for n, y in zip(equal[equal >= least], others[equal >= least], strict=True)]
     return out
 
 
-def _apart(rows: DataFrame, classes: DataFrame, linked: DataFrame, docs: DataFrame, size: int, similarity: int) -> DataFrame:
-    """Confirmed links between documents that share a node but were not connected yet, enough to connect them.
+def undecided(orders: DataFrame, linked: DataFrame) -> DataFrame:
+    """``(region, n, class_id, component)``: the documents of the regions that are not one component yet.
 
-    A node is cut into blocks, and each pair of blocks is a task's group. A first pass over sketches finds the documents
-    with a likely partner in another component; only those come back with their full sets. The second pass tests the
-    likely pairs, best first, and leaves out those that its own links have connected. So no list of pairs is ever moved or
-    written: rows grow with the documents of the nodes. Equal member lists of different trees are compared once.
+    Equal member lists of different trees are one region.
     """
-    n = parts(rows.sparkSession)
-    key = f"k{FIRST_DEPTH}"
-    members = rows.select(key, "class_id").join(linked.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+    members = orders.select("region", "class_id").join(linked.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     members = members.withColumn("component", F.coalesce("component", "class_id"))
-    nodes = members.groupBy(key).agg(
+    regions = members.groupBy("region").agg(
         F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"),
         F.sum(F.xxhash64("class_id").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("class_id", F.lit(1)).cast("decimal(38,0)")).alias("y"),
     )
-    nodes = nodes.where("low <> high").groupBy("n", "x", "y").agg(F.min(key).alias(key)).select(key, "n")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    regions = regions.where("low <> high").groupBy("n", "x", "y").agg(F.min("region").alias("region")).select("region", "n")
+    return members.join(regions, "region").select("region", "n", "class_id", "component")
+
+
+GROUPS = "node long, i int, j int, own int, class_id long, component long"
+
+
+def dealt(placed: DataFrame, block: int) -> DataFrame:
+    """A region is cut into blocks, and each pair of blocks is a group: a document has a row for every block of its region."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("class_id", F.lit(2)), F.col("blocks")).cast("int")
-    placed = members.join(nodes, key).withColumn("blocks", blocks).withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.withColumn("other", other).select(
-        F.col(key).alias("node"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class_id", "component"
-    )
-    schema = "node long, i int, j int, own int, class_id long, component long"
+    placed = placed.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.select(F.col("region").alias("node"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class_id", "component")
+
+
+def _apart(placed: DataFrame, classes: DataFrame, docs: DataFrame, size: int, similarity: int, least: int, block: int) -> DataFrame:
+    """Confirmed links between documents that share a region but were not connected yet, enough to connect them.
+
+    Each pair of a region's blocks is a task's group. A first pass over sketches finds the documents with a likely partner
+    in another component; only those come back with their full sets. The second pass tests the likely pairs, best first,
+    and leaves out those that its own links have connected. So no list of pairs is ever moved or written.
+    """
+    n = parts(placed.sparkSession)
 
     def in_groups(table: DataFrame) -> DataFrame:
         return table.repartition(n, "node", "i", "j").sortWithinPartitions("node", "i", "j", "class_id")
@@ -246,11 +315,11 @@ def _apart(rows: DataFrame, classes: DataFrame, linked: DataFrame, docs: DataFra
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for group, held in _groups(batches, ("own", "class_id", "component", "sketch")):
-            out += [(*group, *held[k][:3]) for k in sorted({k for _, x, y in _likely(group, held) for k in (x, y)})]
+            out += [(*group, *held[k][:3]) for k in sorted({k for _, x, y in _likely(group, held, least) for k in (x, y)})]
             if len(out) >= 10_000:
-                yield _batch(out, schema)
+                yield _batch(out, GROUPS)
                 out = []
-        yield _batch(out, schema)
+        yield _batch(out, GROUPS)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -263,29 +332,56 @@ def _apart(rows: DataFrame, classes: DataFrame, linked: DataFrame, docs: DataFra
                 return x
 
             sets = [np.frombuffer(row[4], np.uint64) for row in held]
-            for _, x, y in sorted(_likely(group, held), reverse=True):
+            for _, x, y in sorted(_likely(group, held, least), reverse=True):
                 a, b = top(held[x][2]), top(held[y][2])
                 if a != b and similar(sets[x], sets[y], similarity):
                     root[a] = b
                     out.append((held[x][1], held[y][1]))
         yield _batch(out, "a long, b long")
 
-    sketched = dealt.join(classes.select("class_id", "sketch"), "class_id")
-    found = stored(in_groups(sketched).mapInArrow(find, schema), "apart")
+    sketched = dealt(placed, block).join(classes.select("class_id", "sketch"), "class_id")
+    found = stored(in_groups(sketched).mapInArrow(find, GROUPS), "apart")
     sets = _set_table(found.select("class_id"), classes, docs, size)
     full = found.join(classes.select("class_id", "sketch"), "class_id").join(sets, "class_id")
     return stored(in_groups(full).mapInArrow(settle, "a long, b long"), "confirmed")
 
 
+def linked_classes(classes: DataFrame, docs: DataFrame, size: int, similarity: int, block: int) -> DataFrame:
+    """``(node, component)`` of the classes: the forest searched level by level.
+
+    A region goes to the next level when its blocks would give a document more rows than the further trees do; so a
+    level's rows grow with the documents that are in such regions, times the level's trees. What is crowded at the last
+    depth, too, is compared in blocks: nothing is left out.
+    """
+    least = least_equal(trees_of(DEPTHS[0], similarity) * (DEPTHS[0] + TAIL), similarity)
+    orders, links = stored(first_orders(classes), "orders"), None
+    for level, depth in enumerate(DEPTHS):
+        pairs = stored(_equal_hashes(neighbours(orders), classes, least), "pairs")
+        near = stored(confirmed(pairs, classes, docs, size, similarity), "confirmed")
+        linked = components(near if links is None else links.unionByName(near))
+        placed = stored(undecided(orders, linked), "undecided")
+        crowded = None
+        if depth != DEPTHS[-1]:
+            limit = block * trees_of(DEPTHS[level + 1], similarity) // trees_of(depth, similarity)
+            crowded = placed.where(F.col("n") > limit)
+            placed = placed.where(F.col("n") <= limit)
+        more = _apart(placed, classes, docs, size, similarity, least, block)
+        links = linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+        if crowded is None or crowded.isEmpty():
+            break
+        orders = stored(deeper_orders(_set_table(crowded.select("class_id"), classes, docs, size), level + 1, similarity), "orders")
+    return linked if more.isEmpty() else components(links)
+
+
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     fields = [field.split() for field in schema.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32()}
     return pa.RecordBatch.from_arrays([pa.array([row[k] for row in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)], [name for name, _ in fields])
 
 
-def marked(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+def marked(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """``near_duplicates`` with the key of each row's text: ``(doc_id, text_key, n_shingles, component_id, kept)``."""
-    table = stored(sketch_table(docs, size), "sketches")
+    table = stored(sketch_table(docs, size, trees_of(DEPTHS[0], similarity) * (DEPTHS[0] + TAIL)), "sketches")
     full = table.where("set_key IS NOT NULL")
     # the first row of a set: smallest id, null last; classes are numbered by it, as originals mostly come before their copies
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
@@ -293,12 +389,7 @@ def marked(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -
     by_set = by_set.select("set_key", "first.row.doc_id", "first.row.text_key", "first.sketch").orderBy(F.col("doc_id").isNull(), "doc_id", "text_key")
     by_set = stored(by_set.withColumn("class_id", F.monotonically_increasing_id()), "classes")
     classes = by_set.drop("set_key")
-    rows = stored(forest(classes), "forest")
-    links = stored(confirmed(stored(_equal_hashes(_stars(rows), classes), "pairs"), classes, docs, size, similarity), "confirmed")
-    linked = components(links)
-    more = _apart(rows, classes, linked, docs, size, similarity)
-    if not more.isEmpty():
-        linked = components(links.unionByName(more))
+    linked = linked_classes(classes, docs, size, similarity, block)
     linked = linked.select(F.col("node").alias("class_id"), "component")
     members = linked.unionByName(linked.select(F.col("component").alias("class_id"), "component").distinct())
     heads = classes.join(members, "class_id").groupBy("component").agg(F.min(first).alias("head")).select("component", "head")
@@ -312,7 +403,7 @@ def marked(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -
     )
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every document.
 
     Documents are linked when 100 * intersection >= ``similarity`` * union of their shingle sets; the component is the
@@ -320,6 +411,6 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
     empty set and are linked with nothing. Rows that share an id and differ in text belong each to the class of its own
     set, and all that have the smallest id of their component are kept. Rows without an id are linked like others; a
     component with no id at all has a null ``component_id`` and keeps one text, that with the smallest key. Repeated rows
-    share a verdict. An empty table gives no rows.
+    share a verdict. An empty table gives no rows. ``block`` bounds the sketches a task holds at once; rows do not depend on it.
     """
-    return marked(docs, size, similarity).drop("text_key")
+    return marked(docs, size, similarity, block).drop("text_key")
