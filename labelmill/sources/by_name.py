@@ -14,14 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from labelmill.session import scratch_path
-from labelmill.sources.documents import parsed_documents
-from labelmill.sources.files import located
+from labelmill.sources.documents import PER_TASK, parsed_documents
+from labelmill.sources.files import bounded, located
 
 FORMAT = "documents_by_name"
 
-# Names that one task opens, unless told otherwise, and bytes of documents in one batch.
-PER_TASK, BATCH_BYTES = 2_000, 8 << 20
-
 SCHEMA = "filing_year int, application_number string, value binary"
 
 
@@ -63,20 +60,16 @@ class _Reader(DataSourceReader):
             names = pq.ParquetFile(file).read_row_group(partition.group).slice(partition.start, partition.stop - partition.start)
         documents, inner = located(self.folder)
         schema = pa.schema([("filing_year", pa.int32()), ("application_number", pa.string()), ("value", pa.binary())])
-        rows, size = [], 0
-        for year, number in zip(names.column("filing_year").to_pylist(), names.column("application_number").to_pylist(), strict=True):
-            try:
-                with documents.open_input_file(f"{inner}/{year}/{number}.json") as document:
-                    body = document.read()
-            except FileNotFoundError:
-                body = None
-            rows.append((year, number, body))
-            size += len(body or b"")
-            if size >= BATCH_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows), schema)], schema=schema)
-                rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows), schema)], schema=schema)
+
+        def bodies():
+            for year, number in zip(names.column("filing_year").to_pylist(), names.column("application_number").to_pylist(), strict=True):
+                try:
+                    with documents.open_input_file(f"{inner}/{year}/{number}.json") as document:
+                        yield year, number, document.read()
+                except FileNotFoundError:
+                    yield year, number, None
+
+        yield from bounded(bodies(), schema)
 
 
 class DocumentsByName(DataSource):

@@ -81,6 +81,26 @@ def test_written_documents_are_read_back(spark, rows):
     assert back.count() == 50 and back.where("problem IS NOT NULL").count() == 0
 
 
+def test_tasks_follow_the_bytes_of_small_files_not_their_number(spark, tmp_path, monkeypatch):
+    """Spark's own scan gives a task 32 small files; names are listed by tasks and dealt out evenly."""
+    for number in range(600):
+        place = tmp_path / str(2010 + number % 2)
+        place.mkdir(exist_ok=True)
+        (place / f"{number}.json").write_text(json.dumps(dict.fromkeys(DOCUMENT_KEYS, "x")))
+    (tmp_path / "2010" / "empty.json").write_text("")
+    (tmp_path / "2010" / "_hidden.json").write_text("{}")
+    (tmp_path / "2010" / "1 2%.json").write_text("{}")
+    read = read_documents(spark, str(tmp_path))
+    tasks = read.rdd.getNumPartitions()
+    assert tasks <= 2 * spark.sparkContext.defaultParallelism
+    assert read.count() == 601 and read.where("application_number = '1 2%' AND problem = 'absent_key' AND filing_year = 2010").count() == 1
+    assert read_documents(spark, f"file:{tmp_path}", years=[2011, 2031]).count() == 300
+    monkeypatch.setattr("labelmill.sources.documents.PER_TASK", 50)
+    assert read_documents(spark, str(tmp_path)).rdd.getNumPartitions() == 13
+    # a pattern goes to Spark's scan
+    assert read_documents(spark, f"{tmp_path}/20*").where("filing_year = 2011").count() == 300
+
+
 @pytest.mark.parametrize("suffix", ["parquet", "csv", "tsv", "feather"])
 def test_metadata_formats(spark, rows, suffix):
     df = spark.createDataFrame(
