@@ -33,25 +33,32 @@ def with_words(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("words", words_of(F.col("text")))
 
 
-def gram_buckets(words: Column, buckets: int = BUCKETS) -> Column:
+def pairs_of(words: Column) -> Column:
+    """Every word and the next one with a blank between them."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def gram_buckets(words: Column, pairs: Column, buckets: int = BUCKETS) -> Column:
     """Bucket of every word and of every pair of neighbouring words."""
 
     def bucket(gram: Column) -> Column:
         return F.pmod(F.crc32(gram.cast("binary")), F.lit(buckets)).cast("int")
 
-    pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: bucket(F.concat(w, F.lit(" "), F.get(words, i + 1))))
-    return F.concat(F.transform(words, bucket), pairs)
+    return F.concat(F.transform(words, bucket), F.transform(pairs, bucket))
 
 
 def base_rules(tokens: DataFrame) -> DataFrame:
-    """The counted rules. Repeated windows are found by sorting the window hashes of a text with their places."""
+    """The counted rules; ``_pairs`` stays. Repeated windows are found by sorting the window hashes of a text with their places,
+    of the texts that hold a window twice."""
     words, text = F.col("words"), F.col("text")
-    lines = F.filter(F.split(text, "\n"), lambda line: F.translate(line, SPACES, "") != "")
-    windows = F.transform(
-        F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))),
-        lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
-    )
-    sorted_ = tokens.withColumns({"_lines": lines, "_windows": F.sort_array(windows)})
+    lines = F.filter(F.split(text, "\n"), lambda line: F.ltrim(line, F.lit(SPACES)) != "")
+    n = F.greatest(F.size(words) - 2, F.lit(0))
+    hashes = F.zip_with(F.slice("_pairs", 1, n), F.slice(words, 3, n), lambda pair, word: F.xxhash64(pair, word))
+    hashed = tokens.withColumn("_pairs", pairs_of(words)).withColumns({"_lines": lines, "_hashes": hashes})
+    windows = F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    repeats = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
+    sorted_ = hashed.withColumn("_windows", F.when(repeats, F.sort_array(windows)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     w = F.col("_windows")
 
     def repeated(item: Column, i: Column) -> Column:
@@ -67,14 +74,14 @@ def base_rules(tokens: DataFrame) -> DataFrame:
     counted = with_places.withColumns(
         {
             "n_words": F.size(words).cast("long"),
-            "word_chars": F.char_length(F.translate(text, SPACES, "")).cast("long"),
-            "n_symbols": (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "word_chars": F.char_length(F.array_join(words, "")).cast("long"),
+            "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": covered.cast("long"),
         }
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).drop("_lines", "_windows", "_places")
+    return counted.withColumn("base_failed", failed).drop("_lines", "_hashes", "_windows", "_places")
 
 
 def ratio_model(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, added: float = ADDED) -> Column:
@@ -91,7 +98,7 @@ def ratio_model(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, add
     grams = joined.select(
         F.coalesce("_trusted", F.lit(0)).alias("_trusted"), words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words")
     )
-    seen = grams.select("_trusted", F.explode(gram_buckets(F.col("words"), buckets)).alias("bucket")).groupBy("bucket").agg(
+    seen = grams.select("_trusted", F.explode(gram_buckets(F.col("words"), pairs_of(F.col("words")), buckets)).alias("bucket")).groupBy("bucket").agg(
         F.count("*").alias("n"), F.sum("_trusted").alias("good")
     )
     cells = {row["bucket"]: (row["good"], row["n"]) for row in seen.collect()}
@@ -111,7 +118,7 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buc
     there are more trusted ids than may be broadcast: then the texts are, once.
     """
     model = ratio_model(docs, trusted, buckets)
-    ruled = base_rules(with_words(docs)).withColumn("_grams", gram_buckets(F.col("words"), buckets))
+    ruled = base_rules(with_words(docs)).withColumn("_grams", gram_buckets(F.col("words"), F.col("_pairs"), buckets))
     total = F.aggregate("_grams", F.lit(0.0), lambda sum_, bucket: sum_ + F.get(model, bucket))
     ratio = F.when(F.size("_grams") == 0, F.lit(0.0)).otherwise(total / F.size("_grams"))
     scored = ruled.withColumn("ratio", F.round(ratio, 6))
