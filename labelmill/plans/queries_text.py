@@ -71,7 +71,8 @@ def frequent(spark, folder):
 @query("encode_large_vocabulary", sql("SELECT application_number, array_to_string(ids, ',') AS input_ids FROM encoded", "encoded"))
 def encode_large_vocabulary(spark, folder):
     """The way of a vocabulary that is too large to hand out: rows and entries meet in a join."""
-    rows = b.texts(spark, folder).select("application_number", words_of("text").alias("tokens"))
+    # texts are cut into tokens once: the vocabulary and the encoding read them written
+    rows = materialise(b.texts(spark, folder).select("application_number", words_of("text").alias("tokens")), "tokens")
     entries = materialise(build_vocabulary(rows, F.col("tokens")), "vocabulary")
     encoded = encoding.encode(rows, ID, F.col("tokens"), entries, MAX_LENGTH, vocab_size=BROADCAST_ENTRIES + 1)
     return encoded.select("application_number", _joined_ids("input_ids").alias("input_ids"))

@@ -185,3 +185,17 @@ def test_linear_model_round_trip(spark, tmp_path):
     model.write().overwrite().save(str(tmp_path / "linear"))
     again = models.score_linear(train, PipelineModel.load(str(tmp_path / "linear")), words_of("text"), ["application_number"])
     assert again.join(scored.withColumnRenamed("probability", "p"), "application_number").where("abs(p - probability) > 1e-9").count() == 0
+
+
+def test_large_vocabulary_query_cuts_texts_once(spark, monkeypatch):
+    from labelmill.plans import queries_text
+
+    seen = []
+
+    def build(df, tokens, **rest):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return build_vocabulary(df, tokens, **rest)
+
+    monkeypatch.setattr(queries_text, "build_vocabulary", build)
+    encoded = queries_text.encode_large_vocabulary(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1 and "regexp_extract_all" not in seen[0] and encoded.count() == 200
