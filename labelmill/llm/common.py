@@ -138,6 +138,16 @@ def windowed_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(power[: len(power) - rest], power[rest:]) if rest else power
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system, which an allocator does not do by itself while the process lives."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 _HELD: dict[str, Callable[[], None]] = {}
 
 

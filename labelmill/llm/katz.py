@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import WordHashes, chunked, parts, stored
+from labelmill.llm.common import WordHashes, chunked, give_back, parts, stored
 
 # Words of the longest grams, unless asked for: three need more than four times the input of disk.
 ORDER = 2
@@ -239,6 +239,8 @@ def _make_runs(buckets: int):
                     held, size, number = ([], [], [], []), 0, number + 1
         if held[0]:
             yield flush(base + number, *held)
+        del hashes, held
+        give_back()
 
     return run
 
@@ -361,6 +363,7 @@ def _find(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 def _ask_grams(level: int, model: Model):
     def run(key: tuple, documents: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()
         if not documents.num_rows:
             return _table([])
         mine = _Run(documents, answers, model)
@@ -388,6 +391,7 @@ def _words(count: bool):
     """Answers about words: index in the bucket's table and total, the table being counted from all that is asked or given."""
 
     def run(key: tuple, asked: pa.Table, kept: pa.Table | None) -> pa.Table:
+        give_back()
         bucket = key[0].as_py()
         asks = [(r, np.frombuffer(a, "<u8"), b) for r, a, b in zip(*(asked.column(name).to_pylist() for name in ("run", "a", "b")), strict=True)]
         if not asks:
@@ -481,6 +485,7 @@ def _count_grams(level: int, model: Model, count: bool):
     """Answers about grams, from a table that is counted or given; with a counted one its statistics and its hot histories."""
 
     def run(key: tuple, asked: pa.Table, kept: pa.Table | None) -> pa.Table:
+        give_back()
         bucket, asks = key[0].as_py(), asked.to_pylist()
         if not asks:
             return _table([])
@@ -557,6 +562,7 @@ def _evaluate(docs: DataFrame, train: Column, order: int, model: Model | None) -
     kinds = {"doc_id": pa.int64(), "train": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
     def finish(key: tuple, documents: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()
         if not documents.num_rows:
             return _table([], kinds)
         mine = _Run(documents, answers, shared)

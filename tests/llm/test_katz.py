@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelmill.llm import katz
+from labelmill.llm.common import give_back
 from labelmill.llm.katz import RELIABLE
 
 
@@ -150,3 +151,14 @@ def test_repeated_rows_and_clashing_columns(spark):
     rows = katz.score(docs, F.lit(True)).collect()
     assert len(rows) == 3 and rows[0].train_tokens == 13
     assert len({round(r.score, 9) for r in rows if r.doc_id == 0}) == 1
+
+
+def test_freed_memory_goes_back_to_the_system():
+    """A block at the end of the heap keeps the allocator from returning what was freed before it."""
+    psutil = pytest.importorskip("psutil")
+    blocks = [np.ones(2_000) for _ in range(15_000)]
+    kept = blocks[-1]
+    full = psutil.Process().memory_info().rss
+    del blocks
+    give_back()
+    assert full - psutil.Process().memory_info().rss > 150 << 20 and kept.sum() == 2_000
