@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.llm.common import chunked, hold, narrow
+from labelmill.llm.common import chunked, give_back, hold, narrow
 
 # Symbols of the kernel's alphabet, weight of one step in a stretch, and the longest stretch.
 SYMBOLS, DECAY, STRETCH = 64, 0.6, 6
@@ -306,7 +306,12 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
 
     sample = labelled_sample(docs, labels, toxic, clean).select("doc_id", "toxic", "text")
     rows = sorted((row["doc_id"], row["toxic"], bytes(row["words"])) for row in sample.mapInArrow(bags, "doc_id long, toxic int, words binary").collect())
-    return train((words.split() for _, _, words in rows), [bool(label) for _, label, _ in rows])
+    labels_ = [bool(label) for _, label, _ in rows]
+    rows.reverse()
+    # a document's words are let go once they are read
+    model = train((rows.pop()[2].split() for _ in labels_), labels_)
+    give_back()
+    return model
 
 
 def worst_words(texts: list[bytes], model: Model, known: dict[bytes, float]) -> list[tuple[bytes, float] | None]:
